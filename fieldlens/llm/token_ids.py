@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from ._common import scratch_path, slices_by_bytes, tokenizer_path
 
 BATCH_BYTES = 4 << 20
-CACHE_PIECES = 200_000
+CACHE_PIECES = 1_000_000
 END_ID = 0
 _BESIDE_SPACE = re.compile(r"\s | \s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -62,6 +62,23 @@ def pieces(text: str) -> list[str]:
     return _SAFE.split(text) if _BESIDE_SPACE.search(text) else text.split(" ")
 
 
+def _encode_pieces(tok, new: list[str], together: int = 200) -> list[bytes]:
+    """Ids of each piece. Many short pieces share one string, parted by a special
+    token, which the library cuts out before anything else; its id parts the ids."""
+    special = next((t for t in tok.get_added_tokens_decoder().items() if t[1].special and not (t[1].lstrip or t[1].rstrip or t[1].single_word or t[1].normalized)), None)
+    if special is None or any(special[1].content in p for p in new):
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
+    out: list[bytes] = []
+    strings = [special[1].content.join(new[i : i + together]) for i in range(0, len(new), together)]
+    for i in range(0, len(strings), 100):
+        for e in tok.encode_batch_fast(strings[i : i + 100], add_special_tokens=False):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(ids == special[0])).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True)]
+    return out
+
+
 def encode_batch(texts: list[str], path: str, cache_pieces: int = CACHE_PIECES) -> list[bytes]:
     """Each text's ids as little-endian 32-bit integers."""
     known, tok = _encoded(path), _tokenizer(path)
@@ -74,10 +91,7 @@ def encode_batch(texts: list[str], path: str, cache_pieces: int = CACHE_PIECES)
     if len(known) + len(new) > cache_pieces:
         known.clear()
         new = list(set(chain.from_iterable(rests)))
-    for i in range(0, len(new), 50_000):
-        some = new[i : i + 50_000]
-        for p, e in zip(some, tok.encode_batch_fast([" " + p for p in some], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, dtype="<u4").tobytes()
+    known.update(zip(new, _encode_pieces(tok, [" " + p for p in new]), strict=True))
     heads = [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(firsts, add_special_tokens=False)]
     get = known.__getitem__
     return [h + b"".join(map(get, r)) for h, r in zip(heads, rests, strict=True)]
