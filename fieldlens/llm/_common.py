@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def slices_by_bytes(texts: pa.Array, most: int):
     """(start, stop) row ranges of about ``most`` bytes, one row at least."""
     if len(texts) == 0:
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     block = np.cumsum(sizes, dtype=np.int64) // most
     cuts = np.flatnonzero(np.diff(block)) + 1
     edges = [0, *cuts.tolist(), len(texts)]

@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i, j in slices_by_bytes(texts, batch_bytes):
                 part = texts.slice(i, j - i)
                 n = np.array(count_batch(part.to_pylist(), path), dtype=np.int64)
-                size = pa.compute.binary_length(part).cast(pa.int64())
+                size = pc.binary_length(part).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), size, pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return narrow.mapInArrow(run, schema)
