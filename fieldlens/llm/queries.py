@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
 from .decontaminate import report
+from .near_dedup import near_duplicates
 from .token_counts import token_counts
 from .token_ids import token_id_files
 from .url_filter import judge_urls
@@ -16,6 +17,10 @@ from .url_filter import judge_urls
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -34,8 +39,23 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op5_token_ids, op7_url_filter, op8_decontaminate)}
-
+    return {f.__name__: f for f in (op2_minhash_dedup, op3_token_counts, op5_token_ids, op7_url_filter, op8_decontaminate)}
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g
+  FROM d, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a, r FROM reach JOIN links ON reach.doc_id = b)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id, d.doc_id = min(r) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id
+"""
 
 OP7_SQL = """
 WITH urls AS (
@@ -74,4 +94,4 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op2_minhash_dedup": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_decontaminate": OP8_SQL}
