@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
 from .decontaminate import report
+from .lm_score import lm_scores
 from .near_dedup import near_duplicates
 from .token_counts import token_counts
 from .token_ids import token_id_files
+from .toxicity import toxicity_scores
 from .url_filter import judge_urls
 
 #: The url rules of the query: host, path, verdict.
@@ -25,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(table(spark, sf_dir, "documents"))
 
@@ -38,8 +44,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_dedup, op3_token_counts, op5_token_ids, op7_url_filter, op8_decontaminate)}
+    return {f.__name__: f for f in (op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_token_ids, op7_url_filter, op8_decontaminate, op9_lm_score)}
 
 
 OP2_SQL = r"""
