@@ -110,7 +110,7 @@ def running_sums(df: DataFrame, group: str, order: list[str], sums: list[str], n
                 before = np.cumsum(v) - v
                 base = np.concatenate([before[starts], [-carry[c]]])  # run -1 takes the last
                 here = before - base[run]
-                carry[c] = here[-1] + v[-1]
+                carry[c] = (here[-1:] + v[-1:])[0]  # wraps
                 out.append(pa.array(here))
             last = g[-1]
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
@@ -123,15 +123,15 @@ def running_sums(df: DataFrame, group: str, order: list[str], sums: list[str], n
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     crossing = (
         per_task.withColumn("_n", F.row_number().over(w))
-        .select(F.col(group).alias("_g"), F.col("_part").alias("_p"), "_n", *[F.sum(c).over(earlier).alias(f"_o_{c}") for c in sums])
+        .select(F.col(group).alias("_rs_group"), F.col("_part").alias("_rs_part"), "_n", *[F.sum(c).over(earlier).alias(f"_o_{c}") for c in sums])
         .where("_n > 1")
         .drop("_n")
     )
-    joined = done.join(F.broadcast(crossing), (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p")), "left")
+    joined = done.join(F.broadcast(crossing), (F.col(group) == F.col("_rs_group")) & (F.col("_part") == F.col("_rs_part")), "left")
     # Two to the 63rd: sums stay in the range of a non-negative long.
     wrap = F.lit("9223372036854775808").cast(T.DecimalType(20, 0))
     for c in sums:
         whole = F.pmod(F.col(f"{c}_before").cast(wide) + F.col(f"_o_{c}"), wrap).cast("long")
         alone = F.col(f"{c}_before").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
         joined = joined.withColumn(f"{c}_before", F.when(F.col(f"_o_{c}").isNull(), alone).otherwise(whole))
-    return joined.drop("_g", "_p", "_part", *[f"_o_{c}" for c in sums])
+    return joined.drop("_rs_group", "_rs_part", "_part", *[f"_o_{c}" for c in sums])

@@ -5,20 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._common import table
+from .chat import collapse
 from .decontaminate import report
 from .lm_score import lm_scores
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .token_counts import token_counts
 from .token_ids import token_id_files
 from .toxicity import toxicity_scores
 from .url_filter import judge_urls
+from .vector_topk import top_k
 
 #: The url rules of the query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse(table(spark, sf_dir, "conversations"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -48,10 +60,26 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_token_ids, op7_url_filter, op8_decontaminate, op9_lm_score)}
+    each = (op1_topk_search, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_token_ids, op6_chat_collapse, op7_url_filter, op8_decontaminate, op9_lm_score, op10_mix_sources)
+    return {f.__name__: f for f in each}
 
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
 OP2_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -67,6 +95,13 @@ SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(
 FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id
 """
 
+OP6_SQL = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(role || chr(1) || text ORDER BY pos) AS w, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) AS text FROM t GROUP BY conv_id)
+SELECT conv_id, CAST(0 AS INTEGER) AS part, CAST(len(w) AS BIGINT) AS n_turns, text FROM c a
+WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id <> a.conv_id AND b.w[1 : len(a.w)] = a.w AND (len(b.w) > len(a.w) OR b.conv_id < a.conv_id))
+"""
+
 OP7_SQL = """
 WITH urls AS (
   SELECT page_id,
@@ -104,4 +139,4 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_topk_search": OP1_SQL, "op6_chat_collapse": OP6_SQL, "op2_minhash_dedup": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_decontaminate": OP8_SQL}
