@@ -12,7 +12,7 @@
    the members that are not in their component yet; then hubs leave the list.
    A list ends when its members are of one component or all have been hubs, so
    a group of n near copies needs about n pairs, and no pair is lost. The number
-   of hubs grows fourfold from round to round.
+   of hubs grows eightfold from round to round.
 4. Set sizes, the number of shingles that no other member of an open list has,
    and the union sketch's estimate filter candidates; what is left is verified on
    the full sets, once a pair. Components come from large-star and small-star
@@ -28,8 +28,6 @@ rows that repeat an id get the same component; extra columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,7 +41,7 @@ WORDS = 5
 SKETCH = 32
 #: Link where PER_UNION * intersection >= PER_SHARED * union.
 SIMILARITY = (100, 85)
-FIRST_HUBS = 2
+FIRST_HUBS = 4
 #: Words of the filter that spares texts a shuffle (2 MB).
 BLOOM_BLOCKS = 1 << 18
 _CACHE_WORDS = 400_000
@@ -118,23 +116,23 @@ def components(links: DataFrame, name: str = "links") -> tuple[DataFrame, str]:
     """(_node, _root) of every node of ``links`` (a, b) but the roots themselves, by
     alternating large-star and small-star steps until nothing changes."""
     spark = links.sparkSession
-    edges, path = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    state = None
+    edges, path = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), None
     while True:
         # Large star: each node's larger neighbours go to its smallest one.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Small star: a node and its smaller neighbours go to the smallest.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         new, new_path = materialize(small, name)
-        now = new.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        drop_path(spark, path)
+        if path:
+            drop_path(spark, path)
         edges, path = new, new_path
-        if now == state or now[0] == 0:
+        # Done when all are stars: nobody has two centres, no centre has one.
+        ends = edges.select("u", F.lit(1).alias("c"), F.lit(0).alias("d")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("c").alias("c"), F.max("d").alias("d")).where("c > 1 or (c > 0 and d > 0)").isEmpty():
             return edges.select(F.col("u").alias("_node"), F.col("v").alias("_root")), path
-        state = now
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words_each: int, similarity: tuple[int, int]) -> DataFrame:
@@ -223,22 +221,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = rows.where("_id is not null and _node is not null")
     # Same words: one node, whose representative is the smallest id.
     reps, _ = materialize(linked.groupBy("_node").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_sketch").alias("_sketch")), "nodes")
-    lists, lists_path = materialize(_one_of_each(_inverted(reps)), "lists")
+    lists, first_path = materialize(_one_of_each(_inverted(reps)), "lists")
+    own_lists = lists.groupBy("_node").agg(F.collect_list("_v").alias("_vs"))  # at most SKETCH
+    lists, lists_path = materialize(lists.join(own_lists, "_node"), "lists")
+    drop_path(spark, first_path)
     met, met_path = materialize(lists.select("_node").distinct(), "met")
     texts, texts_path = materialize(_listed_texts(docs, reps, met, id_col, text_col), "texts")
     own, own_path = materialize(reps.join(met, "_node").select("_node", "_sketch"), "own-sketches")
 
-    links: list[DataFrame] = []
-    tried: list[DataFrame] = []
     root, root_path = None, None
-    hubs = FIRST_HUBS
+    hubs, again = FIRST_HUBS, False
     while True:
         labelled = lists.withColumn("_root", F.col("_node")) if root is None else lists.join(root, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
         # Lists that still hold two components or more.
         open_lists = labelled.groupBy("_v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_v")
         current, current_path = materialize(labelled.join(open_lists, "_v").withColumn("_m", F.col("_n")), "open-lists")
         drop_path(spark, lists_path)
-        if tried and not current.isEmpty():
+        if again and not current.isEmpty():
             fewer, fewer_path = materialize(_with_private(current.drop("_m"), texts, words_each, similarity), "open-lists")
             drop_path(spark, current_path)
             current, current_path = fewer, fewer_path
@@ -254,33 +253,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .where(F.col("_k") <= hubs)
             .withColumn("_k", F.row_number().over(then))
             .where(F.col("_k") <= hubs)
-            .select("_v", F.col("_node").alias("_hub"), F.col("_n").alias("_hub_n"), F.col("_m").alias("_hub_m"), F.col("_root").alias("_hub_root"))
+            .select("_v", F.col("_node").alias("_hub"), F.col("_n").alias("_hub_n"), F.col("_m").alias("_hub_m"), F.col("_vs").alias("_hub_vs"), F.col("_root").alias("_hub_root"))
         )
         chosen, chosen_path = materialize(chosen, "hubs")
         most = F.least("_m", "_hub_m")  # an intersection has at most
         pairs = (
-            current.join(chosen, "_v")
-            .where((F.col("_root") != F.col("_hub_root")) & (most * per_union >= (F.col("_n") + F.col("_hub_n") - most) * per_shared))
+            current.join(chosen, current["_v"] == chosen["_v"])
+            .where((F.col("_root") != F.col("_hub_root")) & (most * per_union >= (F.col("_n") + F.col("_hub_n") - most) * per_shared) & (F.array_min(F.array_intersect("_vs", "_hub_vs")) == current["_v"]))
             .select(F.least("_node", "_hub").alias("a"), F.greatest("_node", "_hub").alias("b"))
             .distinct()
         )
-        for earlier in tried:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        pairs, _ = materialize(pairs, "pairs")
-        tried.append(pairs)
         sketch = lambda side: own.select(F.col("_node").alias(side), F.col("_sketch").alias(f"_{side}"))
         likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_estimate_passes(F.col("_a"), F.col("_b"))).select("a", "b")
         found, _ = materialize(verified(likely, texts, words_each, similarity), "found")
         if not found.isEmpty():
-            old_path, links = root_path, [*links, found]
-            root, root_path = components(reduce(DataFrame.union, links))
+            old_path = root_path
+            root, root_path = components(found if root is None else found.union(root))
             if old_path:
                 drop_path(spark, old_path)
+        again = True
         # Hubs have met everybody in their lists.
-        lists, lists_path = materialize(current.select("_v", "_node", "_n").join(chosen.select("_v", F.col("_hub").alias("_node")), ["_v", "_node"], "left_anti"), "lists")
+        lists, lists_path = materialize(current.select("_v", "_node", "_n", "_vs").join(chosen.select("_v", F.col("_hub").alias("_node")), ["_v", "_node"], "left_anti"), "lists")
         drop_path(spark, current_path)
         drop_path(spark, chosen_path)
-        hubs *= 4
+        hubs *= 8
     for p in (texts_path, own_path, met_path):
         drop_path(spark, p)
 
