@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if current.isEmpty():
             drop_path(spark, current_path)
             break
-        # The first few of each list, in two steps so that no task ranks a whole list.
+        # The first few of each list (so every other member comes after them), in two steps so that no task ranks a whole list.
         first = Window.partitionBy("_v", "_salt").orderBy("_node")
         then = Window.partitionBy("_v").orderBy("_node")
         chosen = (
@@ -259,9 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         most = F.least("_m", "_hub_m")  # an intersection has at most
         pairs = (
             current.join(chosen, current["_v"] == chosen["_v"])
-            .where((F.col("_root") != F.col("_hub_root")) & (most * per_union >= (F.col("_n") + F.col("_hub_n") - most) * per_shared) & (F.array_min(F.array_intersect("_vs", "_hub_vs")) == current["_v"]))
-            .select(F.least("_node", "_hub").alias("a"), F.greatest("_node", "_hub").alias("b"))
-            .distinct()
+            .where((current["_node"] > chosen["_hub"]) & (F.col("_root") != F.col("_hub_root")) & (most * per_union >= (F.col("_n") + F.col("_hub_n") - most) * per_shared) & (F.array_min(F.array_intersect("_vs", "_hub_vs")) == current["_v"]))
+            .select(F.col("_hub").alias("a"), F.col("_node").alias("b"))
         )
         sketch = lambda side: own.select(F.col("_node").alias(side), F.col("_sketch").alias(f"_{side}"))
         likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_estimate_passes(F.col("_a"), F.col("_b"))).select("a", "b")
