@@ -8,7 +8,9 @@
    values but for a chance below 1e-8, so the lists hold only values that occur
    twice or more, and of a document's only so many of the rarest that any such
    partner must be met in one of them.
-3. Lists are not paired out. In each round a few members of a list (hubs) meet
+3. Lists are not paired out. First each document meets one other alone, the member
+   it shares most lists with of those that come first in a list; that joins most of
+   a large group. Then, in each round, a few members of a list (hubs) meet
    the members that are not in their component yet; then hubs leave the list.
    A list ends when its members are of one component or all have been hubs, so
    a group of n near copies needs about n pairs, and no pair is lost. The number
@@ -212,6 +214,17 @@ def _with_private(current: DataFrame, texts: DataFrame, words_each: int, similar
     return current.join(private, "_node", "left").withColumn("_m", F.col("_n") - F.coalesce("_u", F.lit(0))).drop("_u").where(F.col("_m") * per_union >= F.col("_n") * per_shared)
 
 
+def _stars(lists: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): each node b with one node a, of the smallest nodes of its lists the
+    one that it shares most lists with. A pair a node, whatever the lists."""
+    per_union, per_shared = similarity
+    least = lists.groupBy("_v").agg(F.min(F.struct("_node", "_n")).alias("_least"))
+    near = lists.join(least, "_v").where(F.col("_node") > F.col("_least._node")).groupBy("_node", "_n", F.col("_least._node").alias("_hub"), F.col("_least._n").alias("_hub_n")).agg(F.count(F.lit(1)).alias("_c"))
+    small, large = F.least("_n", "_hub_n"), F.greatest("_n", "_hub_n")
+    best = near.where(small * per_union >= large * per_shared).groupBy("_node").agg(F.max_by("_hub", F.struct("_c", "_hub")).alias("a"))
+    return best.select("a", F.col("_node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Per row: the id, n_shingles, component_id and kept (the id is the smallest
     of its component)."""
@@ -229,7 +242,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts, texts_path = materialize(_listed_texts(docs, reps, met, id_col, text_col), "texts")
     own, own_path = materialize(reps.join(met, "_node").select("_node", "_sketch"), "own-sketches")
 
-    root, root_path = None, None
+    def linked_with(root: DataFrame | None, root_path: str | None, pairs: DataFrame) -> tuple[DataFrame | None, str | None]:
+        """The components once those of ``pairs`` that are similar enough are links."""
+        sketch = lambda side: own.select(F.col("_node").alias(side), F.col("_sketch").alias(f"_{side}"))
+        likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_estimate_passes(F.col("_a"), F.col("_b"))).select("a", "b")
+        found, found_path = materialize(verified(likely, texts, words_each, similarity), "found")
+        if not found.isEmpty():
+            old_path = root_path
+            root, root_path = components(found if root is None else found.union(root))
+            if old_path:
+                drop_path(spark, old_path)
+        drop_path(spark, found_path)
+        return root, root_path
+
+    root, root_path = linked_with(None, None, _stars(lists, similarity))
     hubs, again = FIRST_HUBS, False
     while True:
         labelled = lists.withColumn("_root", F.col("_node")) if root is None else lists.join(root, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
@@ -262,14 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .where((current["_node"] > chosen["_hub"]) & (F.col("_root") != F.col("_hub_root")) & (most * per_union >= (F.col("_n") + F.col("_hub_n") - most) * per_shared) & (F.array_min(F.array_intersect("_vs", "_hub_vs")) == current["_v"]))
             .select(F.col("_hub").alias("a"), F.col("_node").alias("b"))
         )
-        sketch = lambda side: own.select(F.col("_node").alias(side), F.col("_sketch").alias(f"_{side}"))
-        likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_estimate_passes(F.col("_a"), F.col("_b"))).select("a", "b")
-        found, _ = materialize(verified(likely, texts, words_each, similarity), "found")
-        if not found.isEmpty():
-            old_path = root_path
-            root, root_path = components(found if root is None else found.union(root))
-            if old_path:
-                drop_path(spark, old_path)
+        root, root_path = linked_with(root, root_path, pairs)
         again = True
         # Hubs have met everybody in their lists.
         lists, lists_path = materialize(current.select("_v", "_node", "_n", "_vs").join(chosen.select("_v", F.col("_hub").alias("_node")), ["_v", "_node"], "left_anti"), "lists")
