@@ -17,7 +17,7 @@
    of hubs grows eightfold from round to round.
 4. Set sizes, the number of shingles that no other member of an open list has,
    and the union sketch's estimate filter candidates; what is left is verified on
-   the full sets, once a pair. Components come from large-star and small-star
+   the full sets. Components come from large-star and small-star
    steps, all of them joins and aggregates.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer
