@@ -15,8 +15,8 @@
    A list ends when its members are of one component or all have been hubs, so
    a group of n near copies needs about n pairs, and no pair is lost. The number
    of hubs grows eightfold from round to round.
-4. Set sizes, the number of shingles that no other member of an open list has,
-   and the union sketch's estimate filter candidates; what is left is verified on
+4. Set sizes, the number of shingles that a member of an open list shares with
+   other components, and the union sketch's estimate filter candidates; what is left is verified on
    the full sets. Components come from large-star and small-star
    steps, all of them joins and aggregates.
 
@@ -196,22 +196,27 @@ def _one_of_each(lists: DataFrame) -> DataFrame:
     return lists.join(each.groupBy("c", "x", "y").agg(F.min("_v").alias("_v")).select("_v"), "_v", "left_semi")
 
 
-def _with_private(current: DataFrame, texts: DataFrame, words_each: int, similarity: tuple[int, int]) -> DataFrame:
-    """``current`` with _m, the shingles of a node that another node of an open
-    list has as well; nodes that can't be linked for want of them are left out."""
+def _with_shared(current: DataFrame, texts: DataFrame, words_each: int, similarity: tuple[int, int]) -> tuple[DataFrame, str]:
+    """``current`` with _m, the shingles of a node that a node of another component
+    in the open lists has as well; nodes that can't be linked to another
+    component for want of them are left out."""
+    kind = "_node binary, _root binary, _h long"
 
     def run(batches):
         for b in batches:
-            sets = [shingles(words(t.as_py()), words_each).astype(np.int64) for t in b.column(1)]
+            sets = [shingles(words(t.as_py()), words_each).astype(np.int64) for t in b.column(2)]
             which = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
             if len(which):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), pa.array(np.concatenate(sets))], names=["_node", "_h"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), b.column(1).take(pa.array(which)), pa.array(np.concatenate(sets))], names=["_node", "_root", "_h"])
 
-    own = texts.join(current.select("_node").distinct(), "_node", "left_semi").mapInArrow(run, "_node binary, _h long")
-    alone = own.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"), F.first("_node").alias("_node")).where("_c = 1")
-    private = alone.groupBy("_node").agg(F.count(F.lit(1)).alias("_u"))
+    nodes = current.select("_node", "_root").distinct()
+    own, own_path = materialize(texts.join(nodes, "_node").select("_node", "_root", "_text").mapInArrow(run, kind), "open-shingles")
+    crossing = own.groupBy("_h").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_h")
+    shared = own.join(crossing, "_h").groupBy("_node").agg(F.count(F.lit(1)).alias("_m"))
     per_union, per_shared = similarity
-    return current.join(private, "_node", "left").withColumn("_m", F.col("_n") - F.coalesce("_u", F.lit(0))).drop("_u").where(F.col("_m") * per_union >= F.col("_n") * per_shared)
+    left = materialize(current.join(shared, "_node").where(F.col("_m") * per_union >= F.col("_n") * per_shared), "open-lists")
+    drop_path(current.sparkSession, own_path)
+    return left
 
 
 def _stars(lists: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -256,15 +261,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return root, root_path
 
     root, root_path = linked_with(None, None, _stars(lists, similarity))
-    hubs, again = FIRST_HUBS, False
+    hubs = FIRST_HUBS
     while True:
         labelled = lists.withColumn("_root", F.col("_node")) if root is None else lists.join(root, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
         # Lists that still hold two components or more.
         open_lists = labelled.groupBy("_v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_v")
-        current, current_path = materialize(labelled.join(open_lists, "_v").withColumn("_m", F.col("_n")), "open-lists")
+        current, current_path = materialize(labelled.join(open_lists, "_v"), "open-lists")
         drop_path(spark, lists_path)
-        if again and not current.isEmpty():
-            fewer, fewer_path = materialize(_with_private(current.drop("_m"), texts, words_each, similarity), "open-lists")
+        if not current.isEmpty():
+            fewer, fewer_path = _with_shared(current, texts, words_each, similarity)
             drop_path(spark, current_path)
             current, current_path = fewer, fewer_path
         if current.isEmpty():
@@ -289,7 +294,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.col("_hub").alias("a"), F.col("_node").alias("b"))
         )
         root, root_path = linked_with(root, root_path, pairs)
-        again = True
         # Hubs have met everybody in their lists.
         lists, lists_path = materialize(current.select("_v", "_node", "_n", "_vs").join(chosen.select("_v", F.col("_hub").alias("_node")), ["_v", "_node"], "left_anti"), "lists")
         drop_path(spark, current_path)
