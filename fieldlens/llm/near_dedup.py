@@ -166,7 +166,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words_each: int, similarity: tu
 def _estimate_passes(x: Column, y: Column) -> Column:
     """The union sketch: of the smallest values of both, how many are in both."""
     size = F.least(F.lit(SKETCH), F.greatest(F.size(x), F.size(y)))
-    union = F.slice(F.array_sort(F.array_union(x, y)), F.lit(1), size)
+    union = F.slice(F.sort_array(F.array_union(x, y)), F.lit(1), size)
     return F.size(F.array_intersect(F.array_intersect(x, y), union)) >= _least(F.size(union)) - 1
 
 
@@ -196,10 +196,10 @@ def _one_of_each(lists: DataFrame) -> DataFrame:
     return lists.join(each.groupBy("c", "x", "y").agg(F.min("_v").alias("_v")).select("_v"), "_v", "left_semi")
 
 
-def _with_shared(current: DataFrame, texts: DataFrame, words_each: int, similarity: tuple[int, int]) -> tuple[DataFrame, str]:
-    """``current`` with _m, the shingles of a node that a node of another component
-    in the open lists has as well; nodes that can't be linked to another
-    component for want of them are left out."""
+def _with_shared(current: DataFrame, texts: DataFrame, own_sketches: DataFrame, words_each: int, similarity: tuple[int, int]) -> tuple[DataFrame, str]:
+    """``current`` with _sketch and _m, the shingles of a node that a node of
+    another component in the open lists has as well; nodes that can't be linked
+    to another component for want of them are left out."""
     kind = "_node binary, _root binary, _h long"
 
     def run(batches):
@@ -214,7 +214,8 @@ def _with_shared(current: DataFrame, texts: DataFrame, words_each: int, similari
     crossing = own.groupBy("_h").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_h")
     shared = own.join(crossing, "_h").groupBy("_node").agg(F.count(F.lit(1)).alias("_m"))
     per_union, per_shared = similarity
-    left = materialize(current.join(shared, "_node").where(F.col("_m") * per_union >= F.col("_n") * per_shared), "open-lists")
+    able = current.join(shared, "_node").where(F.col("_m") * per_union >= F.col("_n") * per_shared)
+    left = materialize(able.join(own_sketches, "_node"), "open-lists")
     drop_path(current.sparkSession, own_path)
     return left
 
@@ -247,10 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts, texts_path = materialize(_listed_texts(docs, reps, met, id_col, text_col), "texts")
     own, own_path = materialize(reps.join(met, "_node").select("_node", "_sketch"), "own-sketches")
 
-    def linked_with(root: DataFrame | None, root_path: str | None, pairs: DataFrame) -> tuple[DataFrame | None, str | None]:
-        """The components once those of ``pairs`` that are similar enough are links."""
-        sketch = lambda side: own.select(F.col("_node").alias(side), F.col("_sketch").alias(f"_{side}"))
-        likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_estimate_passes(F.col("_a"), F.col("_b"))).select("a", "b")
+    def linked_with(root: DataFrame | None, root_path: str | None, likely: DataFrame) -> tuple[DataFrame | None, str | None]:
+        """The components once those of the pairs ``likely`` that are similar enough are links."""
         found, found_path = materialize(verified(likely, texts, words_each, similarity), "found")
         if not found.isEmpty():
             old_path = root_path
@@ -260,7 +259,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         drop_path(spark, found_path)
         return root, root_path
 
-    root, root_path = linked_with(None, None, _stars(lists, similarity))
+    sketch = lambda side: own.select(F.col("_node").alias(side), F.col("_sketch").alias(f"_{side}"))
+    met_alone = _stars(lists, similarity).join(sketch("a"), "a").join(sketch("b"), "b").where(_estimate_passes(F.col("_a"), F.col("_b"))).select("a", "b")
+    root, root_path = linked_with(None, None, met_alone)
     hubs = FIRST_HUBS
     while True:
         labelled = lists.withColumn("_root", F.col("_node")) if root is None else lists.join(root, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
@@ -269,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         current, current_path = materialize(labelled.join(open_lists, "_v"), "open-lists")
         drop_path(spark, lists_path)
         if not current.isEmpty():
-            fewer, fewer_path = _with_shared(current, texts, words_each, similarity)
+            fewer, fewer_path = _with_shared(current, texts, own, words_each, similarity)
             drop_path(spark, current_path)
             current, current_path = fewer, fewer_path
         if current.isEmpty():
@@ -284,13 +285,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .where(F.col("_k") <= hubs)
             .withColumn("_k", F.row_number().over(then))
             .where(F.col("_k") <= hubs)
-            .select("_v", F.col("_node").alias("_hub"), F.col("_n").alias("_hub_n"), F.col("_m").alias("_hub_m"), F.col("_vs").alias("_hub_vs"), F.col("_root").alias("_hub_root"))
+            .select("_v", F.col("_node").alias("_hub"), F.col("_n").alias("_hub_n"), F.col("_m").alias("_hub_m"), F.col("_vs").alias("_hub_vs"), F.col("_sketch").alias("_hub_sketch"), F.col("_root").alias("_hub_root"))
         )
         chosen, chosen_path = materialize(chosen, "hubs")
         most = F.least("_m", "_hub_m")  # an intersection has at most
+        once = F.array_min(F.array_intersect("_vs", "_hub_vs")) == current["_v"]
+        sizes = most * per_union >= (F.col("_n") + F.col("_hub_n") - most) * per_shared
+        # The join itself looks at the sketches: what they rule out is not shuffled.
         pairs = (
-            current.join(chosen, current["_v"] == chosen["_v"])
-            .where((current["_node"] > chosen["_hub"]) & (F.col("_root") != F.col("_hub_root")) & (most * per_union >= (F.col("_n") + F.col("_hub_n") - most) * per_shared) & (F.array_min(F.array_intersect("_vs", "_hub_vs")) == current["_v"]))
+            current.join(chosen, (current["_v"] == chosen["_v"]) & (current["_node"] > chosen["_hub"]) & (F.col("_root") != F.col("_hub_root")) & sizes & once & _estimate_passes(F.col("_sketch"), F.col("_hub_sketch")))
             .select(F.col("_hub").alias("a"), F.col("_node").alias("b"))
         )
         root, root_path = linked_with(root, root_path, pairs)
