@@ -4,8 +4,8 @@
    ``SKETCH`` smallest: a bottom-k sketch. Documents with the same words are
    one representative from then on; the others only follow it.
 2. Inverted lists of retained values generate candidates. Of two sets with a
-   similarity of 0.85 or more, the sketches share at least ``_least(s)`` of s
-   values but for a chance below 1e-8, so the lists hold only values that occur
+   ``similarity`` or more, the sketches share at least ``_least(s, similarity)`` of
+   s values but for a chance of about 1e-8, so the lists hold only values that occur
    twice or more, and of a document's only so many of the rarest that any such
    partner must be met in one of them.
 3. Lists are not paired out. First each document meets one other alone, the member
@@ -30,6 +30,8 @@ rows that repeat an id get the same component; extra columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,6 +45,10 @@ WORDS = 5
 SKETCH = 32
 #: Link where PER_UNION * intersection >= PER_SHARED * union.
 SIMILARITY = (100, 85)
+#: The same where whole documents are dropped.
+DROP_SIMILARITY = (100, 80)
+#: A pair that is similar enough shares fewer sketch values than asked for with this chance at most.
+MISSED = 1.1e-8
 FIRST_HUBS = 4
 #: Words of the filter that spares texts a shuffle (2 MB).
 BLOOM_BLOCKS = 1 << 18
@@ -78,10 +84,22 @@ def shingles(found: list[bytes], n: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def _least(size: Column) -> Column:
-    """How many of a sketch's values a partner's sketch shares at least: 14 of
-    32 fails with a chance of 1e-8 at a similarity of 0.85."""
-    return F.greatest(F.lit(1), F.ceil(size * (14 / 32)).cast("int"))
+def least_shared(similarity: tuple[int, int], size: int = SKETCH) -> int:
+    """How many of ``size`` sketch values a pair at ``similarity`` shares but for a
+    chance of ``MISSED``: 14 of 32 at 0.85, 11 at 0.8. One at least, which fails more
+    often where the similarity is below about 0.45."""
+    p, below, m = similarity[1] / similarity[0], 0.0, 0
+    while m < size:
+        below += math.comb(size, m) * p**m * (1 - p) ** (size - m)
+        if below > MISSED:
+            break
+        m += 1
+    return max(1, m)
+
+
+def _least(size: Column, similarity: tuple[int, int]) -> Column:
+    """How many of a sketch's values a partner's sketch shares at least."""
+    return F.greatest(F.lit(1), F.ceil(size * (least_shared(similarity) / SKETCH)).cast("int"))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words_each: int = WORDS, size: int = SKETCH) -> DataFrame:
@@ -104,13 +122,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words_each: int = WORD
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"_id {kind}, _n long, _node binary, _sketch array<long>")
 
 
-def _inverted(reps: DataFrame) -> DataFrame:
+def _inverted(reps: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(_v, _node, _n): each representative in the lists of its rarest shared values."""
     entries = reps.select("_node", "_n", F.size("_sketch").alias("_s"), F.explode("_sketch").alias("_v"))
     often = entries.groupBy("_v").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
     shared = entries.join(often, "_v").groupBy("_node", "_n", "_s").agg(F.sort_array(F.collect_list(F.struct("_c", "_v"))).alias("_shared"))
     # At most SKETCH values a document. Those that occur once are the rarest and meet nobody.
-    ahead = F.size("_shared") - _least(F.col("_s")) + 1
+    ahead = F.size("_shared") - _least(F.col("_s"), similarity) + 1
     return shared.where(ahead >= 1).select("_node", "_n", F.explode(F.slice("_shared", F.lit(1), ahead)).alias("_e")).select(F.col("_e._v").alias("_v"), "_node", "_n")
 
 
@@ -163,11 +181,11 @@ def verified(pairs: DataFrame, texts: DataFrame, words_each: int, similarity: tu
     return full.mapInArrow(run, "a binary, b binary")
 
 
-def _estimate_passes(x: Column, y: Column) -> Column:
+def _estimate_passes(x: Column, y: Column, similarity: tuple[int, int]) -> Column:
     """The union sketch: of the smallest values of both, how many are in both."""
     size = F.least(F.lit(SKETCH), F.greatest(F.size(x), F.size(y)))
     union = F.slice(F.sort_array(F.array_union(x, y)), F.lit(1), size)
-    return F.size(F.array_intersect(F.array_intersect(x, y), union)) >= _least(F.size(union)) - 1
+    return F.size(F.array_intersect(F.array_intersect(x, y), union)) >= _least(F.size(union), similarity) - 1
 
 
 def _listed_texts(docs: DataFrame, reps: DataFrame, met: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -240,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = rows.where("_id is not null and _node is not null")
     # Same words: one node, whose representative is the smallest id.
     reps, _ = materialize(linked.groupBy("_node").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_sketch").alias("_sketch")), "nodes")
-    lists, first_path = materialize(_one_of_each(_inverted(reps)), "lists")
+    lists, first_path = materialize(_one_of_each(_inverted(reps, similarity)), "lists")
     own_lists = lists.groupBy("_node").agg(F.collect_list("_v").alias("_vs"))  # at most SKETCH
     lists, lists_path = materialize(lists.join(own_lists, "_node"), "lists")
     drop_path(spark, first_path)
@@ -260,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return root, root_path
 
     sketch = lambda side: own.select(F.col("_node").alias(side), F.col("_sketch").alias(f"_{side}"))
-    met_alone = _stars(lists, similarity).join(sketch("a"), "a").join(sketch("b"), "b").where(_estimate_passes(F.col("_a"), F.col("_b"))).select("a", "b")
+    met_alone = _stars(lists, similarity).join(sketch("a"), "a").join(sketch("b"), "b").where(_estimate_passes(F.col("_a"), F.col("_b"), similarity)).select("a", "b")
     root, root_path = linked_with(None, None, met_alone)
     hubs = FIRST_HUBS
     while True:
@@ -293,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sizes = most * per_union >= (F.col("_n") + F.col("_hub_n") - most) * per_shared
         # The join itself looks at the sketches: what they rule out is not shuffled.
         pairs = (
-            current.join(chosen, (current["_v"] == chosen["_v"]) & (current["_node"] > chosen["_hub"]) & (F.col("_root") != F.col("_hub_root")) & sizes & once & _estimate_passes(F.col("_sketch"), F.col("_hub_sketch")))
+            current.join(chosen, (current["_v"] == chosen["_v"]) & (current["_node"] > chosen["_hub"]) & (F.col("_root") != F.col("_hub_root")) & sizes & once & _estimate_passes(F.col("_sketch"), F.col("_hub_sketch"), similarity))
             .select(F.col("_hub").alias("a"), F.col("_node").alias("b"))
         )
         root, root_path = linked_with(root, root_path, pairs)
@@ -314,7 +332,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_c").alias("component_id"), (F.col("_id") == F.col("_c")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = DROP_SIMILARITY, **options) -> DataFrame:
     """One document of each component (and every row with a null id), columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, similarity=similarity, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

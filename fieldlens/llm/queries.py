@@ -28,7 +28,7 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), similarity=(100, 85))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
