@@ -2,12 +2,15 @@
 
 Training counts every byte after its ``ORDER`` preceding bytes, over all training
 documents: tasks merge counts of their own, a shuffle adds them up, and shorter
-contexts are sums of longer ones. The trie that is broadcast holds at most
-``MAX_NODES`` (context, byte) entries of each order, the most frequent ones (the
-count that an entry needs is found from the table of counts); what is pruned
-still counts towards its context's escape. Escape follows method C, and symbols
-seen in a longer context are excluded from the shorter one. A code length is the
-sum over a text's bytes, looked up for all positions of a batch at once.
+contexts are sums of longer ones. Escape follows method C, and symbols seen in a
+longer context are excluded from the shorter one. A code length is the sum over a
+text's bytes, looked up for all positions of a batch at once.
+
+The model is never pruned. Up to ``MAX_NODES`` (context, byte) entries of the
+longest order, which has the most, a trie of all of them is broadcast. Beyond that
+the tables stay in Spark: the costs of the most frequent entries are broadcast, at
+most ``MAX_NODES``, and the positions of all others are joined with costs from the
+tables, for each distinct gram that is asked for once.
 
 Text model: lower-cased words joined by one space, then an end symbol, so the
 probability is of the same word sequence as the unigram base's.
@@ -163,6 +166,50 @@ def contexts(grams: DataFrame, order: int, max_nodes: int) -> list[tuple[np.ndar
     return out
 
 
+def _bits(order: int) -> int:
+    """The mask of an order's context and byte."""
+    return (1 << 8 * (order + 1)) - 1
+
+
+def gram_costs(grams: DataFrame, asked: DataFrame, order: int) -> DataFrame:
+    """(key, cost): log10 of the probability of each gram of ``asked`` (key, distinct),
+    by joins with the counts ``grams`` (key, n) of the longest order. From the shortest
+    order up, each distinct suffix of a gram is costed once, so no key of a join has
+    more than 256 rows."""
+    asked, _ = materialize(asked.select("key"), "asked-grams")
+    shift = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(_bits(o)).alias("mask")) for o in range(order + 1)])).alias("s")
+    each = grams.select("key", "n", shift).groupBy(F.col("s.o").alias("o"), F.col("key").bitwiseAND(F.col("s.mask")).alias("key")).agg(F.sum("n").alias("n"))
+    each, _ = materialize(each, "grams")
+    level = [each.where(F.col("o") == o).select("key", "n", F.shiftright("key", 8).alias("context")) for o in range(order + 1)]
+    totals = [e.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("q")) for e in level]
+    last = -math.log10(max(1, SYMBOLS - level[0].count()))
+    costed = None
+    for o in range(order + 1):
+        ready = totals[o]
+        if o:
+            # What the shorter context has left when this one escapes to it.
+            short_key, short_context = F.lit(_bits(o - 1)), F.lit(_bits(o - 2) if o > 1 else 0)
+            shorter = level[o - 1].select(F.col("key").alias("_short"), F.col("n").alias("_seen"))
+            seen = level[o].select("context", F.col("key").bitwiseAND(short_key).alias("_short")).join(shorter, "_short").groupBy("context").agg(F.sum("_seen").alias("seen"))
+            up = totals[o - 1].select(F.col("context").alias("_up"), F.col("total").alias("up_total"), F.col("q").alias("up_q"))
+            away = F.greatest(F.col("up_q") - F.col("q"), F.lit(1))
+            short_total = F.log10(F.col("up_total") - F.col("seen") + away)
+            ready = ready.join(seen, "context").withColumn("_up", F.col("context").bitwiseAND(short_context)).join(up, "_up").select("context", "total", "q", short_total.alias("short_total"), (F.log10(away) - short_total).alias("short_escape"))
+        own = asked.select(F.col("key").bitwiseAND(F.lit(_bits(o))).alias("key")).distinct().withColumn("context", F.shiftright("key", 8))
+        rows = own.join(level[o].select("key", F.log10("n").alias("log_n")), "key", "left").join(ready, "context", "left")
+        below, fresh = F.lit(last), F.lit(None).cast("double")
+        if o:
+            rows = rows.withColumn("_short", F.col("key").bitwiseAND(short_key)).join(costed.select(F.col("key").alias("_short"), F.col("log_n").alias("_log_n"), F.col("below").alias("_below"), F.col("fresh").alias("_fresh")), "_short")
+            below = F.when(F.col("_log_n").isNotNull(), F.col("_log_n") - F.col("short_total")).otherwise(F.col("short_escape") + F.col("_below"))
+            fresh = F.col("_fresh")
+        # below: from here on when this context misses; fresh: when no longer context was seen.
+        direct = F.log10(F.col("total") + F.col("q"))
+        rows = rows.withColumn("below", below)
+        costed = rows.select("key", "log_n", "below", F.when(F.col("total").isNull(), fresh).when(F.col("log_n").isNotNull(), F.col("log_n") - direct).otherwise(F.log10("q") - direct + F.col("below")).alias("fresh"))
+        costed, _ = materialize(costed, "costed")
+    return costed.select("key", F.col("fresh").alias("cost"))
+
+
 class _Table:
     """Open addressing over 64-bit keys, all lookups of a batch at once."""
 
@@ -197,15 +244,33 @@ class _Table:
         return out
 
 
+class Frequent:
+    """Costs of the most frequent grams; of other grams not known."""
+
+    def __init__(self, keys: np.ndarray, costs: np.ndarray, order: int):
+        self.keys, self.values, self.order, self.table = keys, costs, order, None
+
+    def __getstate__(self):
+        return {**self.__dict__, "table": None}
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """log10 of each byte's probability, NaN where it isn't known."""
+        if self.table is None:
+            self.table = _Table(self.keys)
+        at = self.table.find(grams)
+        return np.where(at >= 0, self.values[at], np.nan) if len(self.values) else np.full(len(grams), np.nan)
+
+
 class Trie:
     """Code lengths of bytes after contexts."""
 
     def __init__(self, levels):
         self.levels = levels
+        self.order = len(levels) - 1 if levels else 0
         self.ready = None
 
     def __getstate__(self):
-        return {"levels": self.levels, "ready": None}
+        return {"levels": self.levels, "order": self.order, "ready": None}
 
     def prepare(self) -> None:
         """For each order: entries with log10 count and log10 of their probability
@@ -273,6 +338,17 @@ class Trie:
         return out
 
 
+def _model(grams: DataFrame, order: int, max_nodes: int) -> Trie | Frequent:
+    """All of the model if it is small, else the costs of its most frequent grams."""
+    if grams.count() <= max_nodes:
+        return Trie(contexts(grams, order, max_nodes))
+    by_context = grams.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("q"))
+    most = grams.where(F.col("n") >= _least_count(grams, max_nodes)).withColumn("context", F.shiftright("key", 8))
+    # A gram that was seen is found in its longest context.
+    rows = most.join(by_context, "context").select("key", (F.log10("n") - F.log10(F.col("total") + F.col("q"))).alias("cost")).toArrow()
+    return Frequent(rows.column("key").to_numpy().astype(np.uint64), rows.column("cost").to_numpy(), order)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES, max_words: int = MAX_WORDS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -280,25 +356,31 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     counts, _ = materialize(count_training(train, order), "counts")
     own_words = counts.where("kind = 1").select("key", "n")
     total, distinct = own_words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    trie = Trie(contexts(counts.where("kind = 0").select("key", "n"), order, max_nodes) if total else [])
+    own_grams = counts.where("kind = 0").select("key", "n")
+    model = _model(own_grams, order, max_nodes) if total else Trie([])
+    grams_asked = isinstance(model, Frequent)
     often = own_words.where(F.col("n") >= _least_count(own_words, max_words)).toArrow()
     at = np.argsort(often.column("key").to_numpy())
-    sent = spark.sparkContext.broadcast((trie, often.column("key").to_numpy()[at], often.column("n").to_numpy()[at]))
+    sent = spark.sparkContext.broadcast((model, often.column("key").to_numpy()[at], often.column("n").to_numpy()[at]))
     below = math.log10(total + 0.1 * (distinct + 1)) if total else math.log10(0.1)
     narrow = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
     kind = narrow.schema[0].dataType.simpleString()
     rare_exist = distinct > len(at)
 
     def run(batches):
-        trie, key, n = sent.value
+        model, key, n = sent.value
         log_n = np.log10(n + 0.1) - below
         unknown = math.log10(0.1) - below
         for b in batches:
             start = 0
             for group in _groups(b.column(2), _SCORE_BATCH):
-                grams, sizes = codes(group, len(trie.levels) - 1 if trie.levels else 0)
+                grams, sizes = codes(group, model.order)
                 ends = np.cumsum(sizes)
-                score = np.add.reduceat(trie.costs(grams), ends - sizes) if trie.levels else sizes * -math.log10(SYMBOLS)
+                costs = model.costs(grams) if total else np.full(len(grams), -math.log10(SYMBOLS))
+                open_ = np.isnan(costs)
+                score = np.add.reduceat(np.where(open_, 0.0, costs), ends - sizes)
+                n_open = np.add.reduceat(open_.astype(np.int64), ends - sizes)
+                asked = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_open)]).astype(np.int32)), pa.array(grams[open_].astype(np.int64)))
                 lengths = np.array([len(t) + 1 for t in group], dtype=np.int64)
                 hashes = np.fromiter((h for t in group for h in [*map(_hashes.__getitem__, t), END_WORD]), dtype=np.int64, count=int(lengths.sum()))
                 p = np.minimum(np.searchsorted(key, hashes), len(key) - 1) if len(key) else np.zeros(len(hashes), np.int64)
@@ -310,12 +392,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                 n_rare = np.add.reduceat((~found).astype(np.int64), first) if rare_exist else np.zeros(len(group), np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)), pa.array(rare))
                 rows = len(group)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, rows), b.column(1).slice(start, rows), pa.array(lengths), pa.array(known), pa.array(base), pa.array(score), lists], names=[id_col, "_row", "n_tokens", "n_known", "base_score", "score", "_rare"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, rows), b.column(1).slice(start, rows), pa.array(lengths), pa.array(known), pa.array(base), pa.array(score), lists, asked], names=[id_col, "_row", "n_tokens", "n_known", "base_score", "score", "_rare", "_asked"])
                 start += rows
 
-    scored = narrow.mapInArrow(run, f"`{id_col}` {kind}, _row long, n_tokens long, n_known long, base_score double, score double, _rare array<long>")
-    if rare_exist:
+    scored = narrow.mapInArrow(run, f"`{id_col}` {kind}, _row long, n_tokens long, n_known long, base_score double, score double, _rare array<long>, _asked array<long>")
+    if rare_exist or grams_asked:
         scored, _ = materialize(scored, "scored")
+    if grams_asked:
+        asked = scored.select("_row", F.explode("_asked").alias("key")).groupBy("_row", "key").agg(F.count(F.lit(1)).alias("_times"))
+        costs = gram_costs(own_grams, asked.select("key").distinct(), order)
+        added = asked.join(costs, "key").groupBy("_row").agg(F.sum(F.col("_times") * F.col("cost")).alias("_score"))
+        scored = scored.join(added, "_row", "left").withColumn("score", F.col("score") + F.coalesce("_score", F.lit(0.0))).drop("_score")
+    if rare_exist:
         asked = scored.select("_row", F.explode("_rare").alias("key"))
         joined = asked.join(own_words, "key", "left").groupBy("_row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1) - below).alias("_base"), F.count("n").alias("_known"))
         scored = scored.drop("_rare").join(joined, "_row", "left").withColumn("n_known", F.col("n_known") + F.coalesce("_known", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("_base", F.lit(0.0)))
