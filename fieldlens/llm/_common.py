@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+ARROW_BYTES, ARROW_ROWS = 4 << 20, 4000
 _own_dir: list[str] = []
 
 
@@ -38,12 +39,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fieldlens/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialize(df: DataFrame, name: str, files: int | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut of
-    the lineage that survives lost executors. Returns the table and its path."""
+    the lineage that survives lost executors. ``files``: at most so many files, for
+    tables that are small beside the number of partitions. Returns the table and
+    its path."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -69,6 +72,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_kept: dict[str, object] = {}
+
+
+def worker_cache(owner: str, make):
+    """What a Python worker keeps from one task of an operator to the next, made by
+    ``make``. Workers outlive operators: the next owner's first call drops it."""
+    if owner not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ARROW_BYTES`` or ``ARROW_ROWS``, unless the session
+    has settings of its own: long rows make batches of many megabytes otherwise,
+    which JVM and Python worker hold several times."""
+    for key, value in (("maxBytesPerBatch", ARROW_BYTES), ("maxRecordsPerBatch", ARROW_ROWS)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(value))
+
+
 def slices_by_bytes(texts: pa.Array, most: int):
     """(start, stop) row ranges of about ``most`` bytes, one row at least."""
     if len(texts) == 0:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize
+from ._common import bound_batches, materialize, worker_cache
 
 ORDER = 5
 MAX_NODES = 2_000_000
@@ -106,10 +106,11 @@ def count_training(train: DataFrame, order: int) -> DataFrame:
             size[kind] = 0
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int64)), pa.array(c)], names=["kind", "key", "n"])
 
+        known = worker_cache("lm_score", _Hashes)
         for b in batches:
             for group in _groups(b.column(0)):
                 grams, _ = codes(group, order)
-                own = np.fromiter((h for t in group for h in [*map(_hashes.__getitem__, t), END_WORD]), dtype=np.int64)
+                own = np.fromiter((h for t in group for h in [*map(known.__getitem__, t), END_WORD]), dtype=np.int64)
                 for kind, values in ((0, grams), (1, own)):
                     k, c = np.unique(values, return_counts=True)
                     held[kind][0].append(k)
@@ -132,9 +133,6 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
 def _least_count(counts: DataFrame, most: int) -> int:
     """The smallest count c for which at most ``most`` rows have n >= c."""
     c = 1
@@ -352,6 +350,7 @@ def _model(grams: DataFrame, order: int, max_nodes: int) -> Trie | Frequent:
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES, max_words: int = MAX_WORDS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    bound_batches(spark)
     train = docs.where(~held_out(F.col(id_col))).select(F.col(text_col).alias("_text"))
     counts, _ = materialize(count_training(train, order), "counts")
     own_words = counts.where("kind = 1").select("key", "n")
@@ -371,6 +370,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         model, key, n = sent.value
         log_n = np.log10(n + 0.1) - below
         unknown = math.log10(0.1) - below
+        hashes_of = worker_cache("lm_score", _Hashes)
         for b in batches:
             start = 0
             for group in _groups(b.column(2), _SCORE_BATCH):
@@ -382,7 +382,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                 n_open = np.add.reduceat(open_.astype(np.int64), ends - sizes)
                 asked = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_open)]).astype(np.int32)), pa.array(grams[open_].astype(np.int64)))
                 lengths = np.array([len(t) + 1 for t in group], dtype=np.int64)
-                hashes = np.fromiter((h for t in group for h in [*map(_hashes.__getitem__, t), END_WORD]), dtype=np.int64, count=int(lengths.sum()))
+                hashes = np.fromiter((h for t in group for h in [*map(hashes_of.__getitem__, t), END_WORD]), dtype=np.int64, count=int(lengths.sum()))
                 p = np.minimum(np.searchsorted(key, hashes), len(key) - 1) if len(key) else np.zeros(len(hashes), np.int64)
                 found = key[p] == hashes if len(key) else np.zeros(len(hashes), bool)
                 cost = np.where(found, log_n[p], 0.0 if rare_exist else unknown) if len(key) else np.full(len(hashes), unknown)

@@ -10,15 +10,16 @@
    partner must be met in one of them.
 3. Lists are not paired out. First each document meets one other alone, the member
    it shares most lists with of those that come first in a list; that joins most of
-   a large group. Then, in each round, a few members of a list (hubs) meet
-   the members that are not in their component yet; then hubs leave the list.
-   A list ends when its members are of one component or all have been hubs, so
-   a group of n near copies needs about n pairs, and no pair is lost. The number
-   of hubs grows eightfold from round to round.
+   a large group. Lists whose members are joined by then are done. In the others the
+   first few members (hubs) meet those that they aren't joined with yet, then the
+   next few, and at last the members that are left. Between these steps what was
+   joined is told from labels, which a few pointer jumps give; they only spare
+   meetings, so they need not be complete. Members of a long list are dealt to
+   blocks, to each of which its hubs are sent, so no key of a join is hot.
 4. Set sizes, the number of shingles that a member of an open list shares with
-   other components, and the union sketch's estimate filter candidates; what is left is verified on
-   the full sets. Components come from large-star and small-star
-   steps, all of them joins and aggregates.
+   other labels, and the union sketch's estimate filter candidates; what is left is
+   verified on the full sets. Components of all links come from large-star and
+   small-star steps, all of them joins and aggregates.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer
 than ``WORDS`` words is one shingle.
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import drop_path, materialize
+from ._common import bound_batches, drop_path, materialize, worker_cache
 
 WORDS = 5
 SKETCH = 32
@@ -49,10 +50,17 @@ SIMILARITY = (100, 85)
 DROP_SIMILARITY = (100, 80)
 #: A pair that is similar enough shares fewer sketch values than asked for with this chance at most.
 MISSED = 1.1e-8
-FIRST_HUBS = 4
+#: Places in a list up to which its members are hubs, step by step; then come all others.
+HUBS = (4, 64)
+#: Members of a list that meet its hubs in one block.
+BLOCK = 1000
+#: Bytes of an intermediate table to a file.
+_FILE_BYTES = 64 << 20
+#: 64-bit words of a sketch's bit set.
+BIT_WORDS = 4
 #: Words of the filter that spares texts a shuffle (2 MB).
 BLOOM_BLOCKS = 1 << 18
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,9 +72,6 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -75,7 +80,8 @@ def shingles(found: list[bytes], n: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text's words."""
     if not found:
         return np.empty(0, dtype=np.uint64)
-    ids = np.fromiter(map(_hashes.__getitem__, found), dtype=np.uint64, count=len(found))
+    known = worker_cache("near_dedup", _WordHashes)
+    ids = np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
     k = min(n, len(ids))
     h = np.full(len(ids) - k + 1, k, dtype=np.uint64)
     for j in range(k):
@@ -103,7 +109,8 @@ def _least(size: Column, similarity: tuple[int, int]) -> Column:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words_each: int = WORDS, size: int = SKETCH) -> DataFrame:
-    """Per row: _id, _n (set size), _node (digest of the words), _sketch."""
+    """Per row: _id, _n (set size), _node (digest of the words), _sketch and _bits,
+    the sketch as a bit set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -117,9 +124,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words_each: int = WORD
                 kept.append(full[:size].astype(np.int64))
             lengths = np.cumsum([0, *map(len, kept)]).astype(np.int32)
             values = np.concatenate(kept) if kept else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(values, pa.int64()))], names=["_id", "_n", "_node", "_sketch"])
+            at = values & (64 * BIT_WORDS - 1)
+            bit = (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)
+            # A zero at the end, and none where a list is empty.
+            words_of = [np.bitwise_or.reduceat(np.append(np.where(at >> 6 == j, bit, 0), 0), lengths[:-1]) if len(kept) else values for j in range(BIT_WORDS)]
+            bits = [pa.array(np.where(np.diff(lengths) > 0, w, 0)) for w in words_of]
+            sketch = pa.ListArray.from_arrays(pa.array(lengths), pa.array(values, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), sketch, pa.StructArray.from_arrays(bits, names=[f"b{j}" for j in range(BIT_WORDS)])], names=["_id", "_n", "_node", "_sketch", "_bits"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"_id {kind}, _n long, _node binary, _sketch array<long>")
+    bits_type = ", ".join(f"b{j}: long" for j in range(BIT_WORDS))
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"_id {kind}, _n long, _node binary, _sketch array<long>, _bits struct<{bits_type}>")
 
 
 def _inverted(reps: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -132,7 +146,12 @@ def _inverted(reps: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return shared.where(ahead >= 1).select("_node", "_n", F.explode(F.slice("_shared", F.lit(1), ahead)).alias("_e")).select(F.col("_e._v").alias("_v"), "_node", "_n")
 
 
-def components(links: DataFrame, name: str = "links") -> tuple[DataFrame, str]:
+def _files(spark, size: int) -> int:
+    """How many files hold ``size`` bytes; two for each core at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-size // _FILE_BYTES))
+
+
+def components(links: DataFrame, name: str = "links", files: int | None = None) -> tuple[DataFrame, str]:
     """(_node, _root) of every node of ``links`` (a, b) but the roots themselves, by
     alternating large-star and small-star steps until nothing changes."""
     spark = links.sparkSession
@@ -145,7 +164,7 @@ def components(links: DataFrame, name: str = "links") -> tuple[DataFrame, str]:
         # Small star: a node and its smaller neighbours go to the smallest.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        new, new_path = materialize(small, name)
+        new, new_path = materialize(small, name, files)
         if path:
             drop_path(spark, path)
         edges, path = new, new_path
@@ -188,11 +207,21 @@ def _estimate_passes(x: Column, y: Column, similarity: tuple[int, int]) -> Colum
     return F.size(F.array_intersect(F.array_intersect(x, y), union)) >= _least(F.size(union), similarity) - 1
 
 
-def _listed_texts(docs: DataFrame, reps: DataFrame, met: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_node, _text) of the representatives in ``met``. A blocked Bloom filter of
-    their ids, of at most ``BLOOM_BLOCKS`` words, spares most texts the shuffle;
-    the join and the digest make the result exact."""
-    wanted = reps.join(met, "_node").select("_rep", "_node")
+def _may_pass(x: str, y: str, similarity: tuple[int, int]) -> Column:
+    """What :func:`_estimate_passes` asks for at least, from the bit sets. Two sketches
+    share no more values than bits, but for the values that share a bit in one of them."""
+    size = lambda a: F.size(f"{a}_sketch")
+    words_of = range(BIT_WORDS)
+    total = lambda parts: sum(parts[1:], parts[0])
+    common = total([F.bit_count(F.col(f"{x}_bits")[f"b{j}"].bitwiseAND(F.col(f"{y}_bits")[f"b{j}"])) for j in words_of])
+    double = lambda a: size(a) - total([F.bit_count(F.col(f"{a}_bits")[f"b{j}"]) for j in words_of])
+    return common + F.least(double(x), double(y)) >= _least(F.least(F.lit(SKETCH), F.greatest(size(x), size(y))), similarity) - 1
+
+
+def _listed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_node, _text) of the representatives ``wanted`` (_rep, _node). A blocked Bloom
+    filter of their ids, of at most ``BLOOM_BLOCKS`` words, spares most texts the
+    shuffle; the join and the digest make the result exact."""
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOOM_BLOCKS))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(63)).cast("int"))
     blocks = wanted.groupBy(block(F.col("_rep")).alias("_block")).agg(F.bit_or(bit(F.col("_rep"))).alias("_bits"))
@@ -214,10 +243,9 @@ def _one_of_each(lists: DataFrame) -> DataFrame:
     return lists.join(each.groupBy("c", "x", "y").agg(F.min("_v").alias("_v")).select("_v"), "_v", "left_semi")
 
 
-def _with_shared(current: DataFrame, texts: DataFrame, own_sketches: DataFrame, words_each: int, similarity: tuple[int, int]) -> tuple[DataFrame, str]:
-    """``current`` with _sketch and _m, the shingles of a node that a node of
-    another component in the open lists has as well; nodes that can't be linked
-    to another component for want of them are left out."""
+def _able(current: DataFrame, texts: DataFrame, words_each: int, similarity: tuple[int, int]) -> DataFrame:
+    """(_node, _m) of the nodes of ``current`` that may still be linked with another
+    label: _m of their shingles occur in a node with another label as well."""
     kind = "_node binary, _root binary, _h long"
 
     def run(batches):
@@ -227,15 +255,54 @@ def _with_shared(current: DataFrame, texts: DataFrame, own_sketches: DataFrame,
             if len(which):
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), b.column(1).take(pa.array(which)), pa.array(np.concatenate(sets))], names=["_node", "_root", "_h"])
 
-    nodes = current.select("_node", "_root").distinct()
-    own, own_path = materialize(texts.join(nodes, "_node").select("_node", "_root", "_text").mapInArrow(run, kind), "open-shingles")
+    nodes = current.select("_node", "_root", "_n").distinct()
+    own = texts.join(nodes, "_node").select("_node", "_root", "_text").mapInArrow(run, kind)
     crossing = own.groupBy("_h").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_h")
     shared = own.join(crossing, "_h").groupBy("_node").agg(F.count(F.lit(1)).alias("_m"))
     per_union, per_shared = similarity
-    able = current.join(shared, "_node").where(F.col("_m") * per_union >= F.col("_n") * per_shared)
-    left = materialize(able.join(own_sketches, "_node"), "open-lists")
-    drop_path(current.sparkSession, own_path)
-    return left
+    return shared.join(nodes, "_node").where(F.col("_m") * per_union >= F.col("_n") * per_shared).select("_node", "_m")
+
+
+def _open(lists: DataFrame) -> DataFrame:
+    """(_v, _blocks): lists whose members have two labels or more."""
+    each = lists.groupBy("_v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count(F.lit(1)).alias("_c"))
+    return each.where("_lo <> _hi").select("_v", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks"))
+
+
+def _ranked(lists: DataFrame) -> DataFrame:
+    """With _k, the place in the list by node; null beyond the last of ``HUBS``. A
+    task passes on no more than that many rows of a list."""
+    first = lists.select("_v", "_node", F.row_number().over(Window.partitionBy("_v").orderBy("_node")).alias("_k")).where(F.col("_k") <= HUBS[-1])
+    return lists.join(first, ["_v", "_node"], "left")
+
+
+def _labels(links: DataFrame, jumps: int = 2) -> DataFrame:
+    """(_from, _to): of the ends of ``links`` (a, b), a smaller node that each larger
+    one reaches; not always the smallest."""
+    up = links.groupBy(F.greatest("a", "b").alias("_from")).agg(F.min(F.least("a", "b")).alias("_to"))
+    for _ in range(jumps):
+        next_up = up.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        up = up.join(next_up, "_to", "left").select("_from", F.coalesce("_next", "_to").alias("_to"))
+    return up
+
+
+def _meetings(current: DataFrame, after: int, upto: int | None, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): hubs at the places ``after`` + 1 to ``upto`` of each open list with the
+    members that come later and have another label, if sizes and sketches allow it."""
+    per_union, per_shared = similarity
+    is_hub = F.col("_k").isNull() | (F.col("_k") > after)
+    is_hub = is_hub if upto is None else is_hub & (F.col("_k") <= upto)
+    hubs = current.where(is_hub).select(
+        "_v", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), *[F.col(c).alias(f"_hub{c}") for c in ("_node", "_n", "_m", "_sketch", "_bits", "_root")]
+    )
+    members = current.withColumn("_block", F.pmod(F.hash("_node"), F.col("_blocks")))
+    most = F.least("_m", "_hub_m")  # an intersection has at most
+    fits = most * per_union >= (F.col("_n") + F.col("_hub_n") - most) * per_shared
+    apart = (F.col("_node") > F.col("_hub_node")) & (F.col("_root") != F.col("_hub_root"))
+    # The join itself looks at the sketches: what they rule out is not shuffled.
+    near = _estimate_passes(F.col("_sketch"), F.col("_hub_sketch"), similarity)
+    met = members.join(hubs, (members["_v"] == hubs["_v"]) & (members["_block"] == hubs["_block"]) & apart & fits & _may_pass("", "_hub", similarity) & near)
+    return met.select(F.col("_hub_node").alias("a"), F.col("_node").alias("b")).distinct()
 
 
 def _stars(lists: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -253,74 +320,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: the id, n_shingles, component_id and kept (the id is the smallest
     of its component)."""
     spark = docs.sparkSession
-    per_union, per_shared = similarity
+    bound_batches(spark)
     rows, _ = materialize(sketches(docs, id_col, text_col, words_each), "sketches")
     linked = rows.where("_id is not null and _node is not null")
+    n = rows.count()
+    narrow, wide = _files(spark, 48 * n), _files(spark, (48 + 8 * SKETCH) * n)
     # Same words: one node, whose representative is the smallest id.
-    reps, _ = materialize(linked.groupBy("_node").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_sketch").alias("_sketch")), "nodes")
-    lists, first_path = materialize(_one_of_each(_inverted(reps, similarity)), "lists")
-    own_lists = lists.groupBy("_node").agg(F.collect_list("_v").alias("_vs"))  # at most SKETCH
-    lists, lists_path = materialize(lists.join(own_lists, "_node"), "lists")
-    drop_path(spark, first_path)
-    met, met_path = materialize(lists.select("_node").distinct(), "met")
-    texts, texts_path = materialize(_listed_texts(docs, reps, met, id_col, text_col), "texts")
-    own, own_path = materialize(reps.join(met, "_node").select("_node", "_sketch"), "own-sketches")
-
-    def linked_with(root: DataFrame | None, root_path: str | None, likely: DataFrame) -> tuple[DataFrame | None, str | None]:
-        """The components once those of the pairs ``likely`` that are similar enough are links."""
-        found, found_path = materialize(verified(likely, texts, words_each, similarity), "found")
-        if not found.isEmpty():
-            old_path = root_path
-            root, root_path = components(found if root is None else found.union(root))
-            if old_path:
-                drop_path(spark, old_path)
-        drop_path(spark, found_path)
-        return root, root_path
+    reps, _ = materialize(linked.groupBy("_node").agg(F.min("_id").alias("_rep"), *[F.first(c).alias(c) for c in ("_n", "_sketch", "_bits")]), "nodes", wide)
+    lists, lists_path = materialize(_one_of_each(_inverted(reps, similarity)), "lists", wide)
+    own, own_path = materialize(reps.join(lists.select("_node").distinct(), "_node"), "listed", wide)
+    texts, texts_path = materialize(_listed_texts(docs, own.select("_rep", "_node"), id_col, text_col), "texts")
+    scratch, links = [lists_path, own_path, texts_path], []
+
+    def linked_of(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar enough: links."""
+        found, path = materialize(verified(pairs, texts, words_each, similarity), "found", narrow)
+        scratch.append(path)
+        links.append(found)
+        return found
 
     sketch = lambda side: own.select(F.col("_node").alias(side), F.col("_sketch").alias(f"_{side}"))
     met_alone = _stars(lists, similarity).join(sketch("a"), "a").join(sketch("b"), "b").where(_estimate_passes(F.col("_a"), F.col("_b"), similarity)).select("a", "b")
-    root, root_path = linked_with(None, None, met_alone)
-    hubs = FIRST_HUBS
-    while True:
-        labelled = lists.withColumn("_root", F.col("_node")) if root is None else lists.join(root, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-        # Lists that still hold two components or more.
-        open_lists = labelled.groupBy("_v").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_v")
-        current, current_path = materialize(labelled.join(open_lists, "_v"), "open-lists")
-        drop_path(spark, lists_path)
-        if not current.isEmpty():
-            fewer, fewer_path = _with_shared(current, texts, own, words_each, similarity)
-            drop_path(spark, current_path)
-            current, current_path = fewer, fewer_path
-        if current.isEmpty():
-            drop_path(spark, current_path)
+    labels = _labels(linked_of(met_alone)).select(F.col("_from").alias("_node"), F.col("_to").alias("_root"))
+    labelled, path = materialize(lists.join(labels, "_node", "left").withColumn("_root", F.coalesce("_root", "_node")), "labelled", wide)
+    scratch.append(path)
+    still, path = materialize(labelled.join(_open(labelled), "_v"), "open", wide)
+    scratch.append(path)
+    steps = list(zip((0, *HUBS), (*HUBS, None), strict=True))
+    for number, (after, upto) in enumerate(steps):
+        if still.isEmpty():
+            break
+        if number in (0, len(steps) - 1):
+            # Who can't be linked with any of those that are left takes no more part.
+            able = _able(still, texts, words_each, similarity).join(own.select("_node", "_sketch", "_bits"), "_node")
+            still = still.select("_v", "_node", "_n", "_root", "_blocks").join(able, "_node")
+            still, path = materialize(still.withColumn("_k", F.lit(None).cast("int")) if number else _ranked(still), "open-lists", wide)
+            scratch.append(path)
+        found = linked_of(_meetings(still, after, upto, similarity))
+        if upto is None:
             break
-        # The first few of each list (so every other member comes after them), in two steps so that no task ranks a whole list.
-        first = Window.partitionBy("_v", "_salt").orderBy("_node")
-        then = Window.partitionBy("_v").orderBy("_node")
-        chosen = (
-            current.withColumn("_salt", F.pmod(F.hash("_node"), F.lit(32)))
-            .withColumn("_k", F.row_number().over(first))
-            .where(F.col("_k") <= hubs)
-            .withColumn("_k", F.row_number().over(then))
-            .where(F.col("_k") <= hubs)
-            .select("_v", F.col("_node").alias("_hub"), F.col("_n").alias("_hub_n"), F.col("_m").alias("_hub_m"), F.col("_vs").alias("_hub_vs"), F.col("_sketch").alias("_hub_sketch"), F.col("_root").alias("_hub_root"))
-        )
-        chosen, chosen_path = materialize(chosen, "hubs")
-        most = F.least("_m", "_hub_m")  # an intersection has at most
-        once = F.array_min(F.array_intersect("_vs", "_hub_vs")) == current["_v"]
-        sizes = most * per_union >= (F.col("_n") + F.col("_hub_n") - most) * per_shared
-        # The join itself looks at the sketches: what they rule out is not shuffled.
-        pairs = (
-            current.join(chosen, (current["_v"] == chosen["_v"]) & (current["_node"] > chosen["_hub"]) & (F.col("_root") != F.col("_hub_root")) & sizes & once & _estimate_passes(F.col("_sketch"), F.col("_hub_sketch"), similarity))
-            .select(F.col("_hub").alias("a"), F.col("_node").alias("b"))
-        )
-        root, root_path = linked_with(root, root_path, pairs)
+        ends = [still.select(F.col("_node").alias(x), F.col("_root").alias(f"_{x}")).distinct() for x in "ab"]
+        moved = _labels(found.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
         # Hubs have met everybody in their lists.
-        lists, lists_path = materialize(current.select("_v", "_node", "_n", "_vs").join(chosen.select("_v", F.col("_hub").alias("_node")), ["_v", "_node"], "left_anti"), "lists")
-        drop_path(spark, current_path)
-        drop_path(spark, chosen_path)
-        hubs *= 8
-    for p in (texts_path, own_path, met_path):
+        now = still.drop("_blocks").where(F.col("_k").isNull() | (F.col("_k") > upto)).join(moved, F.col("_root") == F.col("_from"), "left").withColumn("_root", F.coalesce("_to", "_root")).drop("_from", "_to")
+        now, path = materialize(now, "labelled", wide)
+        scratch.append(path)
+        still, path = materialize(now.join(_open(now), "_v"), "open", wide)
+        scratch.append(path)
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    root, root_path = (None, None) if every.isEmpty() else components(every, files=narrow)
+    for p in scratch:
         drop_path(spark, p)
 
     named = reps.select("_node", "_rep")

@@ -13,7 +13,6 @@ not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,13 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices_by_bytes, tokenizer_path
+from ._common import bound_batches, slices_by_bytes, tokenizer_path, worker_cache
 
 BATCH_BYTES = 4 << 20
 CACHE_PIECES = 300_000
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     import os
 
@@ -41,9 +39,11 @@ def _tokenizer(path: str):
     return tok
 
 
-@lru_cache(maxsize=2)
-def _lengths(path: str) -> dict[str, int]:
-    return {}
+class Known:
+    """A tokenizer and the lengths of pieces that it has counted."""
+
+    def __init__(self, path: str):
+        self.tok, self.lengths = _tokenizer(path), {}
 
 
 def pieces(text: str) -> list[str]:
@@ -53,14 +53,15 @@ def pieces(text: str) -> list[str]:
 
 def count_batch(texts: list[str], path: str, cache_pieces: int = CACHE_PIECES) -> list[int]:
     """Tokens of each text."""
-    known = _lengths(path)
+    own = worker_cache("token counts " + path, lambda: Known(path))
+    known = own.lengths
     split = [pieces(t) for t in texts]
     new = list(set(chain.from_iterable(split)) - known.keys())
     if new:
         if len(known) + len(new) > cache_pieces:
             known.clear()
             new = list(set(chain.from_iterable(split)))
-        for e, piece in zip(_tokenizer(path).encode_batch_fast(new, add_special_tokens=False), new, strict=True):
+        for e, piece in zip(own.tok.encode_batch_fast(new, add_special_tokens=False), new, strict=True):
             known[piece] = len(e)
     get = known.__getitem__
     return [sum(map(get, s)) for s in split]
@@ -71,6 +72,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``tokenizer``: path of a tokenizers file whose pre-tokenizer drops white space.
     """
+    bound_batches(df.sparkSession)
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
     narrow = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"`{id_col}` {narrow.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"

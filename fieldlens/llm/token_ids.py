@@ -1,15 +1,18 @@
 """Token ids as ORC: one row per document, ids as an integer array.
 
-Documents are range-partitioned by id (and a hash of the text, so that one id
-with a third of the rows still spreads), sorted, encoded in Arrow batches and
-written by Spark. ORC run-length-encodes the integers, keeps row indexes and
-puts Bloom filters on the document id, so a reader takes stripes in parallel and
-skips those that can't hold the ids it wants.
+Documents are range-partitioned by id (then by a hash of the text and the place in
+the input, so that one id with a third of the rows still spreads; the input should
+be a table, which a lost task reads again in the same order), sorted, encoded in
+Arrow batches and written by Spark. ORC run-length-encodes the integers, keeps row
+indexes and puts Bloom filters on the document id, so a reader takes stripes in
+parallel and skips those that can't hold the ids it wants.
 
 Texts are encoded in pieces that begin at a single space between two characters
 that are no white space; a byte-level tokenizer with the usual splitting pattern
-always ends a token there. Pieces seen before come from a table of at most
-``CACHE_PIECES`` entries that each worker keeps.
+always ends a token there. New pieces are encoded many to a string and told apart
+by the tokens that begin with a space. Pieces seen before come from a table of two
+generations of at most ``CACHE_PIECES`` entries each, which a worker keeps for the
+length of a task.
 
 Defined results: null text is an empty text (the end id alone); null ids sort
 first; repeated ids are separate documents, ordered by text hash and text; other
@@ -20,8 +23,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +31,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import scratch_path, slices_by_bytes, tokenizer_path
+from ._common import bound_batches, scratch_path, slices_by_bytes, tokenizer_path, worker_cache
 
-BATCH_BYTES = 4 << 20
-CACHE_PIECES = 1_000_000
+BATCH_BYTES = 1 << 19
+CACHE_PIECES = 250_000
+#: Pieces that share a string, and strings that go to the library at once.
+TOGETHER, STRINGS = 200, 50
+#: Longer pieces hardly come again.
+LONGEST_KEPT = 64
 END_ID = 0
 _BESIDE_SPACE = re.compile(r"\s | \s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     import os
 
@@ -52,49 +56,90 @@ def _tokenizer(path: str):
     return tok
 
 
-@lru_cache(maxsize=2)
-def _encoded(path: str) -> dict[str, bytes]:
-    return {}
-
-
-def pieces(text: str) -> list[str]:
-    """Pieces whose texts, each but the first with a space before it, make up the text."""
-    return _SAFE.split(text) if _BESIDE_SPACE.search(text) else text.split(" ")
-
-
-def _encode_pieces(tok, new: list[str], together: int = 200) -> list[bytes]:
-    """Ids of each piece. Many short pieces share one string, parted by a special
-    token, which the library cuts out before anything else; its id parts the ids."""
-    special = next((t for t in tok.get_added_tokens_decoder().items() if t[1].special and not (t[1].lstrip or t[1].rstrip or t[1].single_word or t[1].normalized)), None)
-    if special is None or any(special[1].content in p for p in new):
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
-    out: list[bytes] = []
-    strings = [special[1].content.join(new[i : i + together]) for i in range(0, len(new), together)]
-    for i in range(0, len(strings), 100):
-        for e in tok.encode_batch_fast(strings[i : i + 100], add_special_tokens=False):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = (4 * np.flatnonzero(ids == special[0])).tolist()
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True)]
-    return out
+def _begins_with_space(tok) -> np.ndarray:
+    """Of each id, whether its token begins with a space."""
+    vocabulary = tok.get_vocab()
+    space = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    space[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+    return space
+
+
+def _is_clean(piece: str) -> bool:
+    return bool(piece) and " " not in piece and not piece[0].isspace() and not piece[-1].isspace()
+
+
+class Pieces:
+    """Ids of pieces, as bytes. Clean pieces (not empty, no white space at an end,
+    no space inside) follow a space; heads begin a text."""
+
+    def __init__(self, path: str, most: int = CACHE_PIECES):
+        self.tok, self.most = _tokenizer(path), most
+        self.space = _begins_with_space(self.tok)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _clean(self, new: list[str]) -> None:
+        """Encode clean pieces that were not seen before."""
+        if any(s in " ".join(new) for s in self.special):  # the library cuts those out first
+            odd = [p for p in new if any(s in p for s in self.special)]
+            self.young.update(zip(odd, self._one_by_one([" " + p for p in odd]), strict=True))
+            gone = set(odd)
+            new = [p for p in new if p not in gone]
+        strings = [" " + " ".join(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
+        out: list[bytes] = []
+        for i in range(0, len(strings), STRINGS):
+            for e in self.tok.encode_batch_fast(strings[i : i + STRINGS], add_special_tokens=False):
+                ids = np.array(e.ids, dtype="<u4")
+                starts = (4 * np.flatnonzero(self.space[ids])).tolist()
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+        self.young.update(zip(new, out, strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers."""
+        get = self.young.get
+        rows, new, odd, heads = [], {}, {}, {}
+        for t in texts:
+            head, *rest = t.split(" ")
+            found = list(map(get, rest))
+            missing = {p for p, x in zip(rest, found, strict=True) if x is None} if None in found else set()
+            missing = missing.difference(new)
+            if (head and head[-1].isspace()) or _BESIDE_SPACE.search(f" {' '.join(missing)} " if missing else ""):
+                head, *rest = _SAFE.split(t)
+                odd.update(dict.fromkeys(p for p in rest if not _is_clean(p)))
+                found = list(map(get, rest))
+                missing = {p for p, x in zip(rest, found, strict=True) if x is None}.difference(odd)
+            new.update(dict.fromkeys(missing))
+            if head not in self.heads:
+                heads[head] = b""
+            rows.append((head, rest, found))
+        again = {p: self.old[p] for p in new if p in self.old}
+        self.young.update(again)
+        self._clean([p for p in new if p not in again])
+        odd = dict(zip(odd, self._one_by_one([" " + p for p in odd]), strict=True))
+        self.heads.update(zip(heads, self._one_by_one(list(heads)), strict=True))
+        out = []
+        for head, rest, found in rows:
+            if None in found:
+                found = [x or get(p) or odd[p] for p, x in zip(rest, found, strict=True)]
+            out.append(self.heads[head] + b"".join(found))
+        for p in (p for p in new if len(p) > LONGEST_KEPT):
+            del self.young[p]
+        for h in (h for h in heads if len(h) > LONGEST_KEPT or len(self.heads) > self.most // 10):
+            del self.heads[h]
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        return out
 
 
 def encode_batch(texts: list[str], path: str, cache_pieces: int = CACHE_PIECES) -> list[bytes]:
     """Each text's ids as little-endian 32-bit integers."""
-    known, tok = _encoded(path), _tokenizer(path)
-    firsts, rests = [], []
-    for t in texts:
-        first, *rest = pieces(t)
-        firsts.append(first)
-        rests.append(rest)
-    new = list(set(chain.from_iterable(rests)) - known.keys())
-    if len(known) + len(new) > cache_pieces:
-        known.clear()
-        new = list(set(chain.from_iterable(rests)))
-    known.update(zip(new, _encode_pieces(tok, [" " + p for p in new]), strict=True))
-    heads = [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(firsts, add_special_tokens=False)]
-    get = known.__getitem__
-    return [h + b"".join(map(get, r)) for h, r in zip(heads, rests, strict=True)]
+    return worker_cache(f"token ids {cache_pieces} {path}", lambda: Pieces(path, cache_pieces)).encode(texts)
 
 
 def write_token_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, stripe_bytes: int = 32 << 20, bloom_fpp: float = 0.01) -> None:
@@ -121,8 +166,9 @@ def write_token_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.full(len(n), part, dtype=np.int64)), pa.array(at + ends - n), pa.array(n), ids], names=[id_col, "part", "part_start", "n_tokens", "ids"])
                 at += int(ends[-1])
 
+    bound_batches(df.sparkSession)
     keys = [F.col(id_col), F.xxhash64("text")]
-    ordered = narrow.repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
+    ordered = narrow.repartitionByRange(*keys, F.monotonically_increasing_id()).sortWithinPartitions(*keys, "text")
     (
         ordered.mapInArrow(run, schema)
         .write.option("compression", "zstd")

@@ -8,25 +8,31 @@ class prior and kept non-negative:
 
 (when the second term is negative its gradient is turned round). The prior is
 the share of toxic rows among the labels that may be used. Training takes about
-``MAX_POSITIVE`` toxic and ``MAX_UNLABELLED`` unlabelled texts at most, chosen by a
-hash of the id; features are counted in Spark and the ``MAX_FEATURES`` that tell
-the two samples apart best reach the driver. Scoring covers every whole text.
+``MAX_POSITIVE`` confirmed toxic texts and ``MAX_UNLABELLED`` others at most (those
+labelled 0 are among the others), chosen by a hash of id and text, each (id, text)
+once, so that the bound holds for rows, however often an id or a row repeats.
+Features are counted in Spark, and the ``MAX_FEATURES`` that tell the two samples
+apart best reach the driver: words that speak for toxicity and words that speak
+against it. Scoring covers every whole text.
 
 Defined results: null and empty texts have no features and score the bias; an id
-that is null is never held out and never trained on; without a toxic label every
-score is 0; repeated rows give repeated results; rows keep extra columns in
-:func:`keep_clean`, which leaves out what is predicted toxic.
+that is null is never held out and never trained on; without a toxic label, or
+without any other text, every score is below 1e-200; repeated rows give repeated
+results; rows keep extra columns in :func:`keep_clean`, which leaves out what is
+predicted toxic.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import bound_batches, drop_path, materialize, worker_cache
 from .decontaminate import words
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 4096
@@ -34,7 +40,7 @@ THRESHOLD = 0.3
 #: A feature is of use if by Bayes' rule at least this share of the texts that have it are toxic.
 LEAST_POSTERIOR = 0.5
 PREFIXES = (4, 5, 6, 7)
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 
 
 def held_out(id_: Column) -> Column:
@@ -61,14 +67,7 @@ class _Known(dict):
         return found
 
 
-_known: dict[int, _Known] = {}
-
-
-def _selected(text: str | None, index: dict[int, int], key: int) -> list[int]:
-    known = _known.get(key)
-    if known is None:
-        _known.clear()
-        known = _known[key] = _Known(index)
+def _selected(text: str | None, known: _Known) -> list[int]:
     return sorted({f for w in set(words(text)) for f in known[w]})
 
 
@@ -98,10 +97,11 @@ def train(rows: list[list[int]], positive: np.ndarray, prior: float, dims: int,
 
 class Model:
     def __init__(self, index: dict[int, int], weights: np.ndarray, bias: float):
-        self.index, self.weights, self.bias = index, weights, bias
+        self.index, self.weights, self.bias, self.key = index, weights, bias, uuid.uuid4().hex
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        g = np.array([self.weights[_selected(t, self.index, id(self.index))].sum() for t in texts]) + self.bias
+        known = worker_cache("toxicity " + self.key, lambda: _Known(self.index))
+        g = np.array([self.weights[_selected(t, known)].sum() for t in texts]) + self.bias
         return 1 / (1 + np.exp(-np.clip(g, -500, 500)))
 
 
@@ -112,12 +112,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not toxic:
         return Model({}, np.empty(0), -1e3)
     prior = min(0.9, toxic / n)
-    part = lambda most, of: F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1, most / max(1, of)))
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    confirmed = usable.where("_y = 1").select("_id").distinct().where(part(max_positive, toxic))
-    pos = own.join(F.broadcast(confirmed), "_id").select(F.lit(True).alias("_p"), "_text")  # about max_positive ids
-    free = own.where(part(max_unlabelled, docs.count() * 0.75 * 0.5)).join(labels.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_anti").select(F.lit(False).alias("_p"), "_text")
-    sample, _ = materialize(pos.union(free), "toxicity-sample")
+    own = own.withColumn("_key", F.xxhash64("_id", "_text"))
+    confirmed = usable.where("_y = 1").select("_id").distinct()
+    positive, other = own.join(confirmed, "_id", "left_semi"), own.join(confirmed, "_id", "left_anti")
+
+    def part(rows: DataFrame, most: int, of: int) -> DataFrame:
+        chosen = F.pmod(F.xxhash64("_key", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1, most / max(1, of)))
+        return rows.where(chosen).dropDuplicates(["_key"])
+
+    pos = part(positive, max_positive, positive.select("_key").distinct().count()).select(F.lit(True).alias("_p"), "_text")
+    free = part(other, max_unlabelled, own.count()).select(F.lit(False).alias("_p"), "_text")
+    sample, path = materialize(pos.union(free), "toxicity-sample")
 
     def explode(batches):
         for b in batches:
@@ -132,40 +138,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = sample.mapInArrow(explode, "_p boolean, _f long").groupBy("_f").agg(F.sum(F.col("_p").cast("long")).alias("p"), F.sum((~F.col("_p")).cast("long")).alias("u"))
     mean = (F.col("p") + F.col("u")) / F.lit(n_p + n_u)
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u) + 1e-12)
-    best = counts.where("p >= 4").withColumn("z", z).where((F.col("z") > 4) & (prior * F.col("p") / n_p >= LEAST_POSTERIOR * (F.col("u") + 1) / n_u)).orderBy(F.desc("z"), "_f").limit(max_features).select("_f").collect()
-    index = {r[0]: i for i, r in enumerate(best)}
-    sent = spark.sparkContext.broadcast(index)
+    scored = counts.withColumn("z", z)
+    # Of a thousandth of the toxic texts at least, and toxic where they occur; or clean words.
+    speaks_for = (F.col("p") >= max(4, n_p / 1000)) & (F.col("z") > 4) & (prior * F.col("p") / n_p >= LEAST_POSTERIOR * (F.col("u") + 1) / n_u)
+    best = [r[0] for r in scored.where(speaks_for).orderBy(F.desc("z"), "_f").limit(max_features).select("_f").collect()]
+    speaks_against = (F.col("u") >= max(4, n_u / 1000)) & (F.col("z") < -4)
+    best += [r[0] for r in scored.where(speaks_against).orderBy("z", "_f").limit(max_features).select("_f").collect()]
+    index = {f: i for i, f in enumerate(best)}
+    sent, key = spark.sparkContext.broadcast(index), "toxicity " + uuid.uuid4().hex
 
     def select(batches):
+        known = worker_cache(key, lambda: _Known(sent.value))
         for b in batches:
-            got = [_selected(t.as_py(), sent.value, id(sent.value)) for t in b.column(1)]
+            got = [_selected(t.as_py(), known) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["_p", "_x"])
 
     data = sample.mapInArrow(select, "_p boolean, _x array<int>").collect()  # about max_positive + max_unlabelled short rows
+    drop_path(spark, path)
     return Model(index, *train([r._x for r in data], np.array([r._p for r in data]), prior, len(index)))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """Per row: the id, held_out, score and predicted (score >= threshold)."""
+def _scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, **options):
+    """The score of a text column. Only texts go to Python, only scores come back."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **options))
-    narrow = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.score(b.column(1).to_pylist()))], names=[id_col, "score"])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(sent.value.score(texts.to_pylist()), pa.float64())
 
-    kind = narrow.schema[0].dataType.simpleString()
-    scored = narrow.mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return score
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """Per row: the id, held_out, score and predicted (score >= threshold)."""
+    score = _scorer(docs, labels, id_col, text_col, **options)
+    scored = docs.select(F.col(id_col), score(F.col(text_col)).alias("score"))
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that are not predicted toxic, columns as they were."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **options))
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(sent.value.score(b.column(at).to_pylist()) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    score = _scorer(docs, labels, id_col, text_col, **options)
+    return docs.where(score(F.col(text_col)) < threshold)
