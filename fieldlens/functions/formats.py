@@ -16,17 +16,32 @@ def integer(x: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return x.cast("long")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.when((x == F.floor(x)) & (F.abs(x) < 2.0**63), x.cast("long"))
+        return F.when((x == F.floor(x)) & (x >= -(2.0**63)) & (x < 2.0**63), x.cast("long"))
     if isinstance(kind, T.DecimalType):
         return F.when(x == F.floor(x), x.try_cast("long"))
     return F.lit(None).cast("long")
 
 
+def _whole_text(x: Column) -> Column:
+    """All digits of a whole double below 1e21: two halves that are exact as longs."""
+    unit = float(2**40)
+    high = F.floor(x / unit).cast("decimal(38,0)")
+    low = (x - F.floor(x / unit).cast("double") * unit).cast("long").cast("decimal(38,0)")
+    return (high * F.lit(2**40).cast("decimal(16,0)") + low).cast("decimal(38,0)").cast("string")
+
+
 def number(x: Column, kind: T.DataType) -> Column:
-    """Plain decimal text: whole doubles lose their ``.0``."""
+    """Plain decimal text: whole doubles below 1e21 lose their ``.0``, others keep the
+    shortest digits that give the double back, with ``e`` below 1e-6 and from 1e21 on."""
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
-        return F.when((F.abs(x) < 1e15) & ((x == 0) | (F.abs(x) >= 1e-6)), F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(plain)).otherwise(F.lower(x.cast("string")))
+        short = x.cast("string")
+        plain = F.regexp_replace(F.regexp_replace(short.cast("decimal(38,22)").cast("string"), r"0+\z", ""), r"\.\z", "")
+        wide = F.regexp_replace(F.lower(short), r"\.0e", "e")
+        size = F.abs(x)
+        whole = F.when(size < 2.0**53, x.cast("long").cast("string")).otherwise(_whole_text(x))
+        return F.when(((size >= 2.0**53) | (x == F.floor(x))) & (size < 1e21), whole).when((size < 1e15) & (size >= 1e-6), plain).otherwise(wide)
+    if isinstance(kind, T.DecimalType) and kind.scale:
+        return F.regexp_replace(x.cast("string"), r"\.0*\z", "")
     if isinstance(kind, T.NumericType):
         return x.cast("string")
     return F.lit(None).cast("string")
@@ -74,27 +89,54 @@ def epoch_ms(x: Column) -> Column:
 
 
 def milliseconds(x: Column, kind: T.DataType) -> Column:
-    """Under a second as it is, else in seconds with up to three decimals."""
-    seconds = F.regexp_replace(F.regexp_replace(F.round(x.cast("decimal(38,6)") / 1000, 3).cast("decimal(38,3)").cast("string"), r"0+\z", ""), r"\.\z", ".0")
-    return F.when(F.abs(x) < 1000, F.concat(number(x, kind), F.lit("ms"))).otherwise(F.concat(seconds, F.lit("s")))
+    """Under a second as it is, else in seconds with up to three decimals, rounded
+    from the binary value (an exact tie to even)."""
+    seconds = F.abs(x.cast("double") / 1000.0)
+    whole = F.floor(seconds)
+    rest = seconds - whole.cast("double")
+    # A thousand times the upper and the lower bits of the fraction: both exact.
+    upper = F.floor(rest * float(2**26)).cast("double") / float(2**26)
+    high, low = upper * 1000.0, (rest - upper) * 1000.0
+    at = F.floor(high)
+    over = (high - at.cast("double") - 0.5) + low
+    thousandths = at + F.when((over > 0) | ((over == 0) & (at % 2 == 1)), 1).otherwise(0)
+    carry = thousandths >= 1000
+    digits = F.regexp_replace(_digits(F.when(carry, 0).otherwise(thousandths), 3), r"(?<=[0-9])0{1,2}\z", "")
+    text = F.concat(_sign(x), number((whole + carry.cast("long")).cast("double"), T.DoubleType()), F.lit("."), digits, F.lit("s"))
+    return F.when(F.abs(x) < 1000, F.concat(number(x, kind), F.lit("ms"))).otherwise(text)
+
+
+def integer_text(x: Column) -> Column:
+    """The text itself if it is a decimal integer, else null."""
+    return F.when(x.rlike(r"\A-?[0-9]+\z"), x)
 
 
 def readable(x: Column, data: T.DataType, kind: str, code: str | None) -> Column:
     """The value of a field of this kind; null where it doesn't fit."""
     i, n = integer(x, data), number(x, data)
+    none, is_text = F.lit(None).cast("string"), isinstance(data, T.StringType)
     if kind == "secret":
-        return F.when(x.cast("string") == "***", F.lit("***")) if isinstance(data, T.StringType) else F.lit(None).cast("string")
+        return F.when(x.cast("string") == "***", F.lit("***")) if is_text else none
     if kind == "rfc3339":
-        return x if isinstance(data, T.StringType) else F.lit(None).cast("string")
+        return x if is_text else none
     if kind == "epoch_ns":
-        whole = x.try_cast("decimal(38,0)") if isinstance(data, T.StringType) else i.cast("decimal(38,0)")
-        return epoch_ms(F.floor(whole / 1_000_000).cast("long"))
-    simple = {"epoch_ms": epoch_ms(i), "epoch_s": epoch_ms(F.when(F.abs(i) < 10**15, i) * 1000), "usd_cents": cents(i, "$"), "eur_cents": cents(i, "€"), "jpy": yen(i), "bytes": size_bytes(i), "percent": F.concat(n, F.lit("%"))}
+        whole = integer_text(x).try_cast("decimal(38,0)") if is_text else i.cast("decimal(38,0)")
+        return epoch_ms(F.floor(whole / 1_000_000).try_cast("long"))
+    if kind in ("sats", "msats"):
+        return F.concat(integer_text(x) if is_text else i.cast("string"), F.lit(kind))
+    simple = {
+        "epoch_ms": lambda: epoch_ms(i),
+        "epoch_s": lambda: epoch_ms(F.when(F.abs(i) < 10**15, i) * 1000),
+        "usd_cents": lambda: cents(i, "$"),
+        "eur_cents": lambda: cents(i, "€"),
+        "jpy": lambda: yen(i),
+        "bytes": lambda: size_bytes(i),
+        "percent": lambda: F.concat(n, F.lit("%")),
+        "ms": lambda: milliseconds(x, data) if isinstance(data, T.NumericType) else none,
+        "cents": lambda: coded(i, code or "", 100),
+        "micro": lambda: coded(i, code or "", 1_000_000),
+    }
     if kind in simple:
-        return simple[kind]
-    if kind in ("cents", "micro"):
-        return coded(i, code or "", 100 if kind == "cents" else 1_000_000)
-    if kind == "ms":
-        return milliseconds(x, data) if isinstance(data, T.NumericType) else F.lit(None).cast("string")
+        return simple[kind]()
     unit = {"us": "μs", "minutes": " minutes", "hours": " hours", "days": " days"}.get(kind, kind)
     return F.concat(n, F.lit(unit))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import trimmed
+
 
 def is_rfc3339_date(x: Column) -> Column:
     return F.coalesce(x.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & x.try_cast("date").isNotNull(), F.lit(False))
@@ -20,12 +22,12 @@ def is_rfc3339(x: Column) -> Column:
 
 
 def is_bcp47(x: Column) -> Column:
-    return F.coalesce(x.rlike(r"\A(?:[A-Za-z]{2,3}|[xXiI])(?:-[A-Za-z0-9]{1,8})*\z"), F.lit(False))
+    return F.coalesce(x.rlike(r"\A(?:[A-Za-z]{2,3}|[xi])(?:-[A-Za-z0-9]{1,8})*\z"), F.lit(False))
 
 
 def normalize_utc_offset(x: Column) -> Column:
     """``UTC`` or ``±HH:MM``; null if it is no offset."""
-    t = F.trim(x)
+    t = trimmed(x)
     pattern = r"\A([+-])([0-9]{1,2}?)(?::?([0-9]{2}))?\z"
     hour = F.coalesce(F.regexp_extract(t, pattern, 2).try_cast("int"), F.lit(99))
     minute = F.coalesce(F.regexp_extract(t, pattern, 3).try_cast("int"), F.lit(0))
