@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import names
+
 WHOLE = T.DecimalType(20, 0)
 FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
 
@@ -67,10 +69,10 @@ def cents(x: Column, mark: str) -> Column:
     return F.concat(_sign(x), F.lit(mark), major.cast("string"), F.lit("."), _digits(minor, 2))
 
 
-def coded(x: Column, code: str, unit: int) -> Column:
+def coded(x: Column, code: str | Column, unit: int) -> Column:
     """``150.50 THB``, ``0.170000 USD``."""
     major, minor = _parts(x, unit)
-    return F.concat(_sign(x), major.cast("string"), F.lit("."), _digits(minor, len(str(unit)) - 1), F.lit(f" {code}"))
+    return F.concat(_sign(x), major.cast("string"), F.lit("."), _digits(minor, len(str(unit)) - 1), F.lit(" "), code if isinstance(code, Column) else F.lit(code))
 
 
 def yen(x: Column) -> Column:
@@ -111,7 +113,7 @@ def integer_text(x: Column) -> Column:
     return F.when(x.rlike(r"\A-?[0-9]+\z"), x)
 
 
-def readable(x: Column, data: T.DataType, kind: str, code: str | None) -> Column:
+def readable(x: Column, data: T.DataType, kind: str, code: str | Column | None) -> Column:
     """The value of a field of this kind; null where it doesn't fit."""
     i, n = integer(x, data), number(x, data)
     none, is_text = F.lit(None).cast("string"), isinstance(data, T.StringType)
@@ -133,10 +135,32 @@ def readable(x: Column, data: T.DataType, kind: str, code: str | None) -> Column
         "bytes": lambda: size_bytes(i),
         "percent": lambda: F.concat(n, F.lit("%")),
         "ms": lambda: milliseconds(x, data) if isinstance(data, T.NumericType) else none,
-        "cents": lambda: coded(i, code or "", 100),
-        "micro": lambda: coded(i, code or "", 1_000_000),
+        "cents": lambda: coded(i, "" if code is None else code, 100),
+        "micro": lambda: coded(i, "" if code is None else code, 1_000_000),
     }
     if kind in simple:
         return simple[kind]()
     unit = {"us": "μs", "minutes": " minutes", "hours": " hours", "days": " days"}.get(kind, kind)
     return F.concat(n, F.lit(unit))
+
+
+def readable_by_name(name: Column, x: Column, data: T.DataType) -> tuple[Column, Column]:
+    """(display name, text) of a value whose name is known per row only."""
+    ends = lambda s: name.endswith(s) | name.endswith(s.upper())
+    cut = lambda s: F.substr(name, F.lit(1), F.length(name) - F.lit(len(s)))
+    coded_name = r"(?s)\A(.+)_([A-Za-z]{3,4})_(cents|CENTS|micro|MICRO)\z"
+    part = lambda i: F.regexp_extract(name, coded_name, i)
+    none = F.lit(None).cast("string")
+    strict = F.lit(False)
+    for s in names.STRICT:
+        strict = strict | ends(s)
+    display, text = F.when(strict, name), F.when(strict, none)
+    for s in (*names.TIMESTAMPS, *names.CURRENCIES):
+        display, text = display.when(ends(s), cut(s)), text.when(ends(s), readable(x, data, s[1:], None))
+    code = F.upper(part(2))
+    for kind in ("cents", "micro"):
+        fits = F.lower(part(3)) == kind
+        display, text = display.when(fits, part(1)), text.when(fits, readable(x, data, kind, code))
+    for s in (*names.NAMED, *names.UNITS, *names.SHORT):
+        display, text = display.when(ends(s), cut(s)), text.when(ends(s), readable(x, data, s[1:], None))
+    return display.otherwise(name), text.otherwise(none)

@@ -246,23 +246,22 @@ def catalog_lookup(spark, d):
     return ev.catalog_lookup(_table(spark, d, "events").select("event_id", F.col("event_type").alias("code")), known).select("event_id", "code", "meaning", "known")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def path_get(spark, d):
-    return _table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
-
-
 @query("""SELECT c_custkey, CAST(line AS INTEGER) AS line, section, key, value FROM (
   SELECT c_custkey, 1 AS line, '' AS section, 'name' AS key, c_name AS value FROM customer
   UNION ALL SELECT c_custkey, 4, 'account', 'segment', c_mktsegment || ' = x' FROM customer
   UNION ALL SELECT c_custkey, 5, 'account', 'nation', CAST(c_nationkey AS VARCHAR) FROM customer)""")
 def read_ini_entries(spark, d):
     text = F.concat(F.lit("name = "), F.col("c_name"), F.lit("\n; remark = none\n[ account ]\nsegment= "), F.col("c_mktsegment"), F.lit(" = x\r\n  nation ="), F.col("c_nationkey").cast("string"), F.lit("\n\n"))
-    return read_ini(_table(spark, d, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+    return read_ini(_table(spark, d, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text").drop("error")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more_queries  # noqa: F401  adds its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more_queries  # noqa: F401
+
     return dict(_sql)

@@ -1,19 +1,64 @@
-"""INI text as rows, in native expressions: lines are exploded, a window carries
-the section down. Errors are rows with an error code, never the source text."""
+"""INI text as rows, document by document, in native expressions: nothing is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions.urls import let, trimmed
+
+MAX_VALUE_BYTES = 1 << 20
+
+
+def _read(line: Column, at: Column) -> Column:
+    """What a line is: a header, an entry, or an error."""
+    bare = trimmed(line)
+    name = trimmed(F.substr(bare, F.lit(2), F.length(bare) - F.lit(2)))
+    key = trimmed(F.substring_index(line, "=", 1))
+    value = trimmed(F.substr(line, F.instr(line, "=") + F.lit(1)))
+    is_header, has_value = bare.startswith("["), F.contains(line, F.lit("="))
+    is_entry = ~is_header & has_value
+    quiet = (bare == "") | bare.startswith("#") | bare.startswith(";")
+    error = (
+        F.when(quiet, None)
+        .when(is_header & ~(bare.endswith("]") & (F.length(bare) > 1)), "invalid_section_header")
+        .when(is_header & ((name == "") | name.rlike(r"[\[\]]")), "invalid_section_name")
+        .when(~is_header & ~has_value, "missing_value")
+        .when(is_entry & ((key == "") | key.rlike(r"[\[\]]")), "invalid_key")
+        .when(is_entry & (F.octet_length(value) > MAX_VALUE_BYTES), "value_too_large")
+    )
+    return F.struct((at + 1).alias("line"), F.when(~quiet & is_header, name).alias("header"), F.when(~quiet & is_entry, key).alias("key"), F.when(~quiet & is_entry, value).alias("value"), error.alias("error"))
+
+
+def _placed(lines: Column) -> Column:
+    """Lines with the section that they are in, and with what repeats as an error."""
+    headers = F.filter(lines, lambda x: x["header"].isNotNull())
+
+    def with_sections(heads: Column) -> Column:
+        section = lambda x: F.coalesce(F.get(F.filter(heads, lambda h: h["line"] < x["line"]), F.size(F.filter(heads, lambda h: h["line"] < x["line"])) - 1)["header"], F.lit(""))
+        return F.transform(lines, lambda x: F.struct(x["line"].alias("line"), x["header"].alias("header"), section(x).alias("section"), x["key"].alias("key"), x["value"].alias("value"), x["error"].alias("error")))
+
+    def checked(rows: Column) -> Column:
+        def one(x: Column) -> Column:
+            before = lambda y: y["line"] < x["line"]
+            repeats = F.exists(rows, lambda y: before(y) & (y["header"] == x["header"]))
+            collides = F.exists(rows, lambda y: before(y) & (y["section"] == "") & (y["key"] == x["header"]))
+            again = F.exists(rows, lambda y: before(y) & (y["section"] == x["section"]) & (y["key"] == x["key"]))
+            error = F.coalesce(x["error"], F.when(repeats, "duplicate_section"), F.when(collides, "section_is_root_key"), F.when(again, "duplicate_key"))
+            return F.struct(x["line"].alias("line"), x["section"].alias("section"), x["key"].alias("key"), x["value"].alias("value"), error.alias("error"))
+
+        return F.transform(rows, one)
+
+    return let(let(headers, with_sections), checked)
 
 
 def read_ini(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, section, key, value): entries before the first header have an empty section."""
-    lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\r?\n")).alias("_at", "_line"))
-    bare = F.trim("_line")
-    header = F.when(bare.rlike(r"\A\[[^\]]*\]\z"), F.trim(F.substring(bare, 2, F.length(bare) - 2)))
-    placed = lines.select(id_col, (F.col("_at") + 1).alias("line"), bare.alias("_bare"), header.alias("_header")).withColumn("section", F.coalesce(F.last("_header", ignorenulls=True).over(Window.partitionBy(id_col).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)), F.lit("")))
-    entry = placed.where(F.col("_header").isNull() & (F.col("_bare") != "") & ~F.col("_bare").rlike(r"\A[#;]") & F.contains(F.col("_bare"), F.lit("=")))
-    key = F.trim(F.substring_index("_bare", "=", 1))
-    return entry.select(id_col, "line", "section", key.alias("key"), F.trim(F.expr("substring(_bare, instr(_bare, '=') + 1)")).alias("value"))
+    """(id, line, section, key, value, error): a document's entries, those before the
+    first header with an empty section; or, if it can't be read, one row with the
+    first line in error and the error's code, never the text."""
+    lines = F.transform(F.split(F.col(text_col), "\r?\n"), _read)
+    rows = docs.select(F.col(id_col), _placed(F.filter(lines, lambda x: x["header"].isNotNull() | x["key"].isNotNull() | x["error"].isNotNull())).alias("_rows"))
+    none = F.lit(None).cast("string")
+    first_bad = F.slice(F.transform(F.filter("_rows", lambda x: x["error"].isNotNull()), lambda x: F.struct(x["line"].alias("line"), none.alias("section"), none.alias("key"), none.alias("value"), x["error"].alias("error"))), 1, 1)
+    out = F.when(F.exists("_rows", lambda x: x["error"].isNotNull()), first_bad).otherwise(F.filter("_rows", lambda x: x["key"].isNotNull()))
+    return rows.select(id_col, F.explode(out).alias("_e")).select(id_col, "_e.line", "_e.section", "_e.key", "_e.value", "_e.error")
