@@ -10,9 +10,9 @@ turns, so one conversation with a third of all turns spreads over a third of the
 tasks. A rendered conversation is returned in parts of about ``PART_CHARS``.
 
 Defined results: turns are ordered by turn, role and text (null turns first);
-repeated rows are repeated turns; a null role or text is rendered as empty but
-differs from an empty one; turns with a null conversation id are left out; extra
-columns are not read.
+nulls come first, repeated rows are repeated turns; a null role or text is rendered as empty but
+differs from an empty one; turns with a null conversation id are left out; ids may be
+of any type that sorts; extra columns are not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,16 +27,12 @@ PART_CHARS = 1 << 16
 
 def collapse(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """(conv_id, part, n_turns, text): the maximal conversations, rendered."""
-    role, text = F.col(role_col), F.col(text_col)
-    rows = turns.where(F.col(conv_col).isNotNull()).select(
-        F.col(conv_col).cast("long").alias("_g"),
-        F.col(turn_col).alias("_turn"),
-        F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("\n")).alias("_said"),
-        F.concat(*[F.coalesce(F.concat(F.lit("+"), F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (role, text)]).alias("_key"),
-        F.lit(1).cast("long").alias("_one"),
-    )
-    rows = rows.withColumn("_chars", F.length("_said").cast("long")).withColumn("_digest", F.sha2("_key", 256)).drop("_key")
-    placed = running_sums(rows, "_g", ["_turn", "_digest"], ["_one", "_chars"], "turns").withColumn("_pos", F.col("_one_before") + 1)
+    said = F.concat(F.lit("<|"), F.coalesce("_role", F.lit("")), F.lit("|>\n"), F.coalesce("_text", F.lit("")), F.lit("\n"))
+    key = F.concat(*[F.coalesce(F.concat(F.lit("+"), F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col("_role"), F.col("_text"))])
+    rows = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("_g"), F.col(turn_col).alias("_turn"), F.col(role_col).alias("_role"), F.col(text_col).alias("_text"))
+    rows = rows.withColumn("_one", F.lit(1).cast("long")).withColumn("_chars", F.length(said).cast("long"))
+    placed = running_sums(rows, "_g", ["_turn", "_role", "_text"], ["_one", "_chars"], "turns")
+    placed = placed.select("_g", (F.col("_one_before") + 1).alias("_pos"), "_chars_before", said.alias("_said"), F.sha2(key, 256).alias("_digest"))
     hashed = placed.select("_g", "_pos", *[F.shiftrightunsigned(F.xxhash64("_pos", "_digest", F.lit(i)), 1).alias(f"_h{i}") for i in (1, 2)])
     rolled = running_sums(hashed, "_g", ["_pos"], ["_h1", "_h2"], "prefixes")
     wide = lambda i: F.pmod(F.col(f"_h{i}").cast("decimal(38,0)") + F.col(f"_h{i}_before"), F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long")

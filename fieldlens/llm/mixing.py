@@ -13,13 +13,17 @@ seed, epoch and document; the running sum of tokens in that order tells where a
 source's budget ends and to which of ``blocks`` blocks a document belongs, so that
 each block has the target mix. Within a block the order is another hash.
 
-Running sums are taken over range-partitioned rows: a source with a third of all
-documents spreads over a third of the tasks. Tokens are words (runs of anything
-but white space).
+Rows with the same source, id and text are one document with a number of copies.
+Running sums are taken over range-partitioned documents: a source with a third of
+all rows spreads over a third of the tasks, and so does a row with a third of them.
+Tokens are words (runs of anything but white space).
 
 Defined results: a null source is a source of its own; a document without words
-counts as one token; repeated rows are drawn as often as they occur; an empty
-table gives an empty result.
+counts as one token; copies of a row are drawn as often as they occur, and of the
+last document of a source's budget only as many copies as the budget reaches, so a
+source is over its budget by less than one document; :func:`mixed_documents` then
+repeats one of these copies, should they differ in other columns; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -83,7 +87,7 @@ def _tagged(docs: DataFrame, columns: list[Column], source_col: str, text_col: s
 
 def _plan(own: DataFrame, max_repeats: float | None, entropy: float | None, budget: int | None) -> DataFrame | None:
     """(_g, _size, _budget): each source's tokens and how many are drawn."""
-    sizes, _ = materialize(own.groupBy("_g").agg(F.sum("_tokens").alias("_size")), "sources")
+    sizes, _ = materialize(own.groupBy("_g").agg(F.sum("_weight").alias("_size")), "sources", own.sparkSession.sparkContext.defaultParallelism)
     total = sizes.agg(F.sum("_size")).first()[0]
     if not total:
         return None
@@ -96,21 +100,34 @@ def _plan(own: DataFrame, max_repeats: float | None, entropy: float | None, budg
     return shares.select("_g", "_size", F.round(passes * F.col("_size")).cast("long").alias("_budget")).where("_budget > 0")
 
 
+def _counted(tagged: DataFrame, *columns: Column) -> DataFrame:
+    """Each document once, with its copies and what they weigh."""
+    once = tagged.groupBy("_g", "_doc", "_tokens").agg(F.count(F.lit(1)).alias("_copies"), *columns)
+    return once.withColumn("_weight", F.col("_tokens") * F.col("_copies"))
+
+
 def _drawn(own: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """A row for each pass that a document may be part of, with its place in the pass."""
     epochs = F.sequence(F.lit(0), F.floor((F.col("_budget") - 1) / F.col("_size")).cast("int"))
     return own.join(_beside(plan), "_g").withColumn("_epoch", F.explode(epochs)).withColumn("_perm", F.xxhash64(F.lit(seed), "_epoch", "_doc"))
 
 
+def _placed(own: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """The documents within the budgets, in each pass; ``_times``: how many copies."""
+    summed = running_sums(_drawn(own, plan, seed), "_g", ["_epoch", "_perm", "_doc"], ["_weight"], "mix").where(F.col("_weight_before") < F.col("_budget"))
+    return summed.withColumn("_times", F.least(F.col("_copies"), F.ceil((F.col("_budget") - F.col("_weight_before")) / F.col("_tokens"))).cast("int"))
+
+
 def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, budget: int | None = None, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """The drawn rows: id, source, epoch, block, block_order, n_tokens."""
-    own = _tagged(docs, [F.col(id_col).alias("_id")], source_col, text_col, id_col)
-    own, _ = materialize(own, "mix-rows")
+    tagged = _tagged(docs, [F.col(id_col).alias("_id")], source_col, text_col, id_col)
+    own, _ = materialize(_counted(tagged, F.first("_id").alias("_id")), "mix-rows")
     plan = _plan(own, max_repeats, entropy, budget)
     if plan is None:
         return own.select(F.col("_id").alias(id_col), F.col("_g").alias(source_col), F.lit(0).alias("epoch"), F.lit(0).alias("block"), F.lit(0).cast("long").alias("block_order"), F.col("_tokens").alias("n_tokens"))
-    placed = running_sums(_drawn(own, plan, seed), "_g", ["_epoch", "_perm", "_doc"], ["_tokens"], "mix").where(F.col("_tokens_before") < F.col("_budget"))
-    block = F.least(F.lit(blocks - 1), F.floor(F.col("_tokens_before") * F.lit(float(blocks)) / F.col("_budget")).cast("int"))
+    placed = _placed(own, plan, seed).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    before = F.col("_weight_before") + F.col("_copy") * F.col("_tokens")
+    block = F.least(F.lit(blocks - 1), F.floor(before * F.lit(float(blocks)) / F.col("_budget")).cast("int"))
     name = F.when(F.col("_g") != "-", F.substring("_g", 2, 1 << 30))
     return placed.select(F.col("_id").alias(id_col), name.alias(source_col), F.col("_epoch").alias("epoch"), block.alias("block"), F.xxhash64(F.lit(seed + 1), block, "_epoch", "_doc").alias("block_order"), F.col("_tokens").alias("n_tokens"))
 
@@ -118,13 +135,18 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
 def mixed_documents(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
     """The documents as often as they are drawn, columns as they were. Texts are
     never shuffled: where a source's budget ends is one place in its last pass."""
-    own, _ = materialize(_tagged(docs, [], source_col, text_col, id_col), "mix-rows")
+    own, _ = materialize(_counted(_tagged(docs, [], source_col, text_col, id_col)), "mix-rows")
     plan = _plan(own, max_repeats, entropy, budget)
     if plan is None:
         return docs
     place = F.struct("_epoch", "_perm", "_doc")
-    placed = running_sums(_drawn(own, plan, seed), "_g", ["_epoch", "_perm", "_doc"], ["_tokens"], "mix").where(F.col("_tokens_before") < F.col("_budget"))
-    last = placed.groupBy("_g").agg(F.max(place).alias("_last"))
+    last = _placed(own, plan, seed).groupBy("_g").agg(F.max(F.struct(place.alias("at"), F.col("_times").alias("times"))).alias("_last"))
+    last, _ = materialize(plan.join(last, "_g"), "mix-ends", docs.sparkSession.sparkContext.defaultParallelism)
     columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)]
-    drawn = _drawn(_tagged(docs, columns, source_col, text_col, id_col), plan.join(last, "_g"), seed).where(place <= F.col("_last"))
-    return drawn.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    drawn = _drawn(_tagged(docs, columns, source_col, text_col, id_col), last, seed)
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    whole = drawn.where(place < F.col("_last.at")).select(*names)
+    # Copies of the last document: one of them stands for those that the budget reaches.
+    ends = drawn.where(place == F.col("_last.at")).groupBy("_g").agg(F.first(F.struct(*names)).alias("_row"), F.first("_last.times").alias("_times"))
+    ends = ends.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"_row.{n}").alias(n) for n in names])
+    return whole.union(ends).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -96,8 +96,8 @@ FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id
 """
 
 OP6_SQL = """
-WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-c AS (SELECT conv_id, list(role || chr(1) || text ORDER BY pos) AS w, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) AS text FROM t GROUP BY conv_id)
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos, role, text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(coalesce('+' || role, '-') || chr(1) || coalesce('+' || text, '-') ORDER BY pos) AS w, string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY pos) AS text FROM t GROUP BY conv_id)
 SELECT conv_id, CAST(0 AS INTEGER) AS part, CAST(len(w) AS BIGINT) AS n_turns, text FROM c a
 WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id <> a.conv_id AND b.w[1 : len(a.w)] = a.w AND (len(b.w) > len(a.w) OR b.conv_id < a.conv_id))
 """

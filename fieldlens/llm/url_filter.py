@@ -2,9 +2,10 @@
 
 A blocked Bloom filter of the listed canonical keys (host + path) passes
 possible hits; an exact hash join with the list removes the false positives.
-A block is one 64-bit word in which each key sets four bits. The words are a
-table of at most ``MAX_BLOCKS`` rows, whatever the list's length, so they may
-be broadcast; the list itself is joined as Spark sees fit.
+A block is one 64-bit word in which each key sets four bits. The words are one
+array of at most ``MAX_BLOCKS``, whatever the list's length, which each row looks
+into; the list itself is joined as Spark sees fit, with the distinct urls that the
+filter passes, and all other pages are never shuffled.
 
 A url's candidate keys are its host and parent domains, each with the prefixes
 of its path, but only for label counts and path lengths that occur in the list.
@@ -68,22 +69,23 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     if shape["n"] == 0:
         return urls.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     blocks = min(MAX_BLOCKS, 1 << max(4, (shape["n"] // KEYS_PER_BLOCK).bit_length()))
-    words = F.broadcast(bloom_words(listed, "_key", blocks))
+    # The filter as one array of at most MAX_BLOCKS words (2 MB), a scalar subquery.
+    dense = pages.sparkSession.range(blocks).join(bloom_words(listed, "_key", blocks), F.col("id") == F.col("block"), "left")
+    words = dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")))), lambda x: x["word"]).alias("words")).scalar()
 
     parts = F.split("host", r"\.")
-    hosts = F.array(*[F.when(F.size(parts) >= n, F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".")) for n in sorted(shape["labels"])])
-    starts = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(shape["lengths"])])
-    candidates = (
-        urls.where("host <> ''")
-        .select("host", "path", F.explode(hosts).alias("_h"))
-        .where("_h is not null")
-        .select("host", "path", "_h", F.explode(starts).alias("_p"))
-        .where("_p is not null")
-        .select("host", "path", F.concat("_h", "_p").alias("_key"))
-    )
-    possible = candidates.withColumn("_block", _block(F.col("_key"), blocks)).join(words, F.col("_block") == F.col("block")).where(F.col("word").bitwiseAND(_bits(F.col("_key"))) == _bits(F.col("_key"))).select("host", "path", "_key")
-    fits = possible.join(listed, "_key")
+    labels, lengths = (F.array(*[F.lit(n) for n in sorted(shape[x])]) for x in ("labels", "lengths"))
+    hosts = F.transform(F.filter(labels, lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
+    starts = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))
+    keys = F.flatten(F.transform(hosts, lambda h: F.transform(starts, lambda p: F.concat(h, p))))
+    listed_perhaps = lambda k: F.get("_words", _block(k, blocks).cast("int")).bitwiseAND(_bits(k)) == _bits(k)
+    tried = urls.withColumn("_words", words).withColumn("_keys", F.when(F.col("host") != "", F.filter(keys, listed_perhaps))).drop("_words")
+    hit = F.coalesce(F.size("_keys") > 0, F.lit(False))
+
+    # Only pages with a possible hit are shuffled, each url of them once for the join with the list.
+    possible = tried.where(hit).groupBy("host", "path").agg(F.first("_keys").alias("_keys")).select("host", "path", F.explode("_keys").alias("_key"))
     order = F.struct(F.length("_key"), F.length("_rh"), F.col("_verdict"))
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("_key", "_verdict"), order).alias("_best"))
-    joined = urls.join(best, ["host", "path"], "left")
-    return joined.select(id_col, "host", "path", F.col("_best._key").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))
+    best = possible.join(listed, "_key").groupBy("host", "path").agg(F.max_by(F.struct("_key", "_verdict"), order).alias("_best"))
+    joined = tried.where(hit).drop("_keys").join(best, ["host", "path"], "left").select(id_col, "host", "path", "_best")
+    passed = tried.where(~hit).select(id_col, "host", "path", F.lit(None).cast("struct<_key:string,_verdict:string>").alias("_best"))
+    return joined.union(passed).select(id_col, "host", "path", F.col("_best._key").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))

@@ -5,17 +5,20 @@ tree with numpy. Queries are replicated to the shards and stream through each
 shard's task in blocks, so a task holds its own shard and one block. A node of
 centre c and radius r holds no score above q.c + |q| r; nodes are visited in
 descending order of that bound, for those queries of the block whose k-th best
-score doesn't rule the node out. The first wave searches one shard in
-``PILOT_OF`` with all queries; its k-th scores are shared with every other shard, which
-prune by them from the start.
+score doesn't rule the node out. Shards are searched in waves: the first
+``WAVES[0]`` of them with all queries, and so on; the k-th scores so far are shared
+with the shards of the next wave, which prune by them from the start.
 
 Components become integers floor(scale * x), x as double; scores are exact integers.
+If the largest component would let a score leave 64 bits, that is an error.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components, and rows with a null id, take no part; vectors of another length
 than the query's are no candidates of it; ties go to the smaller id; a query with
 fewer candidates than k returns them all; a repeated id is a candidate each time,
-but never of a query with that id; a repeated query row is searched once.
+but never of a query with that id; a repeated query row is searched once, and query
+rows with one id but other vectors are ranked together, as one query. Ids are
+integers; what can't be cast to one is an error.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from pyspark.sql.window import Window
 
 from ._common import materialize
 
-SCALE, LEAF, BLOCK, PILOT_OF = 256, 128, 256, 8
+SCALE, LEAF, BLOCK = 256, 128, 256
+#: Shares of the shards up to which a wave goes; one shard in eight at the least number of shards.
+WAVES, LEAST_SHARDS = (0.125, 0.5, 1.0), 8
 ROWS_PER_SHARD = 20_000
 LOWEST = -(1 << 62)
 
@@ -168,15 +173,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     among all other rows. ``is_query`` is an expression over the id column."""
     whole = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     scaled = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    own, _ = materialize(whole.select(F.col(id_col).cast("long").alias("_id"), F.col(id_col), scaled.alias("_v")).withColumn("_q", is_query).select("_id", "_v", F.coalesce("_q", F.lit(False)).alias("_q")), "vectors")
-    n_shards = max(PILOT_OF, -(-own.count() // rows_per_shard))
-    shards = own.withColumn("_shard", F.pmod(F.xxhash64("_id", "_v"), F.lit(n_shards)).cast("int"))
+    spread = F.monotonically_increasing_id().alias("_spread")  # kept in the table: a repeated row is dealt to many shards
+    own, _ = materialize(whole.select(F.col(id_col).cast("long").alias("_id"), F.col(id_col), scaled.alias("_v"), spread).withColumn("_q", is_query).select("_id", "_v", "_spread", F.coalesce("_q", F.lit(False)).alias("_q")), "vectors")
+    n, width, high, low = own.agg(F.count(F.lit(1)), F.max(F.size("_v")), F.max(F.array_max("_v")), F.min(F.array_min("_v"))).first()
+    if n and width * max(abs(high), abs(low)) ** 2 >= 2**63:
+        raise ValueError(f"scores of {width} components up to {max(abs(high), abs(low))} may not fit 64 bits")
+    n_shards = max(LEAST_SHARDS, -(-n // rows_per_shard))
+    shards = own.withColumn("_shard", F.pmod(F.xxhash64("_id", "_v", "_spread"), F.lit(n_shards)).cast("int"))
     queries = own.where("_q").dropDuplicates(["_id", "_v"]).select("_id", "_v")
-    pilots = max(1, n_shards // PILOT_OF)
-    first, _ = materialize(_wave(shards, queries.withColumn("_bound", F.lit(None).cast("long")), n_shards, (0, pilots), k), "pilot")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.withColumn("_k", F.row_number().over(rank)).where(F.col("_k") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("_bound"))
-    rest = _wave(shards, queries.join(kth, "_id", "left"), n_shards, (pilots, n_shards), k)
-    # At most k rows of each shard for a query.
-    ranked = first.union(rest).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    # At most k rows of each wave's shards for a query.
+    found, bounds, start = None, queries.withColumn("_bound", F.lit(None).cast("long")), 0
+    for share in WAVES:
+        stop = max(start + 1, round(n_shards * share))
+        wave = _wave(shards, bounds, n_shards, (start, stop), k)
+        found = wave if found is None else found.union(wave)
+        ranked = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+        if stop >= n_shards:
+            break
+        found, _ = materialize(ranked.drop("rank"), "best")
+        kth = found.groupBy(F.col("query_id").alias("_id")).agg(F.min("score").alias("_bound"), F.count(F.lit(1)).alias("_c")).where(F.col("_c") == k).drop("_c")
+        bounds, start = queries.join(kth, "_id", "left"), stop
     return ranked.select("query_id", F.col("rank").cast(T.IntegerType()).alias("rank"), "vec_id", "score")
