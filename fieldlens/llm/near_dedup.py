@@ -58,6 +58,8 @@ BLOCK = 1000
 _FILE_BYTES = 64 << 20
 #: 64-bit words of a sketch's bit set.
 BIT_WORDS = 4
+#: Values of the sketches that the last step compares; smaller sets are whole in them.
+WIDE = 256
 #: Words of the filter that spares texts a shuffle (2 MB).
 BLOOM_BLOCKS = 1 << 18
 _CACHE_WORDS = 200_000
@@ -103,14 +105,14 @@ def least_shared(similarity: tuple[int, int], size: int = SKETCH) -> int:
     return max(1, m)
 
 
-def _least(size: Column, similarity: tuple[int, int]) -> Column:
+def _least(size: Column, similarity: tuple[int, int], most: int = SKETCH) -> Column:
     """How many of a sketch's values a partner's sketch shares at least."""
-    return F.greatest(F.lit(1), F.ceil(size * (least_shared(similarity) / SKETCH)).cast("int"))
+    return F.greatest(F.lit(1), F.ceil(size * (least_shared(similarity, most) / most)).cast("int"))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words_each: int = WORDS, size: int = SKETCH) -> DataFrame:
-    """Per row: _id, _n (set size), _node (digest of the words), _sketch and _bits,
-    the sketch as a bit set."""
+    """Per row: _id, _key (hash of the text), _n (set size), _node (digest of the
+    words), _sketch and _bits, the sketch as a bit set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -130,10 +132,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words_each: int = WORD
             words_of = [np.bitwise_or.reduceat(np.append(np.where(at >> 6 == j, bit, 0), 0), lengths[:-1]) if len(kept) else values for j in range(BIT_WORDS)]
             bits = [pa.array(np.where(np.diff(lengths) > 0, w, 0)) for w in words_of]
             sketch = pa.ListArray.from_arrays(pa.array(lengths), pa.array(values, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), sketch, pa.StructArray.from_arrays(bits, names=[f"b{j}" for j in range(BIT_WORDS)])], names=["_id", "_n", "_node", "_sketch", "_bits"])
+            bit_set = pa.StructArray.from_arrays(bits, names=[f"b{j}" for j in range(BIT_WORDS)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(same, pa.binary()), sketch, bit_set], names=["_id", "_key", "_n", "_node", "_sketch", "_bits"])
 
     bits_type = ", ".join(f"b{j}: long" for j in range(BIT_WORDS))
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"_id {kind}, _n long, _node binary, _sketch array<long>, _bits struct<{bits_type}>")
+    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col))).mapInArrow(run, f"_id {kind}, _key long, _n long, _node binary, _sketch array<long>, _bits struct<{bits_type}>")
 
 
 def _inverted(reps: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -200,11 +203,33 @@ def verified(pairs: DataFrame, texts: DataFrame, words_each: int, similarity: tu
     return full.mapInArrow(run, "a binary, b binary")
 
 
-def _estimate_passes(x: Column, y: Column, similarity: tuple[int, int]) -> Column:
+def _estimate_passes(x: Column, y: Column, similarity: tuple[int, int], most: int = SKETCH) -> Column:
     """The union sketch: of the smallest values of both, how many are in both."""
-    size = F.least(F.lit(SKETCH), F.greatest(F.size(x), F.size(y)))
+    size = F.least(F.lit(most), F.greatest(F.size(x), F.size(y)))
     union = F.slice(F.sort_array(F.array_union(x, y)), F.lit(1), size)
-    return F.size(F.array_intersect(F.array_intersect(x, y), union)) >= _least(F.size(union), similarity) - 1
+    return F.size(F.array_intersect(F.array_intersect(x, y), union)) >= _least(F.size(union), similarity, most) - 1
+
+
+def _wide_passes(similarity: tuple[int, int]) -> Column:
+    """The same of the wide sketches; exact where both sets are whole in them."""
+    per_union, per_shared = similarity
+    x, y = F.col("_wide"), F.col("_hub_wide")
+    inter = F.size(F.array_intersect(x, y))
+    exact = inter * per_union >= (F.col("_n") + F.col("_hub_n") - inter) * per_shared
+    return F.when((F.col("_n") <= WIDE) & (F.col("_hub_n") <= WIDE), exact).otherwise(_estimate_passes(x, y, similarity, WIDE))
+
+
+def _with_wide(lists: DataFrame, texts: DataFrame, words_each: int) -> DataFrame:
+    """``lists`` with each node's _wide sketch and _vs, all the lists that it is in."""
+
+    def run(batches):
+        for b in batches:
+            wide = [shingles(words(t.as_py()), words_each)[:WIDE].astype(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide, pa.list_(pa.int64()))], names=["_node", "_wide"])
+
+    each = lists.groupBy("_node").agg(F.collect_list("_v").alias("_vs"))  # at most SKETCH
+    wide = texts.join(each.select("_node"), "_node").select("_node", "_text").mapInArrow(run, "_node binary, _wide array<long>")
+    return lists.join(each, "_node").join(wide, "_node")
 
 
 def _may_pass(x: str, y: str, similarity: tuple[int, int]) -> Column:
@@ -288,12 +313,13 @@ def _labels(links: DataFrame, jumps: int = 2) -> DataFrame:
 
 def _meetings(current: DataFrame, after: int, upto: int | None, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): hubs at the places ``after`` + 1 to ``upto`` of each open list with the
-    members that come later and have another label, if sizes and sketches allow it."""
+    members that come later and have another label, if sizes and sketches allow it.
+    In the last step two members meet once only, and by their wide sketches."""
     per_union, per_shared = similarity
     is_hub = F.col("_k").isNull() | (F.col("_k") > after)
     is_hub = is_hub if upto is None else is_hub & (F.col("_k") <= upto)
     hubs = current.where(is_hub).select(
-        "_v", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), *[F.col(c).alias(f"_hub{c}") for c in ("_node", "_n", "_m", "_sketch", "_bits", "_root")]
+        "_v", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), *[F.col(c).alias(f"_hub{c}") for c in ("_node", "_n", "_m", "_sketch", "_bits", "_root", "_wide", "_vs") if c in current.columns]
     )
     members = current.withColumn("_block", F.pmod(F.hash("_node"), F.col("_blocks")))
     most = F.least("_m", "_hub_m")  # an intersection has at most
@@ -301,6 +327,8 @@ def _meetings(current: DataFrame, after: int, upto: int | None, similarity: tupl
     apart = (F.col("_node") > F.col("_hub_node")) & (F.col("_root") != F.col("_hub_root"))
     # The join itself looks at the sketches: what they rule out is not shuffled.
     near = _estimate_passes(F.col("_sketch"), F.col("_hub_sketch"), similarity)
+    if upto is None:
+        near = near & (F.array_min(F.array_intersect("_vs", "_hub_vs")) == members["_v"]) & _wide_passes(similarity)
     met = members.join(hubs, (members["_v"] == hubs["_v"]) & (members["_block"] == hubs["_block"]) & apart & fits & _may_pass("", "_hub", similarity) & near)
     return met.select(F.col("_hub_node").alias("a"), F.col("_node").alias("b")).distinct()
 
@@ -316,9 +344,9 @@ def _stars(lists: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return best.select("a", F.col("_node").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Per row: the id, n_shingles, component_id and kept (the id is the smallest
-    of its component)."""
+def _components(docs: DataFrame, id_col: str, text_col: str, words_each: int, similarity: tuple[int, int]) -> DataFrame:
+    """Per row: _id, _key, _n, _node, _root (of the component; null without words) and
+    _c, the component's smallest id."""
     spark = docs.sparkSession
     bound_batches(spark)
     rows, _ = materialize(sketches(docs, id_col, text_col, words_each), "sketches")
@@ -354,7 +382,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # Who can't be linked with any of those that are left takes no more part.
             able = _able(still, texts, words_each, similarity).join(own.select("_node", "_sketch", "_bits"), "_node")
             still = still.select("_v", "_node", "_n", "_root", "_blocks").join(able, "_node")
-            still, path = materialize(still.withColumn("_k", F.lit(None).cast("int")) if number else _ranked(still), "open-lists", wide)
+            still, path = materialize(_with_wide(still, texts, words_each).withColumn("_k", F.lit(None).cast("int")) if number else _ranked(still), "open-lists", wide)
             scratch.append(path)
         found = linked_of(_meetings(still, after, upto, similarity))
         if upto is None:
@@ -374,16 +402,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for p in scratch:
         drop_path(spark, p)
 
-    named = reps.select("_node", "_rep")
+    named = reps.select("_node", "_rep", F.col("_node").alias("_root"))
     if root is not None:
-        labelled = named.join(root, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+        labelled = named.drop("_root").join(root, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
         least = labelled.groupBy("_root").agg(F.min("_rep").alias("_c"))
-        named = labelled.join(least, "_root").select("_node", F.col("_c").alias("_rep"))
-    joined = rows.select("_id", "_n", "_node").join(named, "_node", "left").withColumn("_c", F.when(F.col("_id").isNotNull(), F.coalesce("_rep", "_id")))
-    return joined.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_c").alias("component_id"), (F.col("_id") == F.col("_c")).alias("kept"))
+        named = labelled.join(least, "_root").select("_node", F.col("_c").alias("_rep"), "_root")
+    joined = rows.select("_id", "_key", "_n", "_node").join(named, "_node", "left")
+    return joined.withColumn("_c", F.when(F.col("_id").isNotNull(), F.coalesce("_rep", "_id"))).drop("_rep")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = DROP_SIMILARITY, **options) -> DataFrame:
-    """One document of each component (and every row with a null id), columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col, similarity=similarity, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Per row: the id, n_shingles, component_id and kept (the id is the smallest
+    of its component)."""
+    found = _components(docs, id_col, text_col, words_each, similarity)
+    return found.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_c").alias("component_id"), (F.col("_id") == F.col("_c")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS, similarity: tuple[int, int] = DROP_SIMILARITY) -> DataFrame:
+    """One row of each component, columns as they were: of its rows with the smallest
+    id, one whose text has the smallest hash. Rows with a null id or without words stay."""
+    found, _ = materialize(_components(docs, id_col, text_col, words_each, similarity).where("_id is not null and _root is not null").select("_id", "_key", "_root", "_c"), "components")
+    keepers = found.where("_id = _c").groupBy("_root").agg(F.min(F.struct("_id", "_key")).alias("_kept"))
+    judged = found.join(keepers, "_root").withColumn("_stays", (F.col("_id") == F.col("_kept._id")) & (F.col("_key") == F.col("_kept._key")))
+    each = judged.groupBy("_id", "_key").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    # Of an id and text only what goes or repeats is looked up.
+    odd = each.where("not _stays or _rows > 1").select(F.col("_id").alias("_odd_id"), F.col("_key").alias("_odd_key"), F.col("_stays").alias("_odd_stays"))
+    key = F.xxhash64(F.col(text_col))
+    own = docs.withColumn("_text_key", key).join(odd, (F.col(id_col) == F.col("_odd_id")) & (F.col("_text_key") == F.col("_odd_key")), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = own.where("_odd_stays").groupBy("_odd_id", "_odd_key").agg(F.first(F.struct(*columns)).alias("_row")).select("_row.*")
+    return own.where("_odd_id is null").select(*columns).union(once)

@@ -71,6 +71,22 @@ def _selected(text: str | None, known: _Known) -> list[int]:
     return sorted({f for w in set(words(text)) for f in known[w]})
 
 
+def gradient(w: np.ndarray, flat: np.ndarray, row_of: np.ndarray, positive: np.ndarray, prior: float, ridge: float) -> np.ndarray:
+    """Of the risk by weights and bias (the last); where the second term is negative, of
+    that term turned round. ``flat``: feature indices, ``row_of``: their rows."""
+    n_p, n_u = positive.sum(), (~positive).sum()
+    g = np.bincount(row_of, weights=w[flat], minlength=len(positive)) + w[-1]
+    p = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+    # The sigmoid loss: l(g) = 1 - p, l(-g) = p; it is bounded, so that sure scores weigh no more.
+    rest = p[~positive].sum() / n_u - prior * p[positive].sum() / n_p
+    slope = p * (1 - p)
+    of_rest = np.where(positive, -prior * slope / n_p, slope / n_u)
+    each = np.where(positive, -prior * slope / n_p, 0) + of_rest if rest >= 0 else -of_rest
+    d = np.append(np.bincount(flat, weights=each[row_of], minlength=len(w) - 1), each.sum())
+    d[:-1] += ridge * w[:-1]
+    return d
+
+
 def train(rows: list[list[int]], positive: np.ndarray, prior: float, dims: int, steps: int = 2000, rate: float = 0.05, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk; ``rows``: feature indices."""
     lengths = np.array([len(r) for r in rows])
@@ -79,17 +95,8 @@ def train(rows: list[list[int]], positive: np.ndarray, prior: float, dims: int,
     w = np.zeros(dims + 1)
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    n_p, n_u = positive.sum(), (~positive).sum()
     for step in range(1, steps + 1):
-        g = np.bincount(row_of, weights=w[flat], minlength=len(rows)) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-        # The sigmoid loss: l(g) = 1 - p, l(-g) = p; it is bounded, so that sure scores weigh no more.
-        rest = p[~positive].sum() / n_u - prior * p[positive].sum() / n_p
-        slope = p * (1 - p)
-        grad_rest = np.where(positive, -prior * slope / n_p, slope / n_u)
-        grad = np.where(positive, -prior * slope / n_p, 0) + grad_rest if rest >= 0 else -grad_rest
-        d = np.append(np.bincount(flat, weights=grad[row_of], minlength=dims), grad.sum())
-        d[:-1] += ridge * w[:-1]
+        d = gradient(w, flat, row_of, positive, prior, ridge)
         m, v = 0.9 * m + 0.1 * d, 0.999 * v + 0.001 * d * d
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
