@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from ._common import bound_batches, scratch_path, slices_by_bytes, tokenizer_path, worker_cache
 
 BATCH_BYTES = 1 << 19
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 #: Pieces that share a string, and strings that go to the library at once.
 TOGETHER, STRINGS = 200, 50
 #: Longer pieces hardly come again.
@@ -171,7 +171,7 @@ def write_token_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ordered = narrow.repartitionByRange(*keys, F.monotonically_increasing_id()).sortWithinPartitions(*keys, "text")
     (
         ordered.mapInArrow(run, schema)
-        .write.option("compression", "zstd")
+        .write.option("compression", "lz4")
         .option("orc.stripe.size", str(stripe_bytes))
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "1000")
