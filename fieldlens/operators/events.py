@@ -139,6 +139,11 @@ def violation(event: Column, strict: bool = False) -> Column:
     return let(read_event(event), lambda e: violation_of(e, strict))
 
 
+def with_violation(df: DataFrame, event: str = "event", strict: bool = False, name: str = "violation") -> DataFrame:
+    """The table with each event's first violation; a text is parsed once."""
+    return _events(df, event).withColumn(name, violation_of(F.col("_event"), strict)).drop("_event")
+
+
 def _events(df: DataFrame, event: str) -> DataFrame:
     return df.withColumn("_event", read_event(F.col(event)))
 

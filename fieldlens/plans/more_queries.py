@@ -120,7 +120,7 @@ def _texts(spark, d):
 
 @query("SELECT event_id, CASE event_id % 6 WHEN 3 THEN 'trace_required' WHEN 4 THEN 'error_hint_invalid' WHEN 5 THEN 'event_not_object' END AS rule, CASE event_id % 6 WHEN 3 THEN '/trace' WHEN 4 THEN '/error/hint' WHEN 5 THEN '' END AS pointer FROM events")
 def event_validate_strict(spark, d):
-    return _texts(spark, d).select("event_id", ev.violation(F.col("event"), strict=True).alias("v")).select("event_id", "v.rule", "v.pointer")
+    return ev.with_violation(_texts(spark, d), strict=True, name="v").select("event_id", "v.rule", "v.pointer")
 
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"n":' || event_id || '}' WHEN 1 THEN CAST(user_id AS VARCHAR) END AS payload, CASE event_id % 6 WHEN 2 THEN 'c' || user_id END AS code,

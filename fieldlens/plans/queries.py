@@ -233,7 +233,7 @@ def event_validate_base(spark, d):
     texts = ['{"kind":"log","log":{},"trace":{}}', '{"kind":"other"}', '{"kind":"log"}', '{"kind":"log","log":1,"more":2}', '{"kind":"error","error":{"code":"","message":"m"}}']
     n = F.col("event_id") % 5
     text = F.when(n == 0, texts[0]).when(n == 1, texts[1]).when(n == 2, texts[2]).when(n == 3, texts[3]).otherwise(texts[4])
-    found = _table(spark, d, "events").select("event_id", ev.violation(text).alias("v"))
+    found = ev.with_violation(_table(spark, d, "events").select("event_id", text.alias("event")), name="v")
     return found.select("event_id", "v.rule", "v.pointer")
 
 
