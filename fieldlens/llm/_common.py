@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,17 +23,17 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Unset: a temporary folder if all runs in one JVM (tests), else a folder in
-    the warehouse, which every executor reaches as well.
+    Unset: a temporary folder if all runs in one JVM (tests); on a cluster an error,
+    for no folder of one machine would do.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith(("local[", "local")) and "cluster" not in spark.sparkContext.master:
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="fieldlens-"))
         return "file://" + _own_dir[0]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_fieldlens_scratch"
+    raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
