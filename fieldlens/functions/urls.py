@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 MARK = "***"
 # White space, delimiters and trailing marks that end a URL in prose.
-SPACES = r"\u0009-\u000D \u0085   -     　"
+SPACES = r"\u0009-\u000D \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 DELIMITERS = "\"'<>`，。；！？）》】」』"
 TRAILING = r".,;!)\]}，。；！）》】"
 # End of the fixed values.

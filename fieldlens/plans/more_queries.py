@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import formats, urls
+from ..functions import dynamic, formats, urls
 from ..operators import commands, frames, lint, paths, sections, spans
 from ..operators import events as ev
 from ..sources import text as src
@@ -44,6 +44,13 @@ def redact_map(spark, d):
     return safe.select("event_id", frames.canonical_json(F.col("m"), safe.schema["m"].dataType).alias("text"))
 
 
+@query("""SELECT event_id, '{"a":[{"b_url":"http://u:***@h/?t_secret=***"}],"big":1.10,"n":null,"x_secret":"***"}' AS text FROM events""")
+def redact_json(spark, d):
+    which = F.col("event_id").cast("string")
+    text = F.concat(F.lit('{"x_secret": {"k": '), which, F.lit('}, "a": [{"b_url": "http://u:'), which, F.lit("@h/?t_secret="), which, F.lit('"}], "n": null, "big": 1.10}'))
+    return _table(spark, d, "events").select("event_id", dynamic.redact_json_text(text).alias("text"))
+
+
 @query("SELECT event_id, 'https://u@x:***@h/?a%zz%5Fsecret=***&b=' || event_id AS url FROM events")
 def redact_url_leaks(spark, d):
     which = F.col("event_id").cast("string")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldlens.functions import formats, urls, validators
+from fieldlens.functions import dynamic, formats, urls, validators
 from fieldlens.functions.json import whole_json
 from fieldlens.operators import commands, frames, lint, paths, spans
 from fieldlens.operators import events as ev
@@ -66,6 +66,22 @@ def test_maps_are_redacted(spark):
     assert got.m == {"api_secret": "***", "x": "y"} and got.l in ('[{"k_SECRET":"***","n":4}]', '[{"n":4,"k_SECRET":"***"}]') and got.o == {"a_secret": None}
 
 
+def test_json_text(spark):
+    cases = {
+        '{"b":1.10,"a":{"k_secret":[1],"n_secret":null,"u_url":[" http://u:p@h ","a b"]}}': '{"a":{"k_secret":"***","n_secret":null,"u_url":["http://u:***@h","***"]},"b":1.10}',
+        "123456789012345678901234567890123456789012": "123456789012345678901234567890123456789012",
+        '{"a":1,"a":2}': None,
+        '{"a":1} x': None,
+        "NaN": None,
+        '{"\U00010000":1,"\uffff":2}': '{"\U00010000":1,"\uffff":2}',
+        None: None,
+    }
+    assert values(spark, cases, dynamic.redact_json_text) == list(cases.values())
+    assert values(spark, ['{"trace":{"a_secret":1},"b_secret":2}'], lambda c: dynamic.redact_json_text(c, policy="trace_only")) == ['{"b_secret":2,"trace":{"a_secret":"***"}}']
+    for text, want in URLS.items():
+        assert (dynamic._redact_url(text, frozenset()) or text) == want
+
+
 def test_no_secret_survives_any_form(spark):
     df = spark.createDataFrame([(("canary-1", ["canary-2"]), {"x_secret": "canary-3"}, [("canary-4",)], "http://u:canary-5@h/?a_secret=canary-6")], "n struct<a_secret: string, b_secret: array<string>>, m map<string,string>, l array<struct<c_secret: string>>, d_url string")
     for form in ("plain", "yaml", "json"):
