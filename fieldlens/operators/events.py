@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.json import whole_json
 from ..functions.urls import let
+from ..sources.text import read_json_or_lines
 
 # The kinds of events, terminal ones last.
 KINDS = ("log", "progress", "result", "error")
@@ -42,10 +43,10 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFram
 
     Rows are range-partitioned; a window numbers a group's rows of one partition, and
     what earlier partitions hold of it, at most one row for each group and partition,
-    is added.
+    is added. Both read one persisted table: the borders of the ranges come from a
+    sample, and another run of it may have others.
     """
-    part = F.spark_partition_id()
-    ranged = df.repartitionByRange(F.col(group), *[F.col(c) for c in order]).withColumn("_part", part)
+    ranged = df.repartitionByRange(F.col(group), *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()).persist()
     ranged = ranged.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)) - 1)
     counts = ranged.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_before > 0").drop("_c")
@@ -163,6 +164,33 @@ def validate_stream(df: DataFrame, stream: str, order: list[str], event: str = "
     return each.union(missing_terminal(read, stream, "_kind", streams))
 
 
+def checked(event: Column) -> Column:
+    """The event; a job with one that isn't strict fails."""
+    return let(violation(event, strict=True), lambda v: F.when(v.isNull(), event).otherwise(F.raise_error(F.concat_ws(" ", v["rule"], v["pointer"]))))
+
+
+def validate_texts(df: DataFrame, id_col: str, text_col: str, strict: bool = False, per_event: bool = False) -> DataFrame:
+    """(id, rule, pointer): violations of texts. Lines, the elements of one array, or a
+    lone log or progress event are a stream; any other value is one event alone. What
+    can't be parsed is a row with the parser's code. ``per_event``: no life cycle."""
+    read = read_json_or_lines(df, id_col, text_col).select(id_col, "line", "value", "error")
+    is_array = F.schema_of_variant("value").startswith("ARRAY")
+    several = F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda v, i: F.struct(i.cast("int").alias("seq"), v.alias("v")))
+    one = F.array(F.struct(F.coalesce("line", F.lit(0)).alias("seq"), F.col("value").alias("v")))
+    parts = F.explode(F.when(F.col("line").isNull() & is_array, several).otherwise(one)).alias("_p")
+    lone = F.col("line").isNull() & ~F.coalesce(is_array, F.lit(False))
+    events = read.where("error is null").select(id_col, lone.alias("_lone"), parts).select(id_col, "_lone", F.col("_p.seq").alias("_seq"), F.to_json("_p.v").alias("event"))
+    kind = F.get_json_object("event", "$.kind")
+    in_stream = ~F.col("_lone") | F.coalesce(kind.isin(*KINDS[:2]), F.lit(False))
+    alone = with_violation(events.where(~in_stream if not per_event else F.lit(True)), strict=strict)
+    # A lone event has no index; one of several keeps its own.
+    at = F.when(F.col("_lone"), "").otherwise(F.concat(F.lit("/"), F.col("_seq").cast("string")))
+    out = alone.where("violation is not null").select(id_col, F.col("violation.rule").alias("rule"), F.concat(at, F.col("violation.pointer")).alias("pointer"))
+    bad = read.where("error is not null").select(id_col, F.col("error").alias("rule"), F.coalesce(F.concat(F.lit("/"), F.col("line").cast("string")), F.lit("")).alias("pointer"))
+    out = out.union(bad)
+    return out if per_event else out.union(validate_stream(events.where(in_stream), id_col, ["_seq"], strict=strict))
+
+
 def decode(df: DataFrame, event: str = "event") -> DataFrame:
     """With ``decoded``: kind, payload and trace (variants), and of errors code, message,
     retryable, hint and the other fields; and ``error_code``: ``invalid_json`` or

@@ -149,6 +149,13 @@ def lint_values(df: DataFrame, keep: list[str], least: str = "warning") -> DataF
     return rows.select(*keep, "_f.rule_id", "_f.severity", "_f.pointer", "_f.message")
 
 
+def assert_clean(df: DataFrame, least: str = "warning") -> None:
+    """An error that names the first findings, if there are any."""
+    found = lint_values(df, [], least).head(5)
+    if found:
+        raise AssertionError("; ".join(f"{f.rule_id} at {f.pointer}" for f in found))
+
+
 def leaks(text: Column, canary: str) -> Column:
     """Whether an output holds a planted secret, as it is or behind backslash escapes
     or percent signs."""

@@ -221,6 +221,24 @@ def test_streams(spark):
     assert {tuple(r) for r in got} == {("a", "stream_non_terminal_after_terminal", "/2"), ("a", "stream_duplicate_terminal", "/3"), ("b", "event_not_object", "/0"), ("b", "stream_missing_terminal", ""), ("c", "stream_missing_terminal", "")}
 
 
+def test_texts_of_events(spark):
+    log, end = '{"kind":"log","log":1}', '{"kind":"result","result":1}'
+    texts = {1: f"{log}\n{end}", 2: f"[{log},{end},{log}]", 3: log, 4: end, 5: '{"kind":"x"}', 6: f"{log}\nbad", 7: ""}
+    df = spark.createDataFrame(list(texts.items()), "id int, t string")
+    got = {tuple(r) for r in ev.validate_texts(df, "id", "t").collect()}
+    assert got == {(2, "stream_non_terminal_after_terminal", "/2"), (3, "stream_missing_terminal", ""), (5, "kind_unsupported", "/kind"), (6, "jsonl_parse_failed", "/2"), (6, "stream_missing_terminal", ""), (7, "json_parse_failed", "")}
+    assert {tuple(r) for r in ev.validate_texts(df, "id", "t", per_event=True).collect()} == {(5, "kind_unsupported", "/kind"), (6, "jsonl_parse_failed", "/2"), (7, "json_parse_failed", "")}
+
+
+def test_assertions(spark):
+    lint.assert_clean(spark.range(3))
+    with pytest.raises(AssertionError):
+        lint.assert_clean(spark.range(3).withColumn("price", F.lit(1)))
+    assert spark.range(1).select(ev.checked(ev.build_event("log", F.lit(1)))).count() == 1
+    with pytest.raises(Exception, match="trace_required"):
+        spark.range(1).select(ev.checked(F.lit('{"kind":"log","log":1}'))).collect()
+
+
 def test_ini(spark):
     cases = {"a = 1\n[s]\n\tk\t= v=2\r\n;c": [(1, "", "a", "1", None), (3, "s", "k", "v=2", None)], "junk": [(1, None, None, None, "missing_value")], "[broken": [(1, None, None, None, "invalid_section_header")], "[a]\n[a]": [(2, None, None, None, "duplicate_section")], "[]": [(1, None, None, None, "invalid_section_name")], "=1": [(1, None, None, None, "invalid_key")], "a=1\n[a]": [(2, None, None, None, "section_is_root_key")], "[a]\nx=1\nx=2": [(3, None, None, None, "duplicate_key")], "": []}
     df = spark.createDataFrame([(1, t) for t in cases], "id int, t string")
