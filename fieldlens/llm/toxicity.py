@@ -28,6 +28,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,11 +88,10 @@ def gradient(w: np.ndarray, flat: np.ndarray, row_of: np.ndarray, positive: np.n
     return d
 
 
-def train(rows: list[list[int]], positive: np.ndarray, prior: float, dims: int, steps: int = 2000, rate: float = 0.05, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the non-negative risk; ``rows``: feature indices."""
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if lengths.sum() else np.empty(0, np.int64)
-    row_of = np.repeat(np.arange(len(rows)), lengths)
+def train(lengths: np.ndarray, flat: np.ndarray, positive: np.ndarray, prior: float, dims: int, steps: int = 2000, rate: float = 0.05, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the non-negative risk; ``lengths``: how many of the
+    feature indices ``flat`` each row has."""
+    row_of = np.repeat(np.arange(len(lengths)), lengths)
     w = np.zeros(dims + 1)
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -160,9 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             got = [_selected(t.as_py(), known) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["_p", "_x"])
 
-    data = sample.mapInArrow(select, "_p boolean, _x array<int>").collect()  # about max_positive + max_unlabelled short rows
+    data = sample.mapInArrow(select, "_p boolean, _x array<int>").toArrow()  # about max_positive + max_unlabelled short rows
     drop_path(spark, path)
-    return Model(index, *train([r._x for r in data], np.array([r._p for r in data]), prior, len(index)))
+    lists = data.column("_x").combine_chunks()
+    lengths, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+    return Model(index, *train(lengths, flat, data.column("_p").to_numpy(), prior, len(index)))
 
 
 def _scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, **options):
