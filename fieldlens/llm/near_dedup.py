@@ -58,8 +58,8 @@ BLOCK = 1000
 _FILE_BYTES = 64 << 20
 #: 64-bit words of a sketch's bit set.
 BIT_WORDS = 4
-#: Values of the sketches that the last step compares; smaller sets are whole in them.
-WIDE = 256
+#: Sets up to this size are compared as a whole in the last step, by 32 bits of each shingle.
+WHOLE = 256
 #: Words of the filter that spares texts a shuffle (2 MB).
 BLOOM_BLOCKS = 1 << 18
 _CACHE_WORDS = 200_000
@@ -105,9 +105,9 @@ def least_shared(similarity: tuple[int, int], size: int = SKETCH) -> int:
     return max(1, m)
 
 
-def _least(size: Column, similarity: tuple[int, int], most: int = SKETCH) -> Column:
+def _least(size: Column, similarity: tuple[int, int]) -> Column:
     """How many of a sketch's values a partner's sketch shares at least."""
-    return F.greatest(F.lit(1), F.ceil(size * (least_shared(similarity, most) / most)).cast("int"))
+    return F.greatest(F.lit(1), F.ceil(size * (least_shared(similarity) / SKETCH)).cast("int"))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words_each: int = WORDS, size: int = SKETCH) -> DataFrame:
@@ -203,33 +203,34 @@ def verified(pairs: DataFrame, texts: DataFrame, words_each: int, similarity: tu
     return full.mapInArrow(run, "a binary, b binary")
 
 
-def _estimate_passes(x: Column, y: Column, similarity: tuple[int, int], most: int = SKETCH) -> Column:
+def _estimate_passes(x: Column, y: Column, similarity: tuple[int, int]) -> Column:
     """The union sketch: of the smallest values of both, how many are in both."""
-    size = F.least(F.lit(most), F.greatest(F.size(x), F.size(y)))
+    size = F.least(F.lit(SKETCH), F.greatest(F.size(x), F.size(y)))
     union = F.slice(F.sort_array(F.array_union(x, y)), F.lit(1), size)
-    return F.size(F.array_intersect(F.array_intersect(x, y), union)) >= _least(F.size(union), similarity, most) - 1
+    return F.size(F.array_intersect(F.array_intersect(x, y), union)) >= _least(F.size(union), similarity) - 1
 
 
-def _wide_passes(similarity: tuple[int, int]) -> Column:
-    """The same of the wide sketches; exact where both sets are whole in them."""
+def _whole_passes(similarity: tuple[int, int]) -> Column:
+    """What two whole sets share; 32 bits may make it look more, never less. Larger
+    sets pass."""
     per_union, per_shared = similarity
-    x, y = F.col("_wide"), F.col("_hub_wide")
-    inter = F.size(F.array_intersect(x, y))
-    exact = inter * per_union >= (F.col("_n") + F.col("_hub_n") - inter) * per_shared
-    return F.when((F.col("_n") <= WIDE) & (F.col("_hub_n") <= WIDE), exact).otherwise(_estimate_passes(x, y, similarity, WIDE))
+    inter = F.size(F.array_intersect("_all", "_hub_all"))
+    return F.coalesce(inter * per_union >= (F.col("_n") + F.col("_hub_n") - inter) * per_shared, F.lit(True))
 
 
-def _with_wide(lists: DataFrame, texts: DataFrame, words_each: int) -> DataFrame:
-    """``lists`` with each node's _wide sketch and _vs, all the lists that it is in."""
+def _with_sets(lists: DataFrame, texts: DataFrame, words_each: int) -> DataFrame:
+    """``lists`` with _all, the node's set; null beyond ``WHOLE``."""
 
     def run(batches):
         for b in batches:
-            wide = [shingles(words(t.as_py()), words_each)[:WIDE].astype(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide, pa.list_(pa.int64()))], names=["_node", "_wide"])
+            sets = [shingles(words(t.as_py()), words_each) for t in b.column(1)]
+            # Equal values must stay as many as they are: bits that clash in a set would lose one.
+            low = [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for x in sets]
+            kept = [x.tolist() if len(x) <= WHOLE and len(np.unique(x)) == len(x) else None for x in low]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.list_(pa.int32()))], names=["_node", "_all"])
 
-    each = lists.groupBy("_node").agg(F.collect_list("_v").alias("_vs"))  # at most SKETCH
-    wide = texts.join(each.select("_node"), "_node").select("_node", "_text").mapInArrow(run, "_node binary, _wide array<long>")
-    return lists.join(each, "_node").join(wide, "_node")
+    nodes = lists.select("_node").distinct()
+    return lists.join(texts.join(nodes, "_node").select("_node", "_text").mapInArrow(run, "_node binary, _all array<int>"), "_node")
 
 
 def _may_pass(x: str, y: str, similarity: tuple[int, int]) -> Column:
@@ -314,12 +315,12 @@ def _labels(links: DataFrame, jumps: int = 2) -> DataFrame:
 def _meetings(current: DataFrame, after: int, upto: int | None, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): hubs at the places ``after`` + 1 to ``upto`` of each open list with the
     members that come later and have another label, if sizes and sketches allow it.
-    In the last step two members meet once only, and by their wide sketches."""
+    Two members meet in one list only, and in the last step as whole sets."""
     per_union, per_shared = similarity
     is_hub = F.col("_k").isNull() | (F.col("_k") > after)
     is_hub = is_hub if upto is None else is_hub & (F.col("_k") <= upto)
     hubs = current.where(is_hub).select(
-        "_v", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), *[F.col(c).alias(f"_hub{c}") for c in ("_node", "_n", "_m", "_sketch", "_bits", "_root", "_wide", "_vs") if c in current.columns]
+        "_v", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), *[F.col(c).alias(f"_hub{c}") for c in ("_node", "_n", "_m", "_sketch", "_bits", "_root", "_vs", "_all") if c in current.columns]
     )
     members = current.withColumn("_block", F.pmod(F.hash("_node"), F.col("_blocks")))
     most = F.least("_m", "_hub_m")  # an intersection has at most
@@ -327,8 +328,9 @@ def _meetings(current: DataFrame, after: int, upto: int | None, similarity: tupl
     apart = (F.col("_node") > F.col("_hub_node")) & (F.col("_root") != F.col("_hub_root"))
     # The join itself looks at the sketches: what they rule out is not shuffled.
     near = _estimate_passes(F.col("_sketch"), F.col("_hub_sketch"), similarity)
+    near = near & (F.array_min(F.array_intersect("_vs", "_hub_vs")) == members["_v"])
     if upto is None:
-        near = near & (F.array_min(F.array_intersect("_vs", "_hub_vs")) == members["_v"]) & _wide_passes(similarity)
+        near = near & _whole_passes(similarity)
     met = members.join(hubs, (members["_v"] == hubs["_v"]) & (members["_block"] == hubs["_block"]) & apart & fits & _may_pass("", "_hub", similarity) & near)
     return met.select(F.col("_hub_node").alias("a"), F.col("_node").alias("b")).distinct()
 
@@ -382,7 +384,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words_each: int, si
             # Who can't be linked with any of those that are left takes no more part.
             able = _able(still, texts, words_each, similarity).join(own.select("_node", "_sketch", "_bits"), "_node")
             still = still.select("_v", "_node", "_n", "_root", "_blocks").join(able, "_node")
-            still, path = materialize(_with_wide(still, texts, words_each).withColumn("_k", F.lit(None).cast("int")) if number else _ranked(still), "open-lists", wide)
+            still = still.join(still.groupBy("_node").agg(F.collect_list("_v").alias("_vs")), "_node")  # at most SKETCH
+            still, path = materialize(_with_sets(still, texts, words_each).withColumn("_k", F.lit(None).cast("int")) if number else _ranked(still), "open-lists", wide)
             scratch.append(path)
         found = linked_of(_meetings(still, after, upto, similarity))
         if upto is None:
