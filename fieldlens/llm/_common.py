@@ -58,6 +58,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def rows_that_stay(docs: DataFrame, id_col: str, text_col: str, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs``, columns as they were whatever their names, but for those
+    that ``judged`` (_id, _key: hash of the text, _stays) sends away; of rows that
+    repeat an id and a text one stays. Rows that ``judged`` doesn't hold stay."""
+    each = judged.groupBy("_id", "_key").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    # Of an id and text only what goes or repeats is looked up.
+    odd = each.where("not _stays or _rows > 1").select(F.col("_id").alias("_odd_id"), F.col("_key").alias("_odd_key"), F.col("_stays").alias("_odd_stays"))
+    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)]).alias("_row"))
+    own = own.join(odd, F.col("_id").eqNullSafe(F.col("_odd_id")) & (F.col("_key") == F.col("_odd_key")), "left")
+    once = own.where("_odd_stays").groupBy("_id", "_key").agg(F.first("_row").alias("_row")).select("_row")
+    return own.where("_odd_key is null").select("_row").union(once).select(*[F.col(f"_row.k{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

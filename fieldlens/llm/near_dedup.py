@@ -26,7 +26,7 @@ than ``WORDS`` words is one shingle.
 
 Defined results: a null, empty or wordless text has no shingles and is linked
 with nothing; a null id is linked with nothing, its component and kept are null;
-rows that repeat an id get the same component; extra columns are not read.
+rows that repeat an id are judged each by its own text; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import bound_batches, drop_path, materialize, worker_cache
+from ._common import bound_batches, drop_path, materialize, rows_that_stay, worker_cache
 
 WORDS = 5
 SKETCH = 32
@@ -427,11 +427,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found, _ = materialize(_components(docs, id_col, text_col, words_each, similarity).where("_id is not null and _root is not null").select("_id", "_key", "_root", "_c"), "components")
     keepers = found.where("_id = _c").groupBy("_root").agg(F.min(F.struct("_id", "_key")).alias("_kept"))
     judged = found.join(keepers, "_root").withColumn("_stays", (F.col("_id") == F.col("_kept._id")) & (F.col("_key") == F.col("_kept._key")))
-    each = judged.groupBy("_id", "_key").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
-    # Of an id and text only what goes or repeats is looked up.
-    odd = each.where("not _stays or _rows > 1").select(F.col("_id").alias("_odd_id"), F.col("_key").alias("_odd_key"), F.col("_stays").alias("_odd_stays"))
-    key = F.xxhash64(F.col(text_col))
-    own = docs.withColumn("_text_key", key).join(odd, (F.col(id_col) == F.col("_odd_id")) & (F.col("_text_key") == F.col("_odd_key")), "left")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = own.where("_odd_stays").groupBy("_odd_id", "_odd_key").agg(F.first(F.struct(*columns)).alias("_row")).select("_row.*")
-    return own.where("_odd_id is null").select(*columns).union(once)
+    return rows_that_stay(docs, id_col, text_col, judged)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ._common import table
 from .chat import collapse
 from .decontaminate import report
+from .exact_dedup import exact_duplicates
 from .lm_score import lm_scores
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -17,6 +18,7 @@ from .token_counts import token_counts
 from .token_ids import token_id_files
 from .toxicity import toxicity_scores
 from .url_filter import judge_urls
+from .vector_codes import compress
 from .vector_topk import top_k
 
 #: The url rules of the query: host, path, verdict.
@@ -64,8 +66,29 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_topk_search, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_token_ids, op6_chat_collapse, op7_url_filter, op8_decontaminate, op9_lm_score, op10_mix_sources)
+    each = (
+        op1_topk_search,
+        op2_minhash_dedup,
+        op3_token_counts,
+        op4_toxicity,
+        op5_token_ids,
+        op6_chat_collapse,
+        op7_url_filter,
+        op8_decontaminate,
+        op9_lm_score,
+        op10_mix_sources,
+        op11_vector_codes,
+        op13_exact_dedup,
+    )
     return {f.__name__: f for f in each}
 
 
@@ -138,5 +161,38 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _op11_sql(rounds: int = 6, entries: int = 16, parts: int = 8) -> str:
+    """Lloyd's rounds as common table expressions, one after another. ``c0`` to ``c6``
+    hold the codebooks, ``a6`` the last assignment."""
+    steps = [
+        f"""e AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, e[1 + part * (len(e) // {parts}) : (part + 1) * (len(e) // {parts})] AS v FROM e, range({parts}) AS t(part)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e ORDER BY vec_id LIMIT {entries}),
+c0 AS MATERIALIZED (SELECT part, entry, v AS c FROM p JOIN first USING (vec_id))"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, part, min(v) AS v, min(d) AS error, arg_min(entry, (d, entry)) AS entry
+  FROM (SELECT vec_id, p.part, v, entry, list_sum(list_transform(range(1, len(v) + 1), lambda j: (v[j] - c[j]) * (v[j] - c[j]))) AS d FROM p JOIN c{i} ON p.part = c{i}.part) GROUP BY vec_id, part)""")
+        if i < rounds:
+            steps.append(f"""u{i} AS (SELECT part, entry, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, unnest(range(1, len(v) + 1)) AS t(j) GROUP BY part, entry, j),
+n{i} AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM u{i} GROUP BY part, entry),
+c{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{i} USING (part, entry))""")
+    return "WITH " + ",\n".join(steps) + f""",
+codes AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes JOIN e USING (vec_id), book
+"""
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(n) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY n ORDER BY length(t) DESC, doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op6_chat_collapse": OP6_SQL, "op2_minhash_dedup": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_topk_search": OP1_SQL, "op6_chat_collapse": OP6_SQL, "op2_minhash_dedup": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_decontaminate": OP8_SQL, "op11_vector_codes": _op11_sql(), "op13_exact_dedup": OP13_SQL}
