@@ -14,6 +14,7 @@ from .exact_dedup import exact_duplicates
 from .lm_score import lm_scores
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .token_align import align_tokenizers
 from .token_counts import token_counts
 from .token_ids import token_id_files
 from .toxicity import toxicity_scores
@@ -70,6 +71,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_lm_score,
         op10_mix_sources,
         op11_vector_codes,
+        op12_token_align,
         op13_exact_dedup,
     )
     return {f.__name__: f for f in each}
