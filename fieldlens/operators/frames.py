@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import formats, names, urls
+from ..functions import formats, names, urls, variants
 from . import lint
 
 FINDING = "rule_id string, severity string, pointer string, message string"
@@ -28,6 +28,8 @@ def _redacted(value: Column, kind: T.DataType, in_url: bool, secret_names: froze
         return _redacted_map(value, kind, in_url, secret_names, url_names)
     if isinstance(kind, T.StringType) and in_url:
         return urls.redact_url_field(value, sorted(secret_names))
+    if isinstance(kind, T.VariantType):
+        return variants.redact(value, in_url, sorted(secret_names), sorted(url_names))
     return value
 
 
@@ -40,7 +42,10 @@ def _redacted_map(value: Column, kind: T.MapType, in_url: bool, secret_names: fr
     plain = isinstance(of, T.StringType)
 
     def one(k: Column, x: Column) -> Column:
-        clean = inner(x, True) if in_url else F.when(as_url(k), inner(x, True)).otherwise(inner(x, False)) if _holds_text(of) else inner(x, in_url)
+        if isinstance(of, T.VariantType):
+            clean = variants.redact(x, F.lit(in_url) | as_url(k), sorted(secret_names), sorted(url_names))
+        else:
+            clean = inner(x, True) if in_url else F.when(as_url(k), inner(x, True)).otherwise(inner(x, False)) if _holds_text(of) else inner(x, in_url)
         if plain:
             return F.when(urls.secret_name(k, sorted(secret_names)) & x.isNotNull(), urls.MARK).otherwise(clean)
         wrapped = F.to_variant_object(clean) if isinstance(of, (T.StructType, T.ArrayType, T.MapType)) else clean.cast("variant")
@@ -53,7 +58,7 @@ def _holds_text(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
         return any(_holds_text(f.dataType) for f in kind)
     inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType if isinstance(kind, T.MapType) else None
-    return isinstance(kind, T.StringType) if inner is None else _holds_text(inner)
+    return isinstance(kind, (T.StringType, T.VariantType)) if inner is None else _holds_text(inner)
 
 
 def _field(value: Column, field: T.StructField, in_url: bool, secret_names: frozenset, url_names: frozenset) -> Column:
@@ -64,7 +69,7 @@ def _field(value: Column, field: T.StructField, in_url: bool, secret_names: froz
 
 def redact(df: DataFrame, policy: str = "all", secret_names: list[str] | None = None, url_names: list[str] | None = None) -> DataFrame:
     """Secret columns become marks (null stays null), URL columns lose their
-    secrets; so do keys of maps. ``policy``: ``all``, ``trace_only`` (the column trace
+    secrets; so do keys of maps and of VARIANT objects at any depth. ``policy``: ``all``, ``trace_only`` (the column trace
     alone) or ``off``."""
     if policy == "off":
         return df
@@ -129,7 +134,7 @@ def _scalar(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return formats.number(value, kind)
     if isinstance(kind, T.VariantType):
-        return F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
+        return variants.scalar_text(value)
     return value.cast("string")
 
 
@@ -183,8 +188,8 @@ def _leaves(fields: list[T.StructField], get, prefix: str, present: Column | Non
             there = value.isNotNull()
             out.append(_Leaf([full], here(F.when(~there, F.lit(quoted_name(full) + "="))), F.lit(full)))
             out += _leaves(list(f.dataType), lambda x, v=value: v[x.name], full + ".", there if present is None else present & there, raw)
-        elif isinstance(f.dataType, T.MapType):
-            pairs = _map_pairs(value, f.dataType, full, raw)
+        elif isinstance(f.dataType, T.MapType) or f.dataType == variants.LEAVES:
+            pairs = _map_pairs(value, f.dataType, full, raw) if isinstance(f.dataType, T.MapType) else _variant_pairs(value, raw)
             out.append(_Leaf([full], pairs if present is None else F.when(present, pairs).otherwise(F.array().cast("array<struct<o:binary,t:string>>")), many=True, plain_end=".\U0010ffff"))
         else:
             text = F.lit("{}") if isinstance(f.dataType, T.StructType) else _text(value, f.dataType)
@@ -227,6 +232,54 @@ def _map_pairs(value: Column, kind: T.MapType, path: str, raw: bool) -> Column:
     return F.when(value.isNull(), alone("")).when(F.size(value) == 0, alone("{}")).otherwise(F.coalesce(urls.let(F.transform(entries, meant), written), none))
 
 
+def _with_leaves(df: DataFrame) -> DataFrame:
+    """The table with VARIANT values, also in structs, as their leaves: a projection of its
+    own, for the analyzer goes over a projection as often as its functions are nested."""
+
+    def flat(value: Column, kind: T.DataType, path: str) -> Column:
+        if isinstance(kind, T.VariantType):
+            return variants.leaves(value, path)
+        if isinstance(kind, T.StructType) and len(kind) and _holds_variant(kind):
+            return F.when(value.isNotNull(), F.struct(*[flat(value[f.name], f.dataType, f"{path}.{f.name}").alias(f.name) for f in kind]))
+        return value
+
+    return df.select(*[flat(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema]) if _holds_variant(df.schema) else df
+
+
+def _holds_variant(kind: T.DataType) -> bool:
+    return isinstance(kind, T.VariantType) or (isinstance(kind, T.StructType) and any(_holds_variant(f.dataType) for f in kind))
+
+
+def _variant_pairs(leaves: Column, raw: bool) -> Column:
+    """(sort key, text) for each leaf of a VARIANT value: names of objects are joined by
+    dots, arrays by commas. Names are read row by row, among those of their object."""
+
+    def meant(e: Column) -> Column:
+        key, x = e["_leaf_key"], e["_leaf_value"]
+        display, nice = key, F.lit(None).cast("string")
+        if not raw:
+            t = F.schema_of_variant(x)
+            is_number = (t == "BIGINT") | (t == "DOUBLE") | t.startswith("DECIMAL")
+            each = [(t == "STRING", "string", T.StringType()), (t == "BIGINT", "bigint", T.LongType()), (is_number, "double", T.DoubleType())]
+            shown = [(test, *formats.readable_by_name(key, F.try_variant_get(x, "$", kind), data)) for test, kind, data in each]
+            display = shown[0][1]
+            nice = F.when(shown[0][0], shown[0][2]).when(shown[1][0], shown[1][2]).when(shown[2][0], shown[2][2])
+        text = F.coalesce(variants.plain_text(x), F.lit(""))
+        return F.struct(e["_leaf_parent"].alias("p"), key.alias("k"), e["_leaf_inner"].alias("inner"), display.alias("d"), nice.alias("n"), text.alias("t"))
+
+    def written(all_: Column) -> Column:
+        taken = F.transform(all_, lambda e: F.struct(e["p"].alias("p"), F.when(e["n"].isNull(), e["k"]).otherwise(e["d"]).alias("d")))
+
+        def one(e: Column, taken: Column) -> Column:
+            strip = e["n"].isNotNull() & (F.size(F.filter(taken, lambda t: (t["d"] == e["d"]) & (t["p"] == e["p"]))) == 1)
+            shown = F.concat(e["p"], F.when(strip, e["d"]).otherwise(e["k"]))
+            return F.struct(F.encode(shown, "UTF-16BE").alias("o"), F.concat(_quoted(shown), F.lit("="), _quoted(F.when(strip, e["n"]).otherwise(e["t"]))).alias("t"))
+
+        return urls.let(taken, lambda t: F.transform(F.filter(all_, lambda e: ~e["inner"]), lambda e: one(e, t)))
+
+    return urls.let(F.transform(leaves, meant), written)
+
+
 def render_plain(df: DataFrame, raw: bool = False) -> Column:
     """Of a table that was redacted: one ``key=value`` line a row, formatted for
     people and sorted by path in UTF-16 order. The order is settled in the plan; only
@@ -284,9 +337,7 @@ def _yaml_value(value: Column, kind: T.DataType, level: int) -> Column:
         entries = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(F.encode(e["key"].cast("string"), "UTF-16BE").alias("o"), F.concat(F.lit(pad), _yaml_name(e["key"].cast("string")), F.lit(":"), _yaml_value(e["value"], kind.valueType, level + 1)).alias("t"))))
         return F.when(value.isNull(), none).when(F.size(value) == 0, " {}").otherwise(F.concat(F.lit("\n"), F.array_join(F.transform(entries, lambda e: e["t"]), "\n")))
     if isinstance(kind, T.VariantType):
-        text = F.try_variant_get(value, "$", "string")
-        is_text = F.schema_of_variant(value) == "STRING"
-        return F.coalesce(F.concat(F.lit(" "), F.when(is_text, _yaml_quoted(text)).otherwise(F.to_json(value))), none)
+        return variants.yaml(value, _yaml_name, _yaml_quoted, level)
     text = _scalar(value, kind)
     return F.coalesce(F.concat(F.lit(" "), text if _numeric(kind) else _yaml_quoted(text)), none)
 
@@ -309,9 +360,9 @@ def render(df: DataFrame, form: str = "plain", raw: bool = False, policy: str =
     or json."""
     safe = redact(df, policy, secret_names, url_names)
     if form == "json":
-        line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in safe.columns]), {"ignoreNullFields": "false"})
+        line = variants.json_numbers(F.to_json(F.struct(*[F.col(f"`{c}`") for c in safe.columns]), {"ignoreNullFields": "false"}))
     else:
-        line = render_yaml(safe) if form == "yaml" else render_plain(safe, raw)
+        line = render_yaml(safe) if form == "yaml" else render_plain(safe := _with_leaves(safe), raw)
     return safe.select(*(keep or []), line.alias("rendered"))
 
 

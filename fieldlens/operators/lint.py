@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import names, urls, validators
+from ..functions import names, urls, validators, variants
 
 # Names that call for a suffix, by category; the largest safe integer.
 STEMS = {
@@ -75,6 +75,8 @@ def wrong_type(name: str, value: Column, kind: T.DataType) -> Column | None:
         if names.ends_with(name, suffix):
             return ~test(value) if is_text else always
     if names.ends_with(name, "_url"):
+        if isinstance(kind, T.VariantType):
+            return F.exists(variants.url_leaves(value), lambda y: F.when(y.isNull(), True).otherwise(~urls.is_url_field(y)))
         if isinstance(kind, T.ArrayType):
             inner = wrong_type(name, F.lit(None).cast(kind.elementType), kind.elementType)
             return None if inner is None else F.exists(value, lambda x: x.isNotNull() & wrong_type(name, x, kind.elementType))
@@ -133,11 +135,105 @@ def _walk(value: Column, kind: T.DataType, pointer: Column) -> list[Column]:
         at = lambda i: F.concat(pointer, F.lit("/"), i.cast("string"))
         if _walk(F.lit(None).cast(kind.elementType), kind.elementType, F.lit("")):
             out.append(F.coalesce(F.flatten(F.transform(value, lambda x, i: F.concat(*_walk(x, kind.elementType, at(i))))), F.array()))
+    elif isinstance(kind, T.VariantType):
+        out.append(F.coalesce(lint_variant(value, pointer), F.array()))
     elif isinstance(kind, T.LongType) or (isinstance(kind, T.DecimalType) and kind.scale == 0):
         out.append(F.array(_finding(F.abs(value.cast("decimal(38,0)")) > MAX_SAFE_INTEGER, "unsafe_integer", "error", pointer, "an integer beyond 2^53 - 1")))
     return out
 
 
+_FINDING = "struct<rule_id:string,severity:string,pointer:string,message:string>"
+_NODE = "array<struct<pointer:string,key:string,value:variant>>"
+
+
+def _nodes(v: Column, pointer: Column, deepest: int) -> Column:
+    """(pointer, key, value) of all that is below a VARIANT value; ``key`` is null in arrays."""
+
+    def level(at: Column, entries: Column, left: int) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            token = F.coalesce(F.replace(F.replace(e["key"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), i.cast("string"))
+            here = F.concat(at, F.lit("/"), token)
+            own = F.array(F.struct(here.alias("pointer"), e["key"].alias("key"), e["value"].alias("value"))).cast(_NODE)
+            if not left:
+                return own
+            return F.concat(own, F.coalesce(level(here, variants.entries(e["value"]), left - 1), F.array().cast(_NODE)))
+
+        return F.flatten(F.transform(entries, one))
+
+    return F.coalesce(level(pointer, variants.entries(v), deepest), F.array().cast(_NODE))
+
+
+def _ends(name: Column, suffix: str) -> Column:
+    return name.endswith(suffix) | name.endswith(suffix.upper())
+
+
+def _kind_by_name(name: Column) -> Column:
+    """The suffix that says what a value is, without its underscore; null: none does.
+    The same order as :func:`names.meaning` has."""
+    coded = F.regexp_extract(name, r"(?s)\A.+_[A-Za-z]{3,4}_(cents|CENTS|micro|MICRO)\z", 1)
+    order = [(_ends(name, s), F.lit(s[1:])) for s in (*STRICT, "_url", *names.TIMESTAMPS, *names.CURRENCIES)]
+    order += [(coded != "", F.lower(coded)), *((_ends(name, s), F.lit(s[1:])) for s in (*names.NAMED, *names.UNITS, *names.SHORT))]
+    out = None
+    for test, kind in order:
+        out = F.when(test, kind) if out is None else out.when(test, kind)
+    return out
+
+
+def _category_by_name(name: Column) -> Column:
+    low = F.lower(name)
+    out = F.when(low.endswith("_at"), "timestamp")
+    for category, stems in STEMS.items():
+        out = out.when(low.rlike(rf"(?:\A|_)(?:{'|'.join(stems)})\z"), category)
+    return out
+
+
+def lint_variant(v: Column, pointer: Column | str = "", deepest: int = variants.DEEPEST) -> Column:
+    """An array of findings (rule_id, severity, pointer, message) on all that is in a
+    VARIANT value, by the names of its keys, ``deepest`` levels down. Null is never one."""
+    pointer = F.lit(pointer) if isinstance(pointer, str) else pointer
+
+    def typed(n: Column) -> Column:
+        x, t = n["value"], F.schema_of_variant(n["value"])
+        return F.struct(
+            n["pointer"].alias("pointer"),
+            n["key"].alias("key"),
+            x.alias("x"),
+            _kind_by_name(n["key"]).alias("kind"),
+            F.when(t == "STRING", F.try_variant_get(x, "$", "string")).alias("text"),
+            F.when((t == "BIGINT") | t.startswith("DECIMAL") | (t == "DOUBLE"), F.try_variant_get(x, "$", "double")).alias("number"),
+            ((t == "BIGINT") | t.rlike(r"\ADECIMAL\([0-9]+,0\)\z")).alias("exact"),
+        )
+
+    def wrong(n: Column) -> Column:
+        yes = lambda test: F.coalesce(test, F.lit(False))
+        text, number, kind = n["text"], n["number"], n["kind"]
+        whole = yes(n["exact"] | (F.abs(number) >= 2.0**53) | (number == F.floor(number)))
+        decimal = yes(text.rlike(r"\A-?[0-9]+\z"))
+        leaf_texts = variants.url_leaves(n["x"], deepest)
+        out = F.when(kind == "secret", False)
+        for suffix, test in STRICT.items():
+            out = out.when(kind == suffix[1:], ~yes(test(text)))
+        out = out.when(kind == "url", F.exists(leaf_texts, lambda y: F.when(y.isNull(), True).otherwise(~urls.is_url_field(y))))
+        out = out.when(kind == "bytes", ~(whole & (number >= 0))).when(kind.isin(*INTEGERS), ~whole).when(kind.isin(*NUMBERS), number.isNull())
+        out = out.when(kind == "epoch_ns", ~decimal).when(kind.isin("sats", "msats"), F.when(number.isNull(), ~decimal).otherwise(~whole))
+        return yes(out.when(kind == "rfc3339", ~yes(validators.is_rfc3339(text))))
+
+    def found(n: Column) -> Column:
+        there = ~F.is_variant_null(n["x"])
+        category = F.when(n["kind"].isNull(), _category_by_name(n["key"]))
+        lacks = F.when(category.isin("duration", "currency"), n["number"].isNotNull()).when(category == "timestamp", n["number"].isNotNull() | n["text"].isNotNull()).when(category == "sensitive", n["text"].isNotNull())
+        unsafe = n["exact"] & (F.abs(F.try_variant_get(n["x"], "$", "decimal(38,0)")) > MAX_SAFE_INTEGER)
+        one = lambda test, rule, severity, message: F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), n["pointer"].alias("pointer"), message.alias("message")))
+        return F.array(
+            one(there & wrong(n), "suffix_type_mismatch", "error", F.concat(n["key"], F.lit(" doesn't hold what its suffix says"))),
+            one(there & lacks, "missing_suffix", "warning", F.concat(n["key"], F.lit(" names a "), category, F.lit(" without a suffix that says so"))),
+            one(unsafe, "unsafe_integer", "error", F.lit("an integer beyond 2^53 - 1")),
+        )
+
+    every = F.flatten(F.transform(F.transform(_nodes(v, pointer, deepest), typed), found)).cast(f"array<{_FINDING}>")
+    return F.filter(every, lambda f: f.isNotNull())
+
+
 def lint_values(df: DataFrame, keep: list[str], least: str = "warning") -> DataFrame:
     """(keep, rule_id, severity, pointer, message): what the table's values break;
     ``least``: warning or error. Null is never a finding."""
@@ -156,9 +252,42 @@ def assert_clean(df: DataFrame, least: str = "warning") -> None:
         raise AssertionError("; ".join(f"{f.rule_id} at {f.pointer}" for f in found))
 
 
+# What a letter after a backslash stands for.
+_ESCAPED = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
+# End of the fixed values.
+_UNIT = r"\\u[0-9A-Fa-f]{4}"
+_ESCAPE = rf"(?:\\u[dD][89abAB][0-9A-Fa-f]{{2}}\\u[dD][c-fC-F][0-9A-Fa-f]{{2}})|{_UNIT}|\\x[0-9A-Fa-f]{{2}}|(?s:\\.)|(?:%[0-9A-Fa-f]{{2}})+"
+
+
+def decoded(text: Column) -> Column:
+    """An output without its escapes: backslashes, ``\\uXXXX`` also in pairs, and percent
+    signs, whatever their order, in one pass from the left."""
+    code = lambda t, at: F.conv(F.substring(t, at, 4), 16, 10).cast("int")
+
+    def one(t: Column) -> Column:
+        pair = F.lit(0x10000) + (code(t, 3) - 0xD800) * 0x400 + (code(t, 9) - 0xDC00)
+        # A character by its number, as UTF-32.
+        by_number = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        letter = F.substring(t, 2, 1)
+        named = F.element_at(F.create_map(*[F.lit(x) for p in _ESCAPED.items() for x in p]), letter)
+        return (
+            F.when(t.startswith("%"), F.decode(F.unhex(F.replace(t, F.lit("%"), F.lit(""))), "UTF-8"))
+            .when(F.length(t) == 12, by_number(pair))
+            .when(t.rlike(rf"\A{_UNIT}\z"), F.when(code(t, 3).between(0xD800, 0xDFFF), "\ufffd").otherwise(by_number(code(t, 3))))
+            .when(F.length(t) == 4, by_number(F.conv(F.substring(t, 3, 2), 16, 10).cast("int")))
+            .otherwise(F.coalesce(named, letter))
+        )
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(_ESCAPE), F.lit(0)), one)
+    joined = F.transform(F.arrays_zip(F.split(text, _ESCAPE, -1).alias("t"), found.alias("u")), lambda p: F.concat(p["t"], F.coalesce(p["u"], F.lit(""))))
+    return F.when(text.rlike(r"[\\%]"), F.array_join(joined, "")).otherwise(text)
+
+
 def leaks(text: Column, canary: str) -> Column:
-    """Whether an output holds a planted secret, as it is or behind backslash escapes
-    or percent signs."""
-    plain = F.regexp_replace(text, r"\\(.)", "$1")
-    decoded = F.coalesce(F.try_url_decode(F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")), text)
-    return F.contains(text, F.lit(canary)) | F.contains(plain, F.lit(canary)) | F.contains(decoded, F.lit(canary))
+    """Whether an output holds a planted secret, as it is or behind escapes. An empty
+    secret can't be looked for."""
+    if canary == "":
+        raise ValueError("the planted secret must not be empty")
+    once = decoded(text)
+    bare = F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.contains(text, F.lit(canary)) | F.contains(bare, F.lit(canary)) | F.contains(once, F.lit(canary)) | F.contains(decoded(once), F.lit(canary))
