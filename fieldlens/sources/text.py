@@ -120,8 +120,7 @@ def parse_dotenv(text: str) -> list[tuple]:
     return out
 
 
-def read_dotenv(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, key, value, error): a document's entries, or its first error."""
+def _dotenv_entries():
     kind = pa.list_(pa.struct([("line", pa.int32()), ("key", pa.string()), ("value", pa.string()), ("error", pa.string())]))
 
     @F.arrow_udf("array<struct<line:int,key:string,value:string,error:string>>")
@@ -129,10 +128,55 @@ def read_dotenv(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         rows = [[dict(zip(("line", "key", "value", "error"), e, strict=True)) for e in parse_dotenv(t)] if t is not None else [] for t in texts.to_pylist()]
         return pa.array(rows, kind)
 
-    found = docs.select(F.col(id_col), entries(F.col(text_col)).alias("_all"))
+    return entries
+
+
+def read_dotenv(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line, key, value, error): a document's entries, or its first error."""
+    found = docs.select(F.col(id_col), _dotenv_entries()(F.col(text_col)).alias("_all"))
     return found.select(id_col, F.explode("_all").alias("_e")).select(id_col, "_e.line", "_e.key", "_e.value", "_e.error")
 
 
+def _dotenv_text(value: Column) -> Column:
+    """A value as dotenv text: quoted unless it has no white space, ``#`` or backslash."""
+    escaped = F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return F.when(value.rlike(rf"\A[^{SPACES}#\\]+\z"), value).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
+
+
+def _edit_dotenv(text: Column, key: str, value: Column | None) -> Column:
+    if not _NAME.fullmatch(key):
+        raise ValueError(f"no name of a variable: {key}")
+    read = _dotenv_entries()(text)
+    entry = F.get(F.filter(read, lambda e: e["key"] == key), F.lit(0))
+    lines = F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))
+    before = F.array_join(F.slice(lines, F.lit(1), entry["line"] - 1), "")
+    rest = F.array_join(F.slice(lines, entry["line"], F.size(lines) + 1), "")
+    # The entry's own text: a quoted value may span lines.
+    gap = rf"[{SPACES}&&[^\n]]*"
+    shape = rf"""(?s)\A({gap}(?:export{gap})?{re.escape(key)}{gap}=)({gap})("(?:\\.|[^\\"])*"|'(?:\\.|[^\\'])*'|(?:(?! #)[^\r\n])*)([^\n]*\n?)"""
+    part = lambda i: F.regexp_extract(rest, shape, i)
+    tail = F.substr(rest, F.length(F.regexp_extract(rest, shape, 0)) + 1)
+    if value is None:
+        there, absent = F.concat(before, tail), F.lit(None).cast("string")
+    else:
+        there = F.concat(before, part(1), _dotenv_text(value), part(4), tail)
+        absent = F.concat(text, F.when((text == "") | text.endswith("\n"), "").otherwise("\n"), F.lit(f"{key}="), _dotenv_text(value), F.lit("\n"))
+    out = F.when(entry.isNotNull(), there).otherwise(absent)
+    bad = text.isNull() | F.exists(read, lambda e: e["error"].isNotNull()) | (F.lit(False) if value is None else value.isNull())
+    return F.struct(F.when(~bad, out).alias("value"), F.when(bad, "document_parse_failed").when(out.isNull(), "document_path_not_found").alias("error"))
+
+
+def set_dotenv(text: Column, key: str, value: Column) -> Column:
+    """(value, error): the text with a variable's value replaced where it stands, or with
+    a new line at the end; all other bytes stay, also a remark after the value."""
+    return _edit_dotenv(text, key, value)
+
+
+def unset_dotenv(text: Column, key: str) -> Column:
+    """(value, error): the text without a variable's lines."""
+    return _edit_dotenv(text, key, None)
+
+
 def classify_source(spec: Column) -> Column:
     """(kind, target) of a value's source: ``env:``, ``file:``, ``file+FORMAT:``,
     ``stdin``, ``fd:N`` (from 3 on), ``prompt`` or ``literal:``; else null. Nothing is read."""
