@@ -333,24 +333,6 @@ def section_tree(spark, d):
     return placed.select("doc", "block_idx", "parent", "section_end")
 
 
-REGISTRY = "command string, combination string, required array<string>, optional array<string>, fixed map<string,array<string>>"
-COMBINATIONS = [("get", "one", ["path"], ["form"], {}), ("get", "all", ["all"], ["form"], {"form": ["json"]}), ("get", "plain", ["path", "form"], [], {"form": ["plain"]}), ("set item", "value", ["path", "value"], [], {})]
-
-
-@query("SELECT 'get' AS command, 'one' AS combination, 'plain' AS other")
-def cli_overlap(spark, d):
-    return commands.overlaps(spark.createDataFrame(COMBINATIONS, REGISTRY))
-
-
-@query("""SELECT event_id AS call, CASE event_id % 4 WHEN 0 THEN 'one' WHEN 1 THEN 'all' END AS combination, CASE event_id % 4 WHEN 2 THEN 'cli_unregistered_combination' WHEN 3 THEN 'cli_ambiguous_combination' END AS error FROM events""")
-def cli_match(spark, d):
-    k = F.col("event_id") % 4
-    m = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
-    given = F.when(k == 0, m("path", "p")).when(k == 1, m("all", "", "form", "json")).when(k == 2, m("all", "", "form", "yaml")).otherwise(m("path", "p", "form", "plain"))
-    calls = _table(spark, d, "events").select(F.col("event_id").alias("call"), F.lit("get").alias("command"), given.alias("given"))
-    return commands.match(calls, spark.createDataFrame(COMBINATIONS, REGISTRY)).select("call", "combination", "error")
-
-
 @query("SELECT event_id AS call, CASE event_id % 3 WHEN 0 THEN 'set item' WHEN 1 THEN 'set' END AS command, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'x ' || event_type ELSE 'put item ' || event_type END AS rest FROM events")
 def cli_select_command(spark, d):
     k = F.col("event_id") % 3
@@ -358,23 +340,3 @@ def cli_select_command(spark, d):
     known = spark.createDataFrame([("get",), ("set",), ("set item",)], "command string")
     found = commands.select_command(_table(spark, d, "events").select(F.col("event_id").alias("call"), argv.alias("argv")), known)
     return found.select("call", "command", F.array_join("rest", " ").alias("rest"))
-
-
-@query("SELECT event_id AS call, unnest(['path', 'form', 'all']) AS argument, unnest([event_type, 'json', 'false']) AS value FROM events")
-def cli_project(spark, d):
-    arguments = spark.createDataFrame([("get", "path", "string", None), ("get", "form", "string", "json"), ("get", "all", "flag", None)], "command string, argument string, type string, `default` string")
-    calls = _table(spark, d, "events").select(F.col("event_id").alias("call"), F.lit("get").alias("command"), F.create_map(F.lit("path"), F.col("event_type")).alias("given"))
-    return commands.project(calls, arguments).select("call", "argument", "value")
-
-
-@query("SELECT * FROM (VALUES ('combinations_overlap', 'get', 'one'), ('unknown_argument', 'set item', 'value'), ('command_without_combination', 'put', 'put'), ('argument_of_unknown_command', 'old', 'x')) t(rule, command, subject)")
-def cli_registry_check(spark, d):
-    known = spark.createDataFrame([("get",), ("set item",), ("put",)], "command string")
-    arguments = spark.createDataFrame([("get", "path"), ("get", "form"), ("get", "all"), ("set item", "path"), ("old", "x")], "command string, argument string")
-    return commands.violations(known, arguments, spark.createDataFrame(COMBINATIONS, REGISTRY))
-
-
-@query("SELECT * FROM (VALUES ('get', 'plain', 'action_missing'), ('get', 'none', 'action_unknown')) t(command, combination, error)")
-def cli_actions(spark, d):
-    actions = spark.createDataFrame([("get", "one"), ("get", "all"), ("get", "none"), ("set item", "value")], "command string, combination string")
-    return commands.unbound(spark.createDataFrame(COMBINATIONS, REGISTRY), actions)

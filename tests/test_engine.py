@@ -272,7 +272,7 @@ def test_spans(spark):
 
 def test_calls_fit_one_combination(spark):
     registry = spark.createDataFrame([("c", "x", ["a"], ["b"], {"b": ["1"]}), ("c", "y", ["d"], [], {})], "command string, combination string, required array<string>, optional array<string>, fixed map<string,array<string>>")
-    calls = spark.createDataFrame([(1, "c", {"a": ""}), (2, "c", {"a": "", "b": "2"}), (3, "c", {"d": ""}), (4, "z", {})], "call int, command string, given map<string,string>")
+    calls = spark.createDataFrame([(1, "c", {"a": "", "b": "1"}), (2, "c", {"a": "", "b": "2"}), (3, "c", {"d": ""}), (4, "z", {})], "call int, command string, given map<string,string>")
     got = {(r.call, r.combination, r.error) for r in commands.match(calls, registry).collect()}
     assert got == {(1, "x", None), (2, None, "cli_unregistered_combination"), (3, "y", None), (4, None, "cli_unregistered_combination")}
     assert commands.overlaps(registry).count() == 0
