@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.json import whole_json
 from ..functions.urls import let
 from ..sources.text import read_json_or_lines
+from .cuts import cut
 
 # The kinds of events, terminal ones last.
 KINDS = ("log", "progress", "result", "error")
@@ -43,10 +44,10 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFram
 
     Rows are range-partitioned; a window numbers a group's rows of one partition, and
     what earlier partitions hold of it, at most one row for each group and partition,
-    is added. Both read one persisted table: the borders of the ranges come from a
-    sample, and another run of it may have others.
+    is added. Both read one table that is worked out once: the borders of the ranges
+    come from a sample, and another run of it may have others.
     """
-    ranged = df.repartitionByRange(F.col(group), *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = cut(df.repartitionByRange(F.col(group), *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
     ranged = ranged.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)) - 1)
     counts = ranged.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_before > 0").drop("_c")
@@ -241,12 +242,18 @@ def build_cli_error(message: Column, hint: Column | None = None) -> Column:
     return build_error(F.lit("cli_error"), said, hint=hint)
 
 
-def findings_event(findings: DataFrame, by: list[str]) -> DataFrame:
+def findings_event(findings: DataFrame, by: list[str], groups: DataFrame | None = None, with_findings: bool = False) -> DataFrame:
     """For each group of findings (severity, rule_id, pointer): ``kind`` error if any is
-    an error, else result, ``ok`` and the counts of errors and warnings."""
+    an error, else result; ``ok``, which is true only without findings; and the counts of
+    errors and warnings. ``groups``: also those without findings. ``with_findings``: the
+    findings themselves, for groups as small as a document's."""
     is_error = (F.col("severity") == "error").cast("long")
-    rolled = findings.groupBy(*by).agg(F.sum(is_error).alias("errors"), F.sum(1 - is_error).alias("warnings"))
-    return rolled.withColumn("kind", F.when(F.col("errors") > 0, "error").otherwise("result")).withColumn("ok", F.lit(False))
+    listed = [F.array_sort(F.collect_list(F.struct("pointer", "rule_id", "severity"))).alias("findings")] if with_findings else []
+    rolled = findings.groupBy(*by).agg(F.sum(is_error).alias("errors"), F.sum(1 - is_error).alias("warnings"), *listed)
+    if groups is not None:
+        empty = F.array().cast("array<struct<pointer:string,rule_id:string,severity:string>>")
+        rolled = groups.select(*by).distinct().join(rolled, by, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("errors", "warnings")} | ({"findings": F.coalesce("findings", empty)} if with_findings else {}))
+    return rolled.withColumn("kind", F.when(F.col("errors") > 0, "error").otherwise("result")).withColumn("ok", F.col("errors") + F.col("warnings") == 0)
 
 
 def catalog_lookup(events: DataFrame, catalog: DataFrame, code: str = "code") -> DataFrame:

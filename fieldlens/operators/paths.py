@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import variants
 from ..functions.json import whole_json
 from ..functions.names import is_secret
-from ..functions.urls import MARK, let
+from ..functions.urls import MARK, let, secret_name
 
 # The codes of errors.
 NOT_FOUND, WRONG_TYPE, NO_SLUG, AMBIGUOUS, SLUG_EXISTS = "document_path_not_found", "document_type_mismatch", "document_slug_not_found", "document_ambiguous_match", "document_slug_exists"
@@ -76,10 +77,23 @@ def join_path_column(segments: Column) -> Column:
     return F.array_join(F.transform(segments, lambda s: F.regexp_replace(s, r"([\\.*])", r"\\$1")), ".")
 
 
+def _quotable(key: str) -> bool:
+    return not ("'" in key and '"' in key)
+
+
 def _child(key: str) -> str:
-    if "'" in key and '"' in key:
-        raise PathError(BAD_ARGUMENT, "a key with both kinds of quotes")
-    return f"$['{key}']" if '"' in key else f'$["{key}"]'
+    return _below([key])
+
+
+def _below(keys: list[str]) -> str:
+    """A path for the engine's own look-up; no key may have both kinds of quotes."""
+    return "$" + "".join(f"['{k}']" if '"' in k else f'["{k}"]' for k in keys)
+
+
+def _in_object(v: Column, key: str) -> Column:
+    if _quotable(key):
+        return F.try_variant_get(v, _child(key), "variant")
+    return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(key))
 
 
 def kind(v: Column) -> Column:
@@ -99,7 +113,7 @@ def _found(value: Column, error: Column) -> Column:
 def matches(v: Column, field: str, slug: str, contains: bool = False) -> Column:
     """The places of an array's elements whose ``field`` is the slug, or holds it in
     any case (an empty slug then matches nothing)."""
-    own = lambda x: F.try_variant_get(x, _child(field), "string")
+    own = lambda x: F.try_variant_get(_in_object(x, field), "$", "string")
     if contains:
         test = lambda x: F.coalesce(F.contains(F.lower(own(x)), F.lit(slug.lower())), F.lit(False)) & F.lit(slug != "")
     else:
@@ -111,7 +125,7 @@ def matches(v: Column, field: str, slug: str, contains: bool = False) -> Column:
 def _step(v: Column, segment: str, keyed: str | None) -> Column:
     """One segment down from a variant."""
     of = kind(v)
-    in_object = F.try_variant_get(v, _child(segment), "variant")
+    in_object = _in_object(v, segment)
     error = F.when((of == "object") & in_object.isNull(), NOT_FOUND)
     value = F.when(of == "object", in_object)
     if re.fullmatch("[0-9]+", segment):
@@ -134,8 +148,17 @@ def _further(segment: str, keyed: str | None):
 def get(v: Column, path: str, keyed: dict[str, str] | None = None) -> Column:
     """The value at a path. All digits are an index in an array and a key in an object;
     other segments name an element of an array by the field that ``keyed`` gives for
-    the array's path. A name that two elements have is ambiguous, never the first."""
+    the array's path. A name that two elements have is ambiguous, never the first.
+    Where all segments are keys, one look-up of the engine finds the value, and the steps
+    only tell the error where it finds none."""
     segments = parse_path(path)
+    if not keyed and len(segments) > 0 and all(_quotable(s) and not re.fullmatch("[0-9]+", s) for s in segments):
+        none = F.lit(None).cast("string")
+        return let(F.try_variant_get(v, _below(segments), "variant"), lambda x: F.when(x.isNotNull(), F.struct(x.alias("value"), none.alias("error"))).otherwise(_stepped(v, segments, keyed)))
+    return _stepped(v, segments, keyed)
+
+
+def _stepped(v: Column, segments: list[str], keyed: dict[str, str] | None) -> Column:
     out = _found(v, F.when(v.isNull(), NOT_FOUND))
     for i, segment in enumerate(segments):
         field = (keyed or {}).get(join_path(segments[:i]) if i else "")
@@ -204,6 +227,61 @@ def values(df: DataFrame, v: str, pattern: str, keep: list[str]) -> DataFrame:
     return out.select(*keep, join_path_column(F.col("_path")).alias("path"), F.col("_at").alias("value"))
 
 
+MULTILINE = "document_multiline_value"
+_ROW = "array<struct<number:int,path:string,value:string,error:string>>"
+
+
+def scalars(df: DataFrame, v: str, patterns: list[str], keep: list[str], reveal: bool = False, secret_names: frozenset[str] = frozenset()) -> DataFrame:
+    """(keep, number, path, value, error): the scalars that many patterns address, from
+    one look at each document; ``number`` is the pattern's place in the list. Patterns
+    are read as one tree of prefixes: a step that several share is taken once, and each
+    star walks the children of what stands there once. A value with a line feed is
+    refused, for lines of a list must stay lines; so is a secret unless revealed."""
+    tree: dict = {}
+    for number, pattern in enumerate(patterns):
+        at = tree
+        for segment in parse_pattern(pattern):
+            at = at.setdefault(segment, {})
+        at.setdefault(None, []).append(number)
+    none = F.lit(None).cast("string")
+
+    def rows(numbers: list[int], path: Column, value: Column, error: Column) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("number"), path.alias("path"), value.alias("value"), error.alias("error")) for n in numbers]).cast(_ROW)
+
+    def below(node: dict) -> list[int]:
+        return [*node.get(None, []), *(n for k, x in node.items() if k is not None for n in below(x))]
+
+    def ends(numbers: list[int], path: Column, x: Column, secret: Column) -> Column:
+        k = kind(x)
+        text = F.when(k == "string", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x))
+        error = F.when(secret & F.lit(not reveal), IS_SECRET).when(k == "null", IS_NULL).when(k.isin("object", "array"), NO_SCALAR).when(F.contains(text, F.lit("\n")), MULTILINE)
+        return rows(numbers, path, F.when(error.isNull(), text), error)
+
+    def walk(node: dict, x: Column, path: Column, secret: Column) -> Column:
+        parts = [ends(node[None], path, x, secret)] if None in node else []
+        joined = lambda name: F.when(path == "", name).otherwise(F.concat(path, F.lit("."), name))
+        for segment, inner in node.items():
+            if segment is None:
+                continue
+            if segment is EACH:
+                each = lambda e, i, inner=inner: walk(inner, e["value"], joined(F.coalesce(join_path_column(F.array(e["key"])), i.cast("string"))), secret | F.coalesce(_secret_column(e["key"], secret_names), F.lit(False)))
+                refused = rows(below(inner), path, none, F.lit(NO_CONTAINER))
+                parts.append(let(variants.entries(x), lambda es, each=each, refused=refused: F.when(es.isNull(), refused).otherwise(F.flatten(F.transform(es, each)))))
+                continue
+            name, hidden = joined(F.lit(join_path([segment]))), secret | F.lit(is_secret(segment, secret_names))
+            deeper = lambda got, inner=inner, name=name, hidden=hidden: F.when(got["error"].isNotNull(), rows(below(inner), name, none, got["error"])).otherwise(walk(inner, got["value"], name, hidden))
+            parts.append(let(_step(x, segment, None), deeper))
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+    missing = rows(list(range(len(patterns))), F.lit(""), none, F.lit(NOT_FOUND))
+    found = F.when(F.col(v).isNull(), missing).otherwise(walk(tree, F.col(v), F.lit(""), F.lit(False)))
+    return df.select(*keep, F.explode(found).alias("_r")).select(*keep, "_r.number", "_r.path", "_r.value", "_r.error")
+
+
+def _secret_column(name: Column, secret_names: frozenset[str]) -> Column:
+    return secret_name(name, sorted(secret_names))
+
+
 def children(df: DataFrame, v: str, keep: list[str], path: str | None = None) -> DataFrame:
     """(keep, name, path, error): the children at a path (of the root without one). A
     scalar has an error instead, and so has a root key that is empty: no path names it."""
@@ -287,7 +365,8 @@ def _with(of: Column | None, kind_: T.StructType | None, path: list[str], value:
 
 
 def unset_field(df: DataFrame, path: str) -> DataFrame:
-    """The table without the field at a path."""
+    """The table without the field at a path. A struct's only field takes the struct with
+    it: it becomes null."""
     head, *rest = parse_path(path)
     at: T.DataType = df.schema
     for name in (head, *rest):
@@ -296,6 +375,12 @@ def unset_field(df: DataFrame, path: str) -> DataFrame:
         at = at[name].dataType
     if not rest:
         return df.drop(head)
+    above: T.DataType = df.schema
+    for name in (head, *rest)[:-1]:
+        above = above[name].dataType
+    if len(above.fields) == 1:  # a struct without fields can't be stored: null stands for it
+        empty = F.lit(None).cast("void")
+        return set_field(df, join_path([head, *rest[:-1]]), empty)
     return df.withColumn(head, F.col(f"`{head}`").dropFields(".".join(f"`{r}`" for r in rest)))
 
 

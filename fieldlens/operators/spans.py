@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cuts import cut
+
 LEVELS = {"TRACE": "debug", "DEBUG": "debug", "INFO": "info", "WARN": "warn", "ERROR": "error"}
 
 
@@ -18,10 +20,13 @@ def inherit(spans: DataFrame, span: str = "span", parent: str = "parent", fields
     """(span, fields): each span's fields with those of all spans around it, inner ones
     first. A round joins each span with the one that it has reached and doubles the
     way, so a depth of d takes log2(d) rounds. Spans whose parent isn't there are roots;
-    a circle of parents is an error."""
+    a circle of parents is an error, and so is a span id that two rows have."""
+    twice = spans.groupBy(span).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(span).head(5)
+    if twice:
+        raise ValueError(f"spans that repeat: {[r[0] for r in twice]}")
     own = spans.select(F.col(span).alias("_s"), F.col(parent).alias("_up"), F.col(fields).alias("_f"))
     for _ in range(64):
-        own = own.persist()
+        own = cut(own)
         if own.where("_up is not null").isEmpty():
             return own.select(F.col("_s").alias(span), F.col("_f").alias(fields))
         above = own.select(F.col("_s").alias("_up"), F.col("_up").alias("_next"), F.col("_f").alias("_g"))

@@ -256,12 +256,12 @@ def read_ini_entries(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import command_queries, document_queries, more_queries  # noqa: F401  add their own
+    from . import command_queries, document_queries, more_queries, stream_queries  # noqa: F401  add their own
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import command_queries, document_queries, more_queries  # noqa: F401
+    from . import command_queries, document_queries, more_queries, stream_queries  # noqa: F401
 
     return dict(_sql)
