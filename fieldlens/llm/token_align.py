@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from ._common import bound_batches, materialize, slices_by_bytes, tokenizer_path, worker_cache
 
 BATCH_BYTES = 1 << 19
-CACHE_PIECES = 100_000
+CACHE_PIECES = 200_000
+#: Pieces that share a string of A's.
+TOGETHER = 200
 #: Longer pieces hardly come again.
 LONGEST_KEPT = 64
 #: Links that are expanded at once.
@@ -96,17 +98,36 @@ class Aligner:
             raise ValueError("a piece of B crosses the beginning of a word: texts can't be cut at spaces")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.young: dict[str, tuple | bool] = {}
         self.old: dict[str, tuple | bool] = {}
 
+    def _ids_a(self, pieces: list[str]) -> list[list[int]]:
+        """A's tokens of pieces, each after a space. Clean pieces share strings: A ends a
+        token before each of their spaces."""
+        shared = [p for p in pieces if _clean(p)]
+        out = {p: e.ids for p, e in zip(odd, self.a.encode_batch_fast([" " + p for p in odd], add_special_tokens=False), strict=True)} if (odd := [p for p in pieces if not _clean(p)]) else {}
+        for i in range(0, len(shared), TOGETHER):
+            own = shared[i : i + TOGETHER]
+            ids = self.a.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids
+            ends = np.cumsum(self.size_a[ids])
+            last = np.cumsum([len(p.encode()) + 1 for p in own])
+            stops = (np.searchsorted(ends, last) + 1).tolist()
+            if not np.isin(last, ends).all():
+                raise ValueError("A doesn't end a token before a single space: texts can't be cut there")
+            out.update((p, ids[j:k]) for p, j, k in zip(own, [0, *stops[:-1]], stops, strict=True))
+        return [out[p] for p in pieces]
+
     def _new(self, pieces: list[str]) -> dict[str, tuple | bool]:
         """Entries of pieces, each after a space."""
         if not pieces:
             return {}
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-        b = self.b.encode(pieces, num_threads=1)
-        out: dict[str, tuple | bool] = dict.fromkeys(pieces, False)
+        a, b = self._ids_a(pieces), self.b.encode(pieces, num_threads=1)
         of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        whole = (" " + " ".join(pieces)).encode()
+        if b"".join(map(of_a, chain.from_iterable(a))) == whole == b"".join(map(of_b, chain.from_iterable(b))) and all(map(_clean, pieces)):
+            return dict(zip(pieces, self._aligned(a, b), strict=True))
+        out: dict[str, tuple | bool] = dict.fromkeys(pieces, False)
         good = [i for i, p in enumerate(pieces) if b"".join(map(of_a, a[i])) == (raw := (" " + p).encode()) and b"".join(map(of_b, b[i])) == raw]
         if good:
             out.update(zip([pieces[i] for i in good], self._aligned([a[i] for i in good], [b[i] for i in good]), strict=True))
@@ -123,7 +144,7 @@ class Aligner:
         last_a = np.cumsum(n_a)
         groups = group_a[last_a - 1] + 1
         many = np.cumsum(count_b[group_a])[last_a - 1]
-        text_a, text_b = (list(map(str, x.tolist())) for x in (flat_a, flat_b))
+        text_a, text_b = (list(map(self.names.__getitem__, chain.from_iterable(x))) for x in (a, b))
         stop_a, stop_b = np.cumsum(count_a).tolist(), np.cumsum(count_b).tolist()
         texts = [
             text_a[i] + "|" + text_b[k] if j - i == m - k == 1 else ",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m])
