@@ -115,15 +115,15 @@ def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int) ->
     return [numbered.where(F.col("_block") == i) for i in range(last + 1)]
 
 
-def mark_hits(docs: DataFrame, bench: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns ``keep`` of each document, then ``_text`` if the text is not
-    among them, and ``_words`` (count), ``_hit`` (count), ``_mask`` (bits of the
-    words hit, little-endian) and ``_items`` (ids as strings)."""
+def _marked(docs: DataFrame, bench: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns ``keep`` of each document as k0, k1 and so on, so that no name can
+    clash, then ``_text`` if the text is not among them, and ``_words`` (count), ``_hit``
+    (count), ``_mask`` (bits of the words hit, little-endian) and ``_items`` (ids as strings)."""
     spark = docs.sparkSession
     bound_batches(spark)
     text = [] if text_col in keep else [F.col(text_col).alias("_text")]
     marks = [F.lit(0).cast("long").alias("_words"), F.lit(0).cast("long").alias("_hit"), F.lit(None).cast("binary").alias("_mask"), F.array().cast("array<string>").alias("_items")]
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], *text, *marks)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *text, *marks)
     at, first = (len(keep) if text else keep.index(text_col)), len(keep) + len(text)
     blocks = _blocks(bench, item_col, item_text_col, block_bytes)
     for number, block in enumerate(blocks):
@@ -150,10 +150,17 @@ def mark_hits(docs: DataFrame, bench: DataFrame, keep: list[str], text_col: str
     return own
 
 
+def mark_hits(docs: DataFrame, bench: DataFrame, keep: list[str], **options) -> DataFrame:
+    """The columns ``keep`` of each document and ``hits``: a struct of words, hit (counts),
+    mask (bits of the words hit, little-endian) and items (ids as strings)."""
+    marks = F.struct(*[F.col(f"_{c}").alias(c) for c in ("words", "hit", "mask", "items")]).alias("hits")
+    return _marked(docs, bench, keep, **options).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], marks)
+
+
 def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    return mark_hits(docs, bench, [id_col], **options).select(
-        id_col,
+    return _marked(docs, bench, [id_col], **options).select(
+        F.col("k0").alias(id_col),
         F.col("_words").alias("n_words"),
         F.col("_hit").alias("n_hit"),
         F.size("_items").cast("long").alias("n_items"),
@@ -201,7 +208,7 @@ def cut(text: str, mask: bytes) -> str:
 
 def remove_spans(docs: DataFrame, bench: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """All documents, the words that are hit cut from their texts."""
-    marked = mark_hits(docs, bench, docs.columns, text_col=text_col, **options)
+    marked = _marked(docs, bench, docs.columns, text_col=text_col, **options)
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -210,5 +217,6 @@ def remove_spans(docs: DataFrame, bench: DataFrame, text_col: str = "text", **op
             new = [t if t is None or not any(m) else cut(t, m) for t, m in rows]
             yield pa.RecordBatch.from_arrays([pa.array(new, b.column(at).type) if i == at else b.column(i) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
 
-    narrow = marked.select(*[F.col(f"`{c}`") for c in docs.columns], "_mask")
-    return narrow.mapInArrow(run, docs.schema)
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    cut_ = marked.select(*names, "_mask").mapInArrow(run, marked.select(*names).schema)
+    return cut_.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
