@@ -248,40 +248,55 @@ def scalars(df: DataFrame, v: str, patterns: list[str], keep: list[str], reveal:
     def rows(numbers: list[int], path: Column, value: Column, error: Column) -> Column:
         return F.array(*[F.struct(F.lit(n).alias("number"), path.alias("path"), value.alias("value"), error.alias("error")) for n in numbers]).cast(_ROW)
 
-    def below(node: dict) -> list[int]:
-        return [*node.get(None, []), *(n for k, x in node.items() if k is not None for n in below(x))]
+    def below(node: dict, rest: str = "") -> list[tuple[int, str]]:
+        """The patterns that go on from here, with what follows of each."""
+        own = [(n, rest) for n in node.get(None, [])]
+        return [*own, *(p for k, x in node.items() if k is not None for p in below(x, f"{rest}.{'*' if k is EACH else join_path([k])}"))]
+
+    def failed(node: dict, path: Column, error: Column) -> Column:
+        return F.concat(*[rows([n], F.concat(path, F.lit(rest)), none, error) for n, rest in below(node)])
 
     def ends(numbers: list[int], path: Column, x: Column, secret: Column) -> Column:
-        k = kind(x)
-        text = F.when(k == "string", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x))
-        error = F.when(secret & F.lit(not reveal), IS_SECRET).when(k == "null", IS_NULL).when(k.isin("object", "array"), NO_SCALAR).when(F.contains(text, F.lit("\n")), MULTILINE)
-        return rows(numbers, path, F.when(error.isNull(), text), error)
+        def of(k: Column) -> Column:
+            text = F.when(k == "string", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x))
+            refused = F.when(secret & F.lit(not reveal), IS_SECRET).when(k == "null", IS_NULL).when(k.isin("object", "array"), NO_SCALAR)
+            one = lambda t: F.struct(F.when(~F.contains(t, F.lit("\n")), t).alias("t"), F.coalesce(refused, F.when(F.contains(t, F.lit("\n")), MULTILINE)).alias("e"))
+            return let(F.when(refused.isNull(), text), one)
+
+        return let(let(kind(x), of), lambda r: rows(numbers, path, r["t"], r["e"]))
+
+    def each_child(inner: dict, x: Column, path: Column, joined, secret: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            name = F.when(e["key"].isNull(), i.cast("string")).otherwise(join_path_column(F.array(e["key"])))
+            hidden = F.coalesce(secret_name(e["key"], sorted(secret_names)), F.lit(False))
+            return walk(inner, e["value"], joined(name), secret | hidden)
+
+        refused = failed(inner, joined(F.lit("*")), F.lit(NO_CONTAINER))
+        return let(variants.entries(x), lambda es: F.when(es.isNull(), refused).otherwise(F.flatten(F.transform(es, one))))
+
+    def one_child(segment: str, inner: dict, x: Column, name: Column, secret: Column) -> Column:
+        hidden = secret | F.lit(is_secret(segment, secret_names))
+        child = _in_object(x, segment)
+        if re.fullmatch("[0-9]+", segment):
+            child = F.coalesce(child, F.try_variant_get(x, f"$[{min(int(segment), 2**31 - 1)}]", "variant"))
+        # Only where nothing is found it is asked why.
+        return let(child, lambda c: F.when(c.isNotNull(), walk(inner, c, name, hidden)).otherwise(failed(inner, name, _step(x, segment, None)["error"])))
 
     def walk(node: dict, x: Column, path: Column, secret: Column) -> Column:
         parts = [ends(node[None], path, x, secret)] if None in node else []
         joined = lambda name: F.when(path == "", name).otherwise(F.concat(path, F.lit("."), name))
         for segment, inner in node.items():
-            if segment is None:
-                continue
             if segment is EACH:
-                each = lambda e, i, inner=inner: walk(inner, e["value"], joined(F.coalesce(join_path_column(F.array(e["key"])), i.cast("string"))), secret | F.coalesce(_secret_column(e["key"], secret_names), F.lit(False)))
-                refused = rows(below(inner), path, none, F.lit(NO_CONTAINER))
-                parts.append(let(variants.entries(x), lambda es, each=each, refused=refused: F.when(es.isNull(), refused).otherwise(F.flatten(F.transform(es, each)))))
-                continue
-            name, hidden = joined(F.lit(join_path([segment]))), secret | F.lit(is_secret(segment, secret_names))
-            deeper = lambda got, inner=inner, name=name, hidden=hidden: F.when(got["error"].isNotNull(), rows(below(inner), name, none, got["error"])).otherwise(walk(inner, got["value"], name, hidden))
-            parts.append(let(_step(x, segment, None), deeper))
+                parts.append(each_child(inner, x, path, joined, secret))
+            elif segment is not None:
+                parts.append(one_child(segment, inner, x, joined(F.lit(join_path([segment]))), secret))
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-    missing = rows(list(range(len(patterns))), F.lit(""), none, F.lit(NOT_FOUND))
+    missing = F.concat(*[rows([n], F.lit(p), none, F.lit(NOT_FOUND)) for n, p in enumerate(patterns)])
     found = F.when(F.col(v).isNull(), missing).otherwise(walk(tree, F.col(v), F.lit(""), F.lit(False)))
     return df.select(*keep, F.explode(found).alias("_r")).select(*keep, "_r.number", "_r.path", "_r.value", "_r.error")
 
 
-def _secret_column(name: Column, secret_names: frozenset[str]) -> Column:
-    return secret_name(name, sorted(secret_names))
-
-
 def children(df: DataFrame, v: str, keep: list[str], path: str | None = None) -> DataFrame:
     """(keep, name, path, error): the children at a path (of the root without one). A
     scalar has an error instead, and so has a root key that is empty: no path names it."""

@@ -11,9 +11,11 @@ def fold(blocks: DataFrame, doc: str, idx: str = "block_idx", level: str = "leve
     """Blocks with ``parent`` (idx of the heading that they stand under, null at the
     top), ``ordinal`` (of a heading among its parent's headings of that level, from 0)
     and ``section_end`` (of a heading, the last line of its section). ``level`` is null
-    for blocks that are no headings. A heading ends all sections of its level and deeper."""
-    before = Window.partitionBy(doc).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(doc).orderBy(idx).rowsBetween(1, Window.unboundedFollowing)
+    for blocks that are no headings. A heading ends all sections of its level and deeper.
+    Two running passes over each document, one from either end; nothing is gathered."""
+    forward, backward = (Window.partitionBy(doc).orderBy(o) for o in (F.col(idx), F.desc(idx)))
+    before = forward.rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own, at = F.col(level), F.col(idx)
     last = lambda test: F.max(F.when(test, at)).over(before)
     opened = []
@@ -21,15 +23,13 @@ def fold(blocks: DataFrame, doc: str, idx: str = "block_idx", level: str = "leve
         here, shallower = last(own == n), last(own < n)
         is_open = here.isNotNull() & (shallower.isNull() | (here > shallower))
         opened.append(F.when(is_open & (own.isNull() | (own > n)), here))
-    placed = blocks.withColumn("parent", F.greatest(*opened))
-    # The next heading that ends a heading's section.
-    ends = None
+    # Headings of a level or a shallower one cut the document into stretches; a heading's
+    # section is the stretch of its own level that it begins. Numbers fall from stretch to
+    # stretch, so the greatest that was met from the end is the present one.
+    stretches = {f"_s{n}": -F.sum(F.when(own <= n, 1).otherwise(0)).over(upto(forward)) for n in range(1, deepest + 1)}
+    placed = blocks.withColumns({"parent": F.greatest(*opened)} | stretches)
+    ends = F.when(own.isNull(), None)
     for n in range(1, deepest + 1):
-        stop = F.coalesce(F.min(F.when(own <= n, at)).over(after), F.lit(2**31 - 1))
-        ends = F.when(own == n, stop) if ends is None else ends.when(own == n, stop)
-    placed = placed.withColumn("_stop", ends)
-    last_line = placed.groupBy(F.col(doc).alias("_d")).agg(F.sort_array(F.collect_list(F.struct(at.alias("i"), F.col(end).alias("e")))).alias("_lines"))
-    joined = placed.join(last_line, F.col(doc) == F.col("_d")).drop("_d")
-    inside = F.transform(F.filter("_lines", lambda x: (x["i"] >= F.col(idx)) & (x["i"] < F.col("_stop"))), lambda x: x["e"])
+        ends = ends.when(own == n, F.max(F.struct(F.col(f"_s{n}"), F.col(end).alias("e"))).over(upto(backward))["e"])
     among = Window.partitionBy(doc, "parent", level).orderBy(idx)
-    return joined.withColumn("section_end", F.when(own.isNotNull(), F.array_max(inside))).withColumn("ordinal", F.when(own.isNotNull(), F.row_number().over(among) - 1)).drop("_stop", "_lines")
+    return placed.withColumn("section_end", ends).drop(*stretches).withColumn("ordinal", F.when(own.isNotNull(), F.row_number().over(among) - 1))

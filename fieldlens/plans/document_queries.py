@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import json_text
-from ..operators import frames, lint
-from ..sources import ini
+from ..operators import frames, lint, sections
+from ..sources import documents, ini
 from ..sources import text as src
 from .queries import _table, query
 
@@ -108,3 +108,29 @@ def dotenv_edits(spark, d):
     t = F.col("t")
     docs = _table(spark, d, "customer").select("*", F.concat(F.lit("export NAME=a # kept\nN="), F.col("c_nationkey").cast("string"), F.lit("\n")).alias("t"))
     return docs.select("c_custkey", src.set_dotenv(t, "NAME", F.concat("c_name", F.lit(" x")))["value"].alias("changed"), src.set_dotenv(t, "S", F.col("c_mktsegment"))["value"].alias("longer"), src.unset_dotenv(t, "N")["value"].alias("shorter"))
+
+
+@query("""SELECT c_custkey, ['json', 'ini', 'dotenv', 'toml', NULL, 'json'][k + 1] AS format,
+  CASE k WHEN 0 THEN '{"n":"' || c_name || '"}' WHEN 1 THEN '{"a":"1","empty":{},"s":{"name":"' || c_name || '"}}' WHEN 2 THEN '{"N":"' || c_name || '"}' END AS value,
+  CASE k WHEN 3 THEN 'document_format_unsupported' WHEN 4 THEN 'document_format_unknown' WHEN 5 THEN 'json_parse_failed' END AS error FROM (SELECT *, CAST(c_custkey % 6 AS INTEGER) AS k FROM customer)""")
+def load_by_format(spark, d):
+    k, name = F.col("c_custkey") % 6, F.col("c_name")
+    endings, texts = [".json", ".INI", "/.env.local", ".toml", ".txt", ".json"], [F.concat(F.lit('{"n":"'), name, F.lit('"}')), F.concat(F.lit("a=1\n[s]\nname="), name, F.lit("\n[empty]\n")), F.concat(F.lit("export N='"), name, F.lit("'\n")), F.lit("a = 1"), F.lit("x"), F.lit("{")]
+    pick = lambda xs: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), (k + 1).cast("int"))
+    docs = _table(spark, d, "customer").select("c_custkey", F.concat(name, pick(endings)).alias("file"), pick(texts).alias("text"))
+    return documents.load_texts(docs, "file", "text", ["c_custkey"]).select("c_custkey", "format", F.to_json("value").alias("value"), "error")
+
+
+@query("""WITH b AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 END AS level FROM events),
+w AS (SELECT *, lag(event_id) OVER u AS before, last_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final,
+    max(CASE WHEN level = 1 THEN event_id END) OVER p AS m1, max(CASE WHEN level = 2 THEN event_id END) OVER p AS m2, max(CASE WHEN level = 3 THEN event_id END) OVER p AS m3,
+    min(CASE WHEN level <= 1 THEN event_id END) OVER f AS f1, min(CASE WHEN level <= 2 THEN event_id END) OVER f AS f2, min(CASE WHEN level <= 3 THEN event_id END) OVER f AS f3
+  FROM b WINDOW u AS (PARTITION BY user_id ORDER BY event_id), p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+s AS (SELECT *, [f1, f2, f3][level] AS stop, greatest(CASE WHEN coalesce(level, 9) > 1 THEN m1 END, CASE WHEN coalesce(level, 9) > 2 THEN m2 END, CASE WHEN coalesce(level, 9) > 3 THEN m3 END) AS parent FROM w)
+SELECT s.user_id, s.event_id, s.parent, CASE WHEN s.level IS NOT NULL THEN coalesce(n.before, s.final) END AS section_end,
+  CASE WHEN s.level IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY s.user_id, s.parent, s.level ORDER BY s.event_id) - 1 AS INTEGER) END AS ordinal
+FROM s LEFT JOIN w n ON n.user_id = s.user_id AND n.event_id = s.stop""")
+def section_tree_events(spark, d):
+    level = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "error", 3)
+    blocks = _table(spark, d, "events").select("user_id", "event_id", level.alias("level"), F.col("event_id").alias("line"))
+    return sections.fold(blocks, "user_id", "event_id", end="line").select("user_id", "event_id", "parent", "section_end", "ordinal")

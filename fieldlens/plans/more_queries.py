@@ -207,6 +207,15 @@ def path_values_wildcard(spark, d):
     return paths.values(_order_documents(spark, d), "doc", "lines.*.part", ["l_orderkey"]).select("l_orderkey", "path", F.to_json("value").alias("value"))
 
 
+@query(f"""SELECT l_orderkey, 0 AS number, 'lines.' || i || '.part' AS path, CAST(v[i + 1].part AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS error FROM (SELECT l_orderkey, v, unnest(range(0, len(v))) AS i FROM {LISTED})
+UNION ALL SELECT l_orderkey, 1, 'lines.1.slug', v[2].slug, CASE WHEN len(v) < 2 THEN 'document_path_not_found' END FROM {LISTED}
+UNION ALL SELECT l_orderkey, 2, 'api\\.secret', 'k', NULL FROM {LISTED} UNION ALL SELECT l_orderkey, 3, 'x.a_secret', NULL, 'document_secret_redacted' FROM {LISTED}
+UNION ALL SELECT l_orderkey, 4, 'lines', NULL, 'document_not_scalar' FROM {LISTED}""")
+def path_values_many(spark, d):
+    patterns = ["lines.*.part", "lines.1.slug", "api\\.secret", "x.a_secret", "lines"]
+    return paths.scalars(_order_documents(spark, d), "doc", patterns, ["l_orderkey"])
+
+
 @query("SELECT DISTINCT l_orderkey, unnest(['api.secret', 'lines', 'x']) AS name, unnest(['api\\.secret', 'lines', 'x']) AS path, CAST(NULL AS VARCHAR) AS error FROM lineitem")
 def path_children(spark, d):
     return paths.children(_order_documents(spark, d), "doc", ["l_orderkey"])

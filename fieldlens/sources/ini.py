@@ -90,6 +90,21 @@ def entries_of(text: Column) -> Column:
     return let(F.transform(F.split(text, "\r?\n"), _read), _placed)
 
 
+def as_variant(text: Column) -> Column:
+    """(value, error): the document as one object, its sections as objects in it."""
+    lines = F.transform(F.split(text, "\r?\n"), _read)
+    heads = F.array_distinct(F.transform(F.filter(lines, lambda x: x["header"].isNotNull()), lambda x: x["header"]))
+    pairs = lambda es, name: F.map_from_entries(F.transform(F.filter(es, lambda e: e["section"] == name), lambda e: F.struct(e["key"].alias("key"), e["value"].cast("variant").alias("value"))))
+
+    def of(es: Column) -> Column:
+        bad = F.get(F.filter(es, lambda e: e["error"].isNotNull()), F.lit(0))["error"]
+        sections = F.map_from_entries(F.transform(heads, lambda h: F.struct(h.alias("key"), F.to_variant_object(pairs(es, h)).alias("value"))))
+        whole = F.when(bad.isNull(), F.to_variant_object(F.map_concat(pairs(es, F.lit("")), sections)))
+        return F.struct(whole.alias("value"), bad.alias("error"))
+
+    return let(entries_of(text), of)
+
+
 def read_ini(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line, section, key, value, error): a document's entries, those before the
     first header with an empty section; or, if it can't be read, one row with the
