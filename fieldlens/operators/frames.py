@@ -402,6 +402,21 @@ def lint_schema(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame(found, FINDING)
 
 
+def lint_columns(df: DataFrame) -> DataFrame:
+    """The findings of :func:`lint_schema` about a table's columns with ``rows``, how many
+    rows have a value there: one aggregate over the columns in question alone."""
+    spark = df.sparkSession
+    found = lint_schema(spark, df.schema)
+    plain = lambda token: token.replace("~1", "/").replace("~0", "~")
+    pointers = sorted({r.pointer for r in found.select("pointer").collect()})  # as many as the schema has fields
+    if not pointers:
+        return found.withColumn("rows", F.lit(0).cast("long"))
+    at = lambda p: F.col(".".join(f"`{plain(t)}`" for t in p.split("/")[1:]))
+    counts = df.agg(*[F.count(at(p)).alias(f"c{i}") for i, p in enumerate(pointers)])
+    pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("pointer"), F.col(f"c{i}").alias("rows")) for i, p in enumerate(pointers)])).alias("p")
+    return found.join(counts.select(pairs).select("p.*"), "pointer").select(*found.columns, "rows")
+
+
 def _holds_only_text(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
         return all(_holds_only_text(f.dataType) for f in kind)

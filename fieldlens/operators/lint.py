@@ -234,6 +234,65 @@ def lint_variant(v: Column, pointer: Column | str = "", deepest: int = variants.
     return F.filter(every, lambda f: f.isNotNull())
 
 
+#: What a property's schema must allow, by the kind that its name tells.
+_INTEGER, _NUMBER, _TEXT, _EITHER = ["integer"], ["integer", "number"], ["string"], ["integer", "string"]
+#: Levels of alternatives within alternatives that are looked at.
+ALTERNATIVES = 4
+
+
+def _expected(kind: Column) -> Column:
+    """The JSON types of which a schema must allow one; null: any will do."""
+    texts = lambda xs: F.array(*map(F.lit, xs))
+    out = F.when(kind.isin(*INTEGERS, "bytes"), texts(_INTEGER)).when(kind.isin(*NUMBERS), texts(_NUMBER))
+    strict = [s[1:] for s in STRICT]
+    return out.when(kind.isin("sats", "msats"), texts(_EITHER)).when(kind.isin("epoch_ns", "rfc3339", "url", *strict), texts(_TEXT))
+
+
+def _allows(schema: Column, types: Column, left: int = ALTERNATIVES) -> Column:
+    """Whether a schema allows one of the types: by its ``type``, else by any of its
+    ``anyOf`` or ``oneOf``, else by all of its ``allOf``; one that says nothing does."""
+    of = lambda k, t: F.try_variant_get(schema, f"$.{k}", t)
+    several = of("type", "array<string>")
+    said = F.when(several.isNotNull(), F.arrays_overlap(several, types)).when(F.schema_of_variant(of("type", "variant")) == "STRING", F.array_contains(types, of("type", "string")))
+    if not left:
+        return F.coalesce(said, F.lit(True))
+    some = F.coalesce(of("anyOf", "array<variant>"), of("oneOf", "array<variant>"))
+    branches = F.transform(F.coalesce(some, of("allOf", "array<variant>")), lambda b: _allows(b, types, left - 1))
+    by_branches = urls.let(branches, lambda r: F.when(some.isNotNull(), F.exists(r, lambda x: x)).otherwise(F.forall(r, lambda x: x)))
+    return F.coalesce(F.when(of("type", "variant").isNotNull(), F.coalesce(said, F.lit(True))).otherwise(by_branches), F.lit(True))
+
+
+def lint_json_schema(v: Column, deepest: int = variants.DEEPEST) -> Column:
+    """An array of findings on a JSON Schema held as VARIANT: properties, at any place,
+    whose types their names rule out, and defaults or examples of secret ones."""
+
+    def properties(n: Column) -> Column:
+        inside = F.when((n["key"] == "properties") & F.coalesce(variants.as_object(n["value"]).isNotNull(), F.lit(False)), F.map_entries(variants.as_object(n["value"])))
+        token = lambda k: F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+        return F.transform(inside, lambda e: F.struct(F.concat(n["pointer"], F.lit("/"), token(e["key"])).alias("pointer"), e["key"].alias("key"), e["value"].alias("value"), _kind_by_name(e["key"]).alias("kind")))
+
+    def found(p: Column) -> Column:
+        one = lambda test, rule, at, message: F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(rule).alias("rule_id"), F.lit("error").alias("severity"), F.concat(p["pointer"], at).alias("pointer"), message.alias("message")))
+        is_object = variants.as_object(p["value"]).isNotNull()
+        types = _expected(p["kind"])
+        wrong = is_object & types.isNotNull() & ~_allows(p["value"], types)
+        shown = lambda x: x.isNotNull() & ~F.is_variant_null(x) & ~F.coalesce((F.schema_of_variant(x) == "STRING") & (F.try_variant_get(x, "$", "string") == urls.MARK), F.lit(False))
+        secret = is_object & (p["kind"] == "secret")
+        at = lambda k: F.try_variant_get(p["value"], f"$.{k}", "variant")
+        says = lambda what: F.concat(p["key"], F.lit(f" has a {what} that anybody can read"))
+        examples = F.transform(F.try_variant_get(p["value"], "$.examples", "array<variant>"), lambda x, i: one(secret & shown(x), "secret_schema_value_exposed", F.concat(F.lit("/examples/"), i.cast("string")), says("example")))
+        own = F.array(
+            *[one(secret & shown(at(k)), "secret_schema_value_exposed", F.lit(f"/{k}"), says(k)) for k in ("default", "example")],
+            one(wrong, "suffix_type_mismatch", F.lit("/type"), F.concat(p["key"], F.lit(" doesn't allow what its suffix says"))),
+        )
+        return F.concat(own.cast(f"array<{_FINDING}>"), F.coalesce(examples, F.array()).cast(f"array<{_FINDING}>"))
+
+    root = F.array(F.struct(F.lit("").alias("pointer"), F.lit(None).cast("string").alias("key"), v.alias("value"))).cast(_NODE)
+    nodes = F.concat(root, _nodes(v, F.lit(""), deepest))
+    every = F.flatten(F.transform(F.flatten(F.filter(F.transform(nodes, properties), lambda x: x.isNotNull())), found))
+    return F.filter(every, lambda f: f.isNotNull())
+
+
 def lint_values(df: DataFrame, keep: list[str], least: str = "warning") -> DataFrame:
     """(keep, rule_id, severity, pointer, message): what the table's values break;
     ``least``: warning or error. Null is never a finding."""

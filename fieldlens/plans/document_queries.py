@@ -134,3 +134,20 @@ def section_tree_events(spark, d):
     level = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "error", 3)
     blocks = _table(spark, d, "events").select("user_id", "event_id", level.alias("level"), F.col("event_id").alias("line"))
     return sections.fold(blocks, "user_id", "event_id", end="line").select("user_id", "event_id", "parent", "section_end", "ordinal")
+
+
+@query("""SELECT s_suppkey, rule_id, pointer FROM (
+  SELECT s_suppkey, 'suffix_type_mismatch' AS rule_id, '/properties/size_bytes/type' AS pointer FROM supplier WHERE s_suppkey % 2 = 0
+  UNION ALL SELECT s_suppkey, 'suffix_type_mismatch', '/$defs/d/properties/in/properties/at_rfc3339/type' FROM supplier WHERE s_suppkey % 3 = 0
+  UNION ALL SELECT s_suppkey, 'secret_schema_value_exposed', unnest(['/properties/api_secret/default', '/properties/api_secret/examples/1']) FROM supplier
+  UNION ALL SELECT s_suppkey, 'suffix_type_mismatch', '/properties/took_ms/type' FROM supplier WHERE s_suppkey % 5 = 0)""")
+def lint_json_schemas(spark, d):
+    k = F.col("s_suppkey")
+    pick = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    text = F.concat(
+        F.lit('{"properties":{"size_bytes":{"type":'), pick(2, '"string"', '["null","integer"]'), F.lit('},"api_secret":{"type":"string","default":"sk-'), k.cast("string"), F.lit('","example":"***","examples":[null,"x","***"]},"took_ms":{'),
+        pick(5, '"allOf":[{"type":"number"},{"anyOf":[{"type":"string"}]}]', '"oneOf":[{"type":"string"},{"allOf":[{"type":"integer"},{}]}]'), F.lit('},"plain":{"type":"array"},"flag_ms":true},"$defs":{"d":{"properties":{"in":{"properties":{"at_rfc3339":{"type":'),
+        pick(3, '"integer"', '"string"'), F.lit("}}}}}}}"),
+    )
+    found = lint.lint_json_schema(F.parse_json(text))
+    return _table(spark, d, "supplier").select("s_suppkey", F.explode(found).alias("f")).select("s_suppkey", "f.rule_id", "f.pointer")

@@ -195,10 +195,10 @@ def render_plain_collision(spark, d):
     return frames.render(events_sem(spark, d).select("event_id", F.col("latency_ms").alias("response_ms"), size.alias("response_bytes")), keep=["event_id"])
 
 
-@query("SELECT 'suffix_type_mismatch' AS rule_id, 'error' AS severity, '/total_usd_cents' AS pointer, 'total_usd_cents can''t be double' AS message")
+@query("SELECT 'suffix_type_mismatch' AS rule_id, 'error' AS severity, '/total_usd_cents' AS pointer, 'total_usd_cents can''t be double' AS message, count(o_totalprice) AS rows FROM orders")
 def lint_schema_findings(spark, d):
     odd = orders_sem(spark, d).withColumn("total_usd_cents", F.col("total_usd_cents").cast("double"))
-    return frames.lint_schema(spark, odd.schema)
+    return frames.lint_columns(odd)
 
 
 LIFECYCLE = f"""WITH e AS (SELECT user_id, kind, row_number() OVER w - 1 AS index,
