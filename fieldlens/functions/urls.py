@@ -24,8 +24,9 @@ def let(value: Column, body) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
+    """Without white space at both ends; texts in ASCII alone need no pattern."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.btrim(text, F.lit("\t\n\x0b\x0c\r "))).otherwise(F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", ""))
 
 
 def is_url(text: Column) -> Column:

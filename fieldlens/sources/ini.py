@@ -16,22 +16,28 @@ UNSUPPORTED = "document_unsupported_operation"
 
 def _read(line: Column, at: Column) -> Column:
     """What a line is: a header, an entry, or an error."""
-    bare = trimmed(line)
-    name = trimmed(F.substr(bare, F.lit(2), F.length(bare) - F.lit(2)))
-    key = trimmed(F.substring_index(line, "=", 1))
-    value = trimmed(F.substr(line, F.instr(line, "=") + F.lit(1)))
-    is_header, has_value = bare.startswith("["), F.contains(line, F.lit("="))
-    is_entry = ~is_header & has_value
-    quiet = (bare == "") | bare.startswith("#") | bare.startswith(";")
-    error = (
-        F.when(quiet, None)
-        .when(is_header & ~(bare.endswith("]") & (F.length(bare) > 1)), "invalid_section_header")
-        .when(is_header & ((name == "") | name.rlike(r"[\[\]]")), "invalid_section_name")
-        .when(~is_header & ~has_value, "missing_value")
-        .when(is_entry & ((key == "") | key.rlike(r"[\[\]]")), "invalid_key")
-        .when(is_entry & (F.octet_length(value) > MAX_VALUE_BYTES), "value_too_large")
-    )
-    return F.struct((at + 1).alias("line"), F.when(~quiet & is_header, name).alias("header"), F.when(~quiet & is_entry, key).alias("key"), F.when(~quiet & is_entry, value).alias("value"), error.alias("error"))
+
+    def parts(bare: Column) -> Column:
+        quiet = (bare == "") | bare.startswith("#") | bare.startswith(";")
+        is_header = bare.startswith("[")
+        is_entry = ~quiet & ~is_header & F.contains(line, F.lit("="))
+        name = F.when(~quiet & is_header, trimmed(F.substr(bare, F.lit(2), F.length(bare) - F.lit(2))))
+        key = F.when(is_entry, trimmed(F.substring_index(line, "=", 1)))
+        value = F.when(is_entry, trimmed(F.substr(line, F.instr(line, "=") + F.lit(1))))
+        closed = bare.endswith("]") & (F.length(bare) > 1)
+        return F.struct(name.alias("header"), key.alias("key"), value.alias("value"), closed.alias("closed"), quiet.alias("quiet"))
+
+    def judged(p: Column) -> Column:
+        error = (
+            F.when(p["header"].isNotNull() & ~p["closed"], "invalid_section_header")
+            .when(p["header"].isNotNull() & ((p["header"] == "") | p["header"].rlike(r"[\[\]]")), "invalid_section_name")
+            .when(~p["quiet"] & p["header"].isNull() & p["key"].isNull(), "missing_value")
+            .when(p["key"].isNotNull() & ((p["key"] == "") | p["key"].rlike(r"[\[\]]")), "invalid_key")
+            .when(F.octet_length(p["value"]) > MAX_VALUE_BYTES, "value_too_large")
+        )
+        return F.struct((at + 1).alias("line"), p["header"].alias("header"), p["key"].alias("key"), p["value"].alias("value"), error.alias("error"))
+
+    return let(let(trimmed(line), parts), judged)
 
 
 def spans(heads: Column, n: Column) -> Column:
