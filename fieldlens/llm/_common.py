@@ -58,6 +58,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete all scratch tables of the operators in the shared folder, once what was read
+    from them is written elsewhere."""
+    drop_path(spark, f"{shared_dir(spark)}/fieldlens")
+
+
 def rows_that_stay(docs: DataFrame, id_col: str, text_col: str, judged: DataFrame) -> DataFrame:
     """The rows of ``docs``, columns as they were whatever their names, but for those
     that ``judged`` (_id, _key: hash of the text, _stays) sends away; of rows that

@@ -60,3 +60,14 @@ def test_rows_that_stay_keep_columns_with_internal_names(spark):
 def test_equal_hashes_are_told_apart_by_content():
     table = ContentTable(slots=4)
     assert [table.place(7, bytes([i % 50]), i) for i in range(200)] == [i % 50 for i in range(200)]
+
+
+def test_scratch_tables_can_be_deleted(spark, docs):
+    from fieldlens.llm import _common
+
+    assert exact_duplicates(docs([(1, "a"), (2, "a")])).count() == 2
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_common.shared_dir(spark)}/fieldlens")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert files.exists(path)
+    _common.cleanup(spark)
+    assert not files.exists(path)
