@@ -36,8 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables."""
+    return f"{shared_dir(spark)}/fieldlens/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fieldlens/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, files: int | None = None) -> tuple[DataFrame, str]:
@@ -59,9 +64,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Delete all scratch tables of the operators in the shared folder, once what was read
-    from them is written elsewhere."""
-    drop_path(spark, f"{shared_dir(spark)}/fieldlens")
+    """Delete all scratch tables that this application's operators left in the shared
+    folder, once what is read from them is written elsewhere."""
+    drop_path(spark, scratch_dir(spark))
 
 
 def rows_that_stay(docs: DataFrame, id_col: str, text_col: str, judged: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def test_scratch_tables_can_be_deleted(spark, docs):
     from fieldlens.llm import _common
 
     assert exact_duplicates(docs([(1, "a"), (2, "a")])).count() == 2
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_common.shared_dir(spark)}/fieldlens")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_common.scratch_dir(spark))
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     assert files.exists(path)
     _common.cleanup(spark)
