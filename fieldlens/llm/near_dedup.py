@@ -111,7 +111,7 @@ def _least(size: Column, similarity: tuple[int, int]) -> Column:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words_each: int = WORDS, size: int = SKETCH) -> DataFrame:
-    """Per row: _id, _key (hash of the text), _n (set size), _node (digest of the
+    """Per row: _id, _key (hash of the text), _n (set size), _digest (of the
     words), _sketch and _bits, the sketch as a bit set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -133,10 +133,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words_each: int = WORD
             bits = [pa.array(np.where(np.diff(lengths) > 0, w, 0)) for w in words_of]
             sketch = pa.ListArray.from_arrays(pa.array(lengths), pa.array(values, pa.int64()))
             bit_set = pa.StructArray.from_arrays(bits, names=[f"b{j}" for j in range(BIT_WORDS)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(same, pa.binary()), sketch, bit_set], names=["_id", "_key", "_n", "_node", "_sketch", "_bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(same, pa.binary()), sketch, bit_set], names=["_id", "_key", "_n", "_digest", "_sketch", "_bits"])
 
     bits_type = ", ".join(f"b{j}: long" for j in range(BIT_WORDS))
-    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col))).mapInArrow(run, f"_id {kind}, _key long, _n long, _node binary, _sketch array<long>, _bits struct<{bits_type}>")
+    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col))).mapInArrow(run, f"_id {kind}, _key long, _n long, _digest binary, _sketch array<long>, _bits struct<{bits_type}>")
 
 
 def _inverted(reps: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -200,7 +200,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words_each: int, similarity: tu
                 good.append(inter > 0 and per_union * inter >= per_shared * (len(sets[0]) + len(sets[1]) - inter))
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return full.mapInArrow(run, "a binary, b binary")
+    return full.mapInArrow(run, "a long, b long")
 
 
 def _estimate_passes(x: Column, y: Column, similarity: tuple[int, int]) -> Column:
@@ -230,7 +230,7 @@ def _with_sets(lists: DataFrame, texts: DataFrame, words_each: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.list_(pa.int32()))], names=["_node", "_all"])
 
     nodes = lists.select("_node").distinct()
-    return lists.join(texts.join(nodes, "_node").select("_node", "_text").mapInArrow(run, "_node binary, _all array<int>"), "_node")
+    return lists.join(texts.join(nodes, "_node").select("_node", "_text").mapInArrow(run, "_node long, _all array<int>"), "_node")
 
 
 def _may_pass(x: str, y: str, similarity: tuple[int, int]) -> Column:
@@ -245,7 +245,7 @@ def _may_pass(x: str, y: str, similarity: tuple[int, int]) -> Column:
 
 
 def _listed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_node, _text) of the representatives ``wanted`` (_rep, _node). A blocked Bloom
+    """(_node, _text) of the representatives ``wanted`` (_rep, _node, _digest). A blocked Bloom
     filter of their ids, of at most ``BLOOM_BLOCKS`` words, spares most texts the
     shuffle; the join and the digest make the result exact."""
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOOM_BLOCKS))
@@ -253,13 +253,14 @@ def _listed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     blocks = wanted.groupBy(block(F.col("_rep")).alias("_block")).agg(F.bit_or(bit(F.col("_rep"))).alias("_bits"))
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     possible = own.withColumn("_block", block(F.col("_id"))).join(F.broadcast(blocks), "_block").where(F.col("_bits").bitwiseAND(bit(F.col("_id"))) != 0)
-    paired = possible.join(wanted, F.col("_id") == F.col("_rep")).select("_node", "_text")
+    paired = possible.join(wanted, F.col("_id") == F.col("_rep")).select("_node", "_text", "_digest")
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array([xxhash.xxh3_128_digest(b" ".join(words(t.as_py()))) == n.as_py() for n, t in zip(b.column(0), b.column(1), strict=True)], pa.bool_()))
+            same = [xxhash.xxh3_128_digest(b" ".join(words(t.as_py()))) == d.as_py() for t, d in zip(b.column(1), b.column(2), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
-    return paired.mapInArrow(run, "_node binary, _text string").dropDuplicates(["_node"])
+    return paired.mapInArrow(run, "_node long, _text string").dropDuplicates(["_node"])
 
 
 def _one_of_each(lists: DataFrame) -> DataFrame:
@@ -272,7 +273,7 @@ def _one_of_each(lists: DataFrame) -> DataFrame:
 def _able(current: DataFrame, texts: DataFrame, words_each: int, similarity: tuple[int, int]) -> DataFrame:
     """(_node, _m) of the nodes of ``current`` that may still be linked with another
     label: _m of their shingles occur in a node with another label as well."""
-    kind = "_node binary, _root binary, _h long"
+    kind = "_node long, _root long, _h long"
 
     def run(batches):
         for b in batches:
@@ -284,7 +285,7 @@ def _able(current: DataFrame, texts: DataFrame, words_each: int, similarity: tup
     nodes = current.select("_node", "_root", "_n").distinct()
     own = texts.join(nodes, "_node").select("_node", "_root", "_text").mapInArrow(run, kind)
     crossing = own.groupBy("_h").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_h")
-    shared = own.join(crossing, "_h").groupBy("_node").agg(F.count(F.lit(1)).alias("_m"))
+    shared = own.select("_node", "_h").join(crossing, "_h").groupBy("_node").agg(F.count(F.lit(1)).alias("_m"))
     per_union, per_shared = similarity
     return shared.join(nodes, "_node").where(F.col("_m") * per_union >= F.col("_n") * per_shared).select("_node", "_m")
 
@@ -346,20 +347,22 @@ def _stars(lists: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return best.select("a", F.col("_node").alias("b"))
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, words_each: int, similarity: tuple[int, int]) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, words_each: int, similarity: tuple[int, int]) -> tuple[DataFrame, list[str]]:
     """Per row: _id, _key, _n, _node, _root (of the component; null without words) and
-    _c, the component's smallest id."""
+    _c, the component's smallest id; and the scratch tables that this is read from."""
     spark = docs.sparkSession
     bound_batches(spark)
-    rows, _ = materialize(sketches(docs, id_col, text_col, words_each), "sketches")
-    linked = rows.where("_id is not null and _node is not null")
+    rows, rows_path = materialize(sketches(docs, id_col, text_col, words_each), "sketches")
+    linked = rows.where("_id is not null and _digest is not null")
     n = rows.count()
     narrow, wide = _files(spark, 48 * n), _files(spark, (48 + 8 * SKETCH) * n)
-    # Same words: one node, whose representative is the smallest id.
-    reps, _ = materialize(linked.groupBy("_node").agg(F.min("_id").alias("_rep"), *[F.first(c).alias(c) for c in ("_n", "_sketch", "_bits")]), "nodes", wide)
+    # Same words: one node, whose representative is the smallest id. Nodes are numbered in
+    # the table that is written, so what is shuffled carries a number, not a digest.
+    same = linked.groupBy("_digest").agg(F.min("_id").alias("_rep"), *[F.first(c).alias(c) for c in ("_n", "_sketch", "_bits")])
+    reps, reps_path = materialize(same.withColumn("_node", F.monotonically_increasing_id()), "nodes", wide)
     lists, lists_path = materialize(_one_of_each(_inverted(reps, similarity)), "lists", wide)
     own, own_path = materialize(reps.join(lists.select("_node").distinct(), "_node"), "listed", wide)
-    texts, texts_path = materialize(_listed_texts(docs, own.select("_rep", "_node"), id_col, text_col), "texts")
+    texts, texts_path = materialize(_listed_texts(docs, own.select("_rep", "_node", "_digest"), id_col, text_col), "texts")
     scratch, links = [lists_path, own_path, texts_path], []
 
     def linked_of(pairs: DataFrame) -> DataFrame:
@@ -405,26 +408,30 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words_each: int, si
     for p in scratch:
         drop_path(spark, p)
 
-    named = reps.select("_node", "_rep", F.col("_node").alias("_root"))
+    named = reps.select("_digest", "_node", "_rep", F.col("_node").alias("_root"))
     if root is not None:
         labelled = named.drop("_root").join(root, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
         least = labelled.groupBy("_root").agg(F.min("_rep").alias("_c"))
-        named = labelled.join(least, "_root").select("_node", F.col("_c").alias("_rep"), "_root")
-    joined = rows.select("_id", "_key", "_n", "_node").join(named, "_node", "left")
-    return joined.withColumn("_c", F.when(F.col("_id").isNotNull(), F.coalesce("_rep", "_id"))).drop("_rep")
+        named = labelled.join(least, "_root").select("_digest", "_node", F.col("_c").alias("_rep"), "_root")
+    joined = rows.select("_id", "_key", "_n", "_digest").join(named, "_digest", "left").drop("_digest")
+    kept = [p for p in (rows_path, reps_path, root_path) if p]
+    return joined.withColumn("_c", F.when(F.col("_id").isNotNull(), F.coalesce("_rep", "_id"))).drop("_rep"), kept
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Per row: the id, n_shingles, component_id and kept (the id is the smallest
     of its component)."""
-    found = _components(docs, id_col, text_col, words_each, similarity)
+    found, _ = _components(docs, id_col, text_col, words_each, similarity)
     return found.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_c").alias("component_id"), (F.col("_id") == F.col("_c")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS, similarity: tuple[int, int] = DROP_SIMILARITY) -> DataFrame:
     """One row of each component, columns as they were: of its rows with the smallest
     id, one whose text has the smallest hash. Rows with a null id or without words stay."""
-    found, _ = materialize(_components(docs, id_col, text_col, words_each, similarity).where("_id is not null and _root is not null").select("_id", "_key", "_root", "_c"), "components")
+    rows, scratch = _components(docs, id_col, text_col, words_each, similarity)
+    found, _ = materialize(rows.where("_id is not null and _root is not null").select("_id", "_key", "_root", "_c"), "components")
+    for p in scratch:
+        drop_path(docs.sparkSession, p)
     keepers = found.where("_id = _c").groupBy("_root").agg(F.min(F.struct("_id", "_key")).alias("_kept"))
     judged = found.join(keepers, "_root").withColumn("_stays", (F.col("_id") == F.col("_kept._id")) & (F.col("_key") == F.col("_kept._key")))
     return rows_that_stay(docs, id_col, text_col, judged)
