@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 ARROW_BYTES, ARROW_ROWS = 4 << 20, 4000
+#: Rows of one side of a join that is broadcast; their hash table takes several times this.
+TRUE_BROADCAST = "1MB"
 _own_dir: list[str] = []
 
 
@@ -120,6 +123,26 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(value))
 
 
+@contextmanager
+def joins_by_true_size(spark: SparkSession):
+    """While tables are worked out here, Spark broadcasts one side of a join by the size
+    that its rows have after a shuffle, never by that of the files it is read from:
+    numbers that lie close together take a few bits in a file and 16 bytes and more in
+    a hash table, which is built in the driver. Broadcasts asked for by name stay."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    spark.conf.set(names[1], before[1] or ("-1" if before[0] == "-1" else TRUE_BROADCAST))
+    spark.conf.set(names[0], "-1")
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def slices_by_bytes(texts: pa.Array, most: int):
     """(start, stop) row ranges of about ``most`` bytes, one row at least."""
     if len(texts) == 0:

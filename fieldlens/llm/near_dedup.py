@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import bound_batches, drop_path, materialize, rows_that_stay, worker_cache
+from ._common import bound_batches, drop_path, joins_by_true_size, materialize, rows_that_stay, worker_cache
 
 WORDS = 5
 SKETCH = 32
@@ -218,8 +218,8 @@ def _whole_passes(similarity: tuple[int, int]) -> Column:
     return F.coalesce(inter * per_union >= (F.col("_n") + F.col("_hub_n") - inter) * per_shared, F.lit(True))
 
 
-def _with_sets(lists: DataFrame, texts: DataFrame, words_each: int) -> DataFrame:
-    """``lists`` with _all, the node's set; null beyond ``WHOLE``."""
+def _with_sets(nodes: DataFrame, texts: DataFrame, words_each: int) -> DataFrame:
+    """``nodes``, a row each, with _all, the node's set; null beyond ``WHOLE``."""
 
     def run(batches):
         for b in batches:
@@ -229,8 +229,7 @@ def _with_sets(lists: DataFrame, texts: DataFrame, words_each: int) -> DataFrame
             kept = [x.tolist() if len(x) <= WHOLE and len(np.unique(x)) == len(x) else None for x in low]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.list_(pa.int32()))], names=["_node", "_all"])
 
-    nodes = lists.select("_node").distinct()
-    return lists.join(texts.join(nodes, "_node").select("_node", "_text").mapInArrow(run, "_node long, _all array<int>"), "_node")
+    return nodes.join(texts.join(nodes.select("_node"), "_node").select("_node", "_text").mapInArrow(run, "_node long, _all array<int>"), "_node")
 
 
 def _may_pass(x: str, y: str, similarity: tuple[int, int]) -> Column:
@@ -350,8 +349,14 @@ def _stars(lists: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 def _components(docs: DataFrame, id_col: str, text_col: str, words_each: int, similarity: tuple[int, int]) -> tuple[DataFrame, list[str]]:
     """Per row: _id, _key, _n, _node, _root (of the component; null without words) and
     _c, the component's smallest id; and the scratch tables that this is read from."""
+    bound_batches(docs.sparkSession)
+    # Numbers of nodes are stored in a few bits each: a small file may be a large hash table.
+    with joins_by_true_size(docs.sparkSession):
+        return _linked_components(docs, id_col, text_col, words_each, similarity)
+
+
+def _linked_components(docs: DataFrame, id_col: str, text_col: str, words_each: int, similarity: tuple[int, int]) -> tuple[DataFrame, list[str]]:
     spark = docs.sparkSession
-    bound_batches(spark)
     rows, rows_path = materialize(sketches(docs, id_col, text_col, words_each), "sketches")
     linked = rows.where("_id is not null and _digest is not null")
     n = rows.count()
@@ -386,9 +391,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words_each: int, si
         if number in (0, len(steps) - 1):
             # Who can't be linked with any of those that are left takes no more part.
             able = _able(still, texts, words_each, similarity).join(own.select("_node", "_sketch", "_bits"), "_node")
-            still = still.select("_v", "_node", "_n", "_root", "_blocks").join(able, "_node")
-            still = still.join(still.groupBy("_node").agg(F.collect_list("_v").alias("_vs")), "_node")  # at most SKETCH
-            still, path = materialize(_with_sets(still, texts, words_each).withColumn("_k", F.lit(None).cast("int")) if number else _ranked(still), "open-lists", wide)
+            # A node with all of its lists, at most SKETCH, is one row until what is known of it is there.
+            nodes = still.groupBy("_node", "_n", "_root").agg(F.collect_list(F.struct("_v", "_blocks")).alias("_in")).join(able, "_node")
+            nodes = _with_sets(nodes, texts, words_each) if number else nodes
+            still = nodes.withColumn("_vs", F.transform("_in", lambda e: e["_v"])).select("*", F.explode("_in").alias("_e")).select("_e.*", *[c for c in nodes.columns if c != "_in"], "_vs")
+            still, path = materialize(still.withColumn("_k", F.lit(None).cast("int")) if number else _ranked(still), "open-lists", wide)
             scratch.append(path)
         found = linked_of(_meetings(still, after, upto, similarity))
         if upto is None:
@@ -410,7 +417,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words_each: int, si
 
     named = reps.select("_digest", "_node", "_rep", F.col("_node").alias("_root"))
     if root is not None:
-        labelled = named.drop("_root").join(root, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+        # Worked out by the caller, with the session's own settings.
+        labelled = named.drop("_root").join(root.hint("merge"), "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
         least = labelled.groupBy("_root").agg(F.min("_rep").alias("_c"))
         named = labelled.join(least, "_root").select("_digest", "_node", F.col("_c").alias("_rep"), "_root")
     joined = rows.select("_id", "_key", "_n", "_digest").join(named, "_digest", "left").drop("_digest")
