@@ -25,9 +25,13 @@ LEAVES = T.ArrayType(T.StructType([T.StructField("_leaf_parent", T.StringType())
 
 def kind(v: Column) -> Column:
     """null, boolean, number, string, array or object; null of no value."""
-    t = F.schema_of_variant(v)
-    named = F.when(t == "VOID", "null").when(t == "BOOLEAN", "boolean").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object")
-    return named.when(t.isin("STRING", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ", "BINARY"), "string").when(t.isNotNull(), "number")
+
+    def named(t: Column) -> Column:
+        found = F.when(t == "VOID", "null").when(t == "BOOLEAN", "boolean").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object")
+        return found.when(t.isin("STRING", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ", "BINARY"), "string").when(t.isNotNull(), "number")
+
+    # The schema of a value takes all of it: it is asked for once.
+    return let(F.schema_of_variant(v), named)
 
 
 def as_object(v: Column) -> Column:

@@ -98,8 +98,7 @@ def _in_object(v: Column, key: str) -> Column:
 
 def kind(v: Column) -> Column:
     """null, boolean, number, string, array or object."""
-    t = F.schema_of_variant(v)
-    return F.when(t == "VOID", "null").when(t == "BOOLEAN", "boolean").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").when(t.isin("STRING", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ", "BINARY"), "string").when(t.isNotNull(), "number")
+    return variants.kind(v)
 
 
 def _elements(v: Column) -> Column:
@@ -110,39 +109,45 @@ def _found(value: Column, error: Column) -> Column:
     return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 
+def _has_slug(x: Column, field: str, slug: str, contains: bool = False) -> Column:
+    own = F.try_variant_get(x, _child(field), "string") if _quotable(field) else F.try_variant_get(_in_object(x, field), "$", "string")
+    if contains:
+        return F.coalesce(F.contains(F.lower(own), F.lit(slug.lower())), F.lit(False)) & F.lit(slug != "")
+    return F.coalesce(own == slug, F.lit(False))
+
+
 def matches(v: Column, field: str, slug: str, contains: bool = False) -> Column:
     """The places of an array's elements whose ``field`` is the slug, or holds it in
     any case (an empty slug then matches nothing)."""
-    own = lambda x: F.try_variant_get(_in_object(x, field), "$", "string")
-    if contains:
-        test = lambda x: F.coalesce(F.contains(F.lower(own(x)), F.lit(slug.lower())), F.lit(False)) & F.lit(slug != "")
-    else:
-        test = lambda x: F.coalesce(own(x) == slug, F.lit(False))
+    test = lambda x: _has_slug(x, field, slug, contains)
     at = F.transform(_elements(v), lambda x, i: F.when(test(x), i))
     return F.filter(at, lambda i: i.isNotNull())
 
 
+_AT = "struct<value:variant,error:string,name:string>"
+
+
 def _step(v: Column, segment: str, keyed: str | None) -> Column:
-    """One segment down from a variant."""
-    of = kind(v)
-    in_object = _in_object(v, segment)
-    error = F.when((of == "object") & in_object.isNull(), NOT_FOUND)
-    value = F.when(of == "object", in_object)
-    if re.fullmatch("[0-9]+", segment):
-        element = F.try_variant_get(v, f"$[{min(int(segment), 2**31 - 1)}]", "variant")
-        error, value = error.when((of == "array") & element.isNull(), NOT_FOUND), value.when(of == "array", element)
-    elif keyed is None:
-        error = error.when(of == "array", NOT_FOUND)
-    else:
-        at = matches(v, keyed, segment)
-        error = error.when((of == "array") & (F.size(at) == 0), NO_SLUG).when((of == "array") & (F.size(at) > 1), AMBIGUOUS)
-        value = value.when(of == "array", F.get(_elements(v), F.get(at, F.lit(0))))
-    return _found(value, error.when(~of.isin("object", "array"), WRONG_TYPE))
-
-
-def _further(segment: str, keyed: str | None):
-    """A step from a look-up; once a step failed its error stays."""
-    return lambda o: F.when(o["error"].isNotNull(), o).otherwise(let(o["value"], lambda x: _step(x, segment, keyed)))
+    """One segment down from a variant: value, error and name, the segment as a path has
+    it, an element's name turned into its index. What is there takes one look-up; the
+    kind of ``v``, for which all of it is read, is asked for only where nothing is found."""
+    own, none = F.lit(join_path([segment])), F.lit(None)
+    digits = re.fullmatch("[0-9]+", segment)
+    at = lambda value, error, name: F.struct(value.alias("value"), error.alias("error"), name.alias("name")).cast(_AT)
+    lacking = lambda x: let(kind(x), lambda k: at(none, F.when(~k.isin("object", "array"), WRONG_TYPE).when(k.isNotNull(), NOT_FOUND), own))
+    child = _in_object(v, segment)
+    if digits:
+        child = F.coalesce(child, F.try_variant_get(v, f"$[{min(int(segment), 2**31 - 1)}]", "variant"))
+    plain = let(child, lambda x: F.when(x.isNotNull(), at(x, none, own)).otherwise(lacking(v)))
+    if keyed is None or digits:
+        return plain
+
+    def among(elements: Column) -> Column:
+        hits = F.filter(F.transform(elements, lambda x, i: F.when(_has_slug(x, keyed, segment), F.struct(i.alias("i"), x.alias("x")))), lambda h: h.isNotNull())
+        one = lambda h: F.when(F.size(h) == 1, at(h[0]["x"], none, h[0]["i"].cast("string"))).otherwise(at(none, F.when(F.size(h) == 0, NO_SLUG).otherwise(AMBIGUOUS), own))
+        return let(hits, one)
+
+    return let(_elements(v), lambda es: F.when(es.isNotNull(), among(es)).otherwise(plain))
 
 
 def get(v: Column, path: str, keyed: dict[str, str] | None = None) -> Column:
@@ -152,17 +157,27 @@ def get(v: Column, path: str, keyed: dict[str, str] | None = None) -> Column:
     Where all segments are keys, one look-up of the engine finds the value, and the steps
     only tell the error where it finds none."""
     segments = parse_path(path)
+    got = lambda o: F.struct(o["value"].alias("value"), o["error"].alias("error"))
     if not keyed and len(segments) > 0 and all(_quotable(s) and not re.fullmatch("[0-9]+", s) for s in segments):
         none = F.lit(None).cast("string")
-        return let(F.try_variant_get(v, _below(segments), "variant"), lambda x: F.when(x.isNotNull(), F.struct(x.alias("value"), none.alias("error"))).otherwise(_stepped(v, segments, keyed)))
-    return _stepped(v, segments, keyed)
+        return let(F.try_variant_get(v, _below(segments), "variant"), lambda x: F.when(x.isNotNull(), F.struct(x.alias("value"), none.alias("error"))).otherwise(let(_stepped(v, segments, keyed), got)))
+    return let(_stepped(v, segments, keyed), got)
 
 
 def _stepped(v: Column, segments: list[str], keyed: dict[str, str] | None) -> Column:
-    out = _found(v, F.when(v.isNull(), NOT_FOUND))
+    """(value, error, name) after all steps; name is the path with indexes for names."""
+    out = F.struct(v.alias("value"), F.when(v.isNull(), NOT_FOUND).alias("error"), F.lit(None).cast("string").alias("name")).cast(_AT)
+
+    def further(i: int, segment: str, field: str | None):
+        def step(o: Column) -> Column:
+            named = lambda x: F.struct(x["value"].alias("value"), x["error"].alias("error"), (F.concat_ws(".", o["name"], x["name"]) if i else x["name"]).alias("name"))
+            # Once a step failed its error stays.
+            return F.when(o["error"].isNotNull(), o).otherwise(let(_step(o["value"], segment, field), named))
+
+        return step
+
     for i, segment in enumerate(segments):
-        field = (keyed or {}).get(join_path(segments[:i]) if i else "")
-        out = let(out, _further(segment, field))
+        out = let(out, further(i, segment, (keyed or {}).get(join_path(segments[:i]) if i else "")))
     return out
 
 
@@ -207,24 +222,28 @@ def typed(v: Column, path: str, kind_: str, keyed: dict[str, str] | None = None)
     return let(get(v, path, keyed), of)
 
 
-def _children(df: DataFrame, v: Column) -> DataFrame:
-    """A row for each child of ``v``: _name (key or index) and _child."""
-    objects = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-    arrays = F.transform(_elements(v), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
-    both = F.when(kind(v) == "object", objects).when(kind(v) == "array", arrays)
-    return df.select("*", F.explode(both).alias("_entry")).select(*df.columns, F.col("_entry.key").alias("_name"), F.col("_entry.value").alias("_child"))
-
-
 def values(df: DataFrame, v: str, pattern: str, keep: list[str]) -> DataFrame:
     """(keep, path, value): every value that a pattern addresses; keys of objects in
-    order of their bytes. Paths that lead nowhere give no row."""
-    out = df.select(*keep, F.col(v).alias("_at"), F.array().cast("array<string>").alias("_path"))
-    for segment in parse_pattern(pattern):
+    order of their bytes. Paths that lead nowhere give no row. One expression and one
+    explode: a document is looked at once, however many segments there are."""
+    none = F.array().cast("array<struct<path:string,value:variant>>")
+
+    def level(x: Column, path: Column | None, segments: list) -> Column:
+        if not segments:
+            return F.array(F.struct(path.alias("path"), x.alias("value")))
+        segment, *rest = segments
+        below = lambda name: name if path is None else F.concat(path, F.lit("."), name)
         if segment is EACH:
-            out = _children(out, F.col("_at")).select(*keep, F.col("_child").alias("_at"), F.array_append("_path", F.col("_name")).alias("_path"))
-        else:
-            out = out.withColumn("_at", _step(F.col("_at"), segment, None)["value"]).where("_at is not null").withColumn("_path", F.array_append("_path", F.lit(segment)))
-    return out.select(*keep, join_path_column(F.col("_path")).alias("path"), F.col("_at").alias("value"))
+            name = lambda e, i: F.when(e["key"].isNull(), i.cast("string")).otherwise(join_path_column(F.array(e["key"])))
+            each = F.transform(variants.entries(x), lambda e, i: level(e["value"], below(name(e, i)), rest))
+            return F.coalesce(F.flatten(each), none)
+        child = _in_object(x, segment)
+        if re.fullmatch("[0-9]+", segment):
+            child = F.coalesce(child, F.try_variant_get(x, f"$[{min(int(segment), 2**31 - 1)}]", "variant"))
+        return let(child, lambda c: F.when(c.isNotNull(), level(c, below(F.lit(join_path([segment]))), rest)).otherwise(none))
+
+    found = F.explode(level(F.col(v), None, parse_pattern(pattern)))
+    return df.select(*keep, found.alias("_found")).select(*keep, "_found.path", "_found.value")
 
 
 MULTILINE = "document_multiline_value"
@@ -302,28 +321,27 @@ def children(df: DataFrame, v: str, keep: list[str], path: str | None = None) ->
     scalar has an error instead, and so has a root key that is empty: no path names it."""
     segments = parse_path(path) if path else []
     got = get(F.col(v), path) if path else _found(F.col(v), F.when(F.col(v).isNull(), NOT_FOUND))
-    at = df.select(*keep, got.alias("_got"))
-    bad = at.withColumn("_error", F.coalesce("_got.error", F.when(~kind(F.col("_got.value")).isin("object", "array"), NO_CONTAINER))).where("_error is not null")
     none = F.lit(None).cast("string")
-    rows = _children(at.select(*keep, F.col("_got.value").alias("_v")), F.col("_v"))
-    address = join_path_column(F.concat(F.array(*[F.lit(s) for s in segments]).cast("array<string>"), F.array("_name")))
-    error = F.when(F.lit(not segments) & (F.col("_name") == ""), "document_unaddressable_key")
-    return rows.select(*keep, F.col("_name").alias("name"), F.when(error.isNull(), address).alias("path"), error.alias("error")).union(bad.select(*keep, none.alias("name"), none.alias("path"), F.col("_error").alias("error")))
+    row = lambda name, path, error: F.struct(name.alias("name"), path.alias("path"), error.alias("error"))
+    lead = F.lit(join_path(segments) + ".") if segments else F.lit("")
+    bare = F.when(F.lit(not segments), "document_unaddressable_key")
+
+    def child(name: Column) -> Column:
+        nameless = (name == "") & bare.isNotNull()
+        return row(name, F.when(~nameless, F.concat(lead, join_path_column(F.array(name)))), F.when(nameless, bare))
+
+    def below(o: Column) -> Column:
+        names = F.coalesce(F.map_keys(F.try_variant_get(o["value"], "$", "map<string,variant>")), F.transform(_elements(o["value"]), lambda _, i: i.cast("string")))
+        refused = F.when(o["error"].isNotNull() | o["value"].isNotNull(), F.array(row(none, none, F.coalesce(o["error"], F.lit(NO_CONTAINER)))))
+        return let(names, lambda ns: F.when(o["error"].isNull() & ns.isNotNull(), F.transform(ns, child)).otherwise(refused))
+
+    # One look at each document, whether it has children or an error.
+    return df.select(*keep, F.explode(let(got, below)).alias("_row")).select(*keep, "_row.name", "_row.path", "_row.error")
 
 
 def resolve(v: Column, path: str, keyed: dict[str, str]) -> Column:
     """The path with each element's name in it turned into the element's index."""
-    segments = parse_path(path)
-    parts = []
-    for i, segment in enumerate(segments):
-        field = keyed.get(join_path(segments[:i]) if i else "")
-        above = get(v, join_path(segments[:i]), keyed)["value"] if i else v
-        own = F.lit(join_path([segment]))
-        if field and not re.fullmatch("[0-9]+", segment):
-            own = F.when(kind(above) == "array", F.get(matches(above, field, segment), F.lit(0)).cast("string")).otherwise(own)
-        parts.append(own)
-    got = get(v, path, keyed)
-    return F.struct(F.when(got["error"].isNull(), F.concat_ws(".", *parts)).alias("value"), got["error"].alias("error"))
+    return let(_stepped(v, parse_path(path), keyed), lambda o: F.struct(F.when(o["error"].isNull(), o["name"]).alias("value"), o["error"].alias("error")))
 
 
 # Values from text, and what they may replace.

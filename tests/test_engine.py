@@ -276,3 +276,17 @@ def test_calls_fit_one_combination(spark):
     got = {(r.call, r.combination, r.error) for r in commands.match(calls, registry).collect()}
     assert got == {(1, "x", None), (2, None, "cli_unregistered_combination"), (3, "y", None), (4, None, "cli_unregistered_combination")}
     assert commands.overlaps(registry).count() == 0
+
+
+def test_a_step_looks_at_the_kind_only_where_nothing_is_found(spark):
+    """Kinds read all of a value: one place in the plan for each step, and names of
+    elements, missing ones and those that several have, give the same as before."""
+    rows = [(0, '{"l":[{"s":"p","v":1},{"s":"q","v":[2]},{"s":"q"}]}'), (1, '{"l":{"q":{"v":2}}}'), (2, '{"l":[]}'), (3, '{"l":3}'), (4, "null"), (5, '{"l":[null,{"s":"q","v":null}]}')]
+    df = spark.createDataFrame(rows, "id int, t string").select("id", F.parse_json("t").alias("v"))
+    got = paths.get(F.col("v"), "l.q.v", {"l": "s"})
+    where = paths.resolve(F.col("v"), "l.q.v", {"l": "s"})
+    plan = df.select(got.alias("g"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("schema_of_variant") <= 3
+    found = df.select("id", F.to_json(got["value"]), got["error"], where["value"]).orderBy("id").collect()
+    ambiguous, wrong = "document_ambiguous_match", "document_type_mismatch"
+    assert [tuple(r)[1:] for r in found] == [(None, ambiguous, None), ("2", None, "l.q.v"), (None, "document_slug_not_found", None), (None, wrong, None), (None, wrong, None), ("null", None, "l.1.v")]
