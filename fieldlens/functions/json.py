@@ -14,6 +14,9 @@ def whole_json(text: Column) -> Column:
     of two fields: only if nothing is left over does the second follow it. Its value
     is the text's digest, which no text holds itself.
     """
-    both = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"z":"'), F.md5(text.cast("binary")), F.lit('"}')))
-    keys = lambda w: F.map_keys(F.try_variant_get(w, "$", "map<string,variant>"))
-    return let(both, lambda w: F.when((F.try_variant_get(w, "$.z", "string") == F.md5(text.cast("binary"))) & (F.size(keys(w)) == 2), F.try_variant_get(w, "$.v", "variant")))
+    def of(d: Column) -> Column:
+        both = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"z":"'), d, F.lit('"}')))
+        keys = lambda w: F.map_keys(F.try_variant_get(w, "$", "map<string,variant>"))
+        return let(both, lambda w: F.when((F.try_variant_get(w, "$.z", "string") == d) & (F.size(keys(w)) == 2), F.try_variant_get(w, "$.v", "variant")))
+
+    return let(F.md5(text.cast("binary")), of)

@@ -154,6 +154,7 @@ def validate_stream(df: DataFrame, stream: str, order: list[str], event: str = "
     """(stream, rule, pointer): every violation of events and of their stream's life
     cycle. ``streams``: also those without any event, which lack a terminal one."""
     read = _events(df.select(stream, *order, event), event).select(stream, *order, F.col("_event.kind").alias("_kind"), violation_of(F.col("_event"), strict).alias("_broken"))
+    read = cut(read)  # four readers below; a text is parsed once
     placed = numbered(_ended(read, stream, order, "_kind"), stream, order, "_index")
     late = F.when((F.col("_place") > F.col("_first")) & is_terminal(F.col("_kind")), "stream_duplicate_terminal").when((F.col("_place") > F.col("_first")) & F.col("_kind").isin(*KINDS[:2]), "stream_non_terminal_after_terminal")
     at = F.concat(F.lit("/"), F.col("_index").cast("string"))

@@ -8,13 +8,13 @@ from ..functions import json_text
 from ..operators import frames, lint, sections
 from ..sources import documents, ini
 from ..sources import text as src
-from .queries import _table, query
+from .queries import _spread, _table, query
 
 # An event as a document: its own properties, and secrets, URLs and units at some depth.
 
 
 def _documents(spark, d):
-    e = _table(spark, d, "events")
+    e = _spread(_table(spark, d, "events").select("event_id", "user_id", "event_type", "props"))
     who, which, n = F.col("user_id").cast("string"), F.col("event_id").cast("string"), F.col("event_id") * 1000
     text = F.concat(
         F.lit('{"props":'), F.col("props"), F.lit(',"meta":{"api_secret":"sk-'), who, F.lit('","hops":[{"callback_url":"https://u:pw@h'), which, F.lit('/?token_secret=t'), who, F.lit('","took_ms":'), which,
@@ -58,7 +58,7 @@ def lint_variant(spark, d):
 
 
 def _texts(spark, d):
-    e = _table(spark, d, "events")
+    e = _spread(_table(spark, d, "events").select("event_id", "user_id", "event_type", "props"))
     which = F.col("event_id").cast("string")
     text = F.concat(F.lit('{\n  "n": '), which, F.lit('.10,\n  "big": 1e400, "props": '), F.col("props"), F.lit(',\n  "list": [ 1,  1'), which, F.lit(" ]\n}\n"))
     return e.select("event_id", "user_id", "event_type", text.alias("text"))
@@ -98,7 +98,7 @@ INI = "'name = ' || c_name || chr(10) || '; kept' || chr(10) || '[ account ]' ||
 def ini_edits(spark, d):
     text = F.concat(F.lit("name = "), F.col("c_name"), F.lit("\n; kept\n[ account ]\nsegment= "), F.col("c_mktsegment"), F.lit("\r\n\n[other]\nx=1\n"))
     nation, t = F.col("c_nationkey").cast("string"), F.col("t")
-    docs = _table(spark, d, "customer").select("c_custkey", "c_nationkey", text.alias("t"))
+    docs = _spread(_table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name", "c_mktsegment")).select("c_custkey", "c_nationkey", text.alias("t"))
     return docs.select("c_custkey", ini.set_ini(t, "account.segment", F.concat(F.lit("s"), nation))["value"].alias("changed"), ini.set_ini(t, "account.nation", nation)["value"].alias("longer"), ini.unset_ini(t, "name")["value"].alias("shorter"))
 
 

@@ -10,7 +10,7 @@ from ..operators import commands, frames, lint, paths, sections, spans
 from ..operators import events as ev
 from ..sources import text as src
 from ..sources.ini import read_ini
-from .queries import EVENTS, ORDERS, _table, events_sem, orders_sem, query
+from .queries import EVENTS, ORDERS, _spread, _table, events_sem, orders_sem, query
 
 DOUBLE = T.DoubleType()
 
@@ -122,7 +122,7 @@ EVENT_TEXT = """CASE event_id % 6 WHEN 0 THEN '{"kind":"log","log":{"n":' || eve
 
 
 def _texts(spark, d):
-    return _table(spark, d, "events").select("event_id", "user_id", "ts", F.expr(EVENT_TEXT).alias("event"))
+    return _spread(_table(spark, d, "events").select("event_id", "user_id", "ts")).select("event_id", "user_id", "ts", F.expr(EVENT_TEXT).alias("event"))
 
 
 @query("SELECT event_id, CASE event_id % 6 WHEN 3 THEN 'trace_required' WHEN 4 THEN 'error_hint_invalid' WHEN 5 THEN 'event_not_object' END AS rule, CASE event_id % 6 WHEN 3 THEN '/trace' WHEN 4 THEN '/error/hint' WHEN 5 THEN '' END AS pointer FROM events")
@@ -282,7 +282,7 @@ def doc_edit_keyed(spark, d):
   UNION ALL SELECT c_custkey, 3, '"' || c_name || '"', NULL FROM customer UNION ALL SELECT c_custkey, 4, NULL, 'jsonl_parse_failed' FROM customer""")
 def read_jsonl(spark, d):
     text = F.concat(F.lit('{"n": '), F.col("c_custkey").cast("string"), F.lit('}\n \n"'), F.col("c_name"), F.lit('"\n{"broken\n'))
-    return src.read_json_or_lines(_table(spark, d, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text").select("c_custkey", "line", F.to_json("value").alias("value"), "error")
+    return src.read_json_or_lines(_spread(_table(spark, d, "customer").select("c_custkey", "c_name")).select("c_custkey", text.alias("text")), "c_custkey", "text").select("c_custkey", "line", F.to_json("value").alias("value"), "error")
 
 
 @query("""SELECT c_custkey, unnest(['NAME', 'SEGMENT', 'NATION']) AS key, unnest([c_name || chr(10) || 'x', c_mktsegment, CAST(c_nationkey AS VARCHAR)]) AS value FROM customer""")

@@ -18,6 +18,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores: a table of few bytes is read by a few tasks, and then
+    long expressions over its rows would run in as few. By number, for partitions of few
+    bytes would be put together again."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, F.col(df.columns[0]))
+
+
 def orders_sem(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("total_usd_cents"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ordered_epoch_ms"), F.concat(F.lit("sk-"), F.col("o_custkey").cast("string")).alias("customer_secret"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.json import whole_json
-from ..functions.urls import SPACES, trimmed
+from ..functions.urls import SPACES, let, trimmed
 
 MAX_VALUE_BYTES = 1 << 20
 # Endings of file names and names of formats.
@@ -56,12 +56,12 @@ def read_json_or_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     first = docs.select(F.col(id_col), F.col(text_col).alias("_text"), whole.alias("_whole"))
     single = F.array(F.struct(none.cast("int").alias("line"), F.col("_whole").alias("value"), none.cast("string").alias("error")))
     blank = lambda t: trimmed(t) == ""
-    lines = F.transform(F.split("_text", "\n"), lambda t, i: F.struct((i + 1).alias("line"), blank(t).alias("blank"), whole_json(t).alias("value")))
-    said = F.transform(F.filter(lines, lambda x: ~x["blank"]), lambda x: F.struct(x["line"].alias("line"), x["value"].alias("value"), F.when(x["value"].isNull(), "jsonl_parse_failed").alias("error")))
     empty = F.array(F.struct(none.cast("int").alias("line"), none.cast("variant").alias("value"), F.lit("json_parse_failed").alias("error")))
-    is_empty = F.col("_text").isNull() | blank(F.col("_text"))
-    one_line = F.size(F.filter(lines, lambda x: ~x["blank"])) == 1
-    rows = F.when(F.col("_whole").isNotNull(), single).when(is_empty | one_line, empty).otherwise(said)
+    numbered = F.transform(F.split("_text", "\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
+    said = lambda x: let(whole_json(x["text"]), lambda v: F.struct(x["line"].alias("line"), v.alias("value"), F.when(v.isNull(), "jsonl_parse_failed").alias("error")))
+    # Lines are parsed once, and only where there are several that aren't blank.
+    lines = let(F.filter(numbered, lambda x: ~blank(x["text"])), lambda ls: F.when(F.size(ls) > 1, F.transform(ls, said)).otherwise(empty))
+    rows = F.when(F.col("_whole").isNotNull(), single).when(F.col("_text").isNull(), empty).otherwise(lines)
     return first.select(id_col, F.explode(rows).alias("_r")).select(id_col, "_r.line", "_r.value", "_r.error")
 
 

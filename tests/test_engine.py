@@ -290,3 +290,21 @@ def test_a_step_looks_at_the_kind_only_where_nothing_is_found(spark):
     found = df.select("id", F.to_json(got["value"]), got["error"], where["value"]).orderBy("id").collect()
     ambiguous, wrong = "document_ambiguous_match", "document_type_mismatch"
     assert [tuple(r)[1:] for r in found] == [(None, ambiguous, None), ("2", None, "l.q.v"), (None, "document_slug_not_found", None), (None, wrong, None), (None, wrong, None), ("null", None, "l.1.v")]
+
+
+def test_lines_and_events_are_parsed_once(spark, monkeypatch):
+    from fieldlens.plans.queries import _spread
+
+    docs = spark.createDataFrame([(0, '{"a":1}\n\n[2'), (1, "\n"), (2, None), (3, "{"), (4, " 7 "), (5, "\n{\n")], "id int, text string")
+    read = src.read_json_or_lines(docs, "id", "text")
+    assert read._jdf.queryExecution().analyzed().toString().count("parse_json") <= 2
+    got = sorted((r.id, r.line, r.value, r.error) for r in read.select("id", "line", F.to_json("value").alias("value"), "error").collect())
+    bad = "json_parse_failed"
+    assert got == [(0, 1, '{"a":1}', None), (0, 3, None, "jsonl_parse_failed"), (1, None, None, bad), (2, None, None, bad), (3, None, None, bad), (4, None, "7", None), (5, None, None, bad)]
+    cuts, cut = [], ev.cut
+    monkeypatch.setattr(ev, "cut", lambda df: cuts.append(df.columns) or cut(df))
+    events = spark.createDataFrame([("s", 0, '{"kind":"log","log":1}'), ("s", 1, "x")], "s string, i int, event string")
+    found = sorted(map(tuple, ev.validate_stream(events, "s", ["i"]).collect()))
+    assert found == [("s", "event_not_object", "/1"), ("s", "stream_missing_terminal", "")]
+    assert cuts[0] == ["s", "i", "_kind", "_broken"]
+    assert _spread(docs.coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
