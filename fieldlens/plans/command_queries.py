@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import commands
+from ..operators.cuts import cut
 from .queries import _table, query
 
 NAME = "'run s' || s_suppkey"
@@ -74,7 +75,7 @@ UNION ALL SELECT call, 'force', 'false' FROM m WHERE combination = 'fixed'
 UNION ALL SELECT call, 'mode', CASE k WHEN 0 THEN 'pipe' ELSE 'cli' END FROM m WHERE combination = 'fixed'
 UNION ALL SELECT call, 'limit', q FROM m WHERE k = 2 UNION ALL SELECT call, 'tag', 'a,b' FROM m WHERE k = 10""")
 def cli_project(spark, d):
-    parsed = commands.tokenize(_calls(spark, d), _arguments(spark, d))
+    parsed = cut(commands.tokenize(_calls(spark, d), _arguments(spark, d)))  # read twice below, worked out once
     fitted = commands.match(parsed, _combinations(spark, d), _arguments(spark, d)).where("error is null").select("call", "combination")
     found = commands.project(parsed.join(fitted, "call"), _arguments(spark, d), _combinations(spark, d))
     return found.select("call", "argument", F.array_join("values", ",").alias("value"))

@@ -206,3 +206,12 @@ def test_schemas_in_schemas(spark):
     schema = '{"properties":{"size_bytes":{"anyOf":[{"type":"string"},{"type":"null"}]},"ok_ms":{},"t_secret":{"default":"***"},"x":{"properties":{"u_url":{"type":"array"}}}}}'
     df = spark.createDataFrame([(schema,)], "t string").select(F.explode(lint.lint_json_schema(F.parse_json("t"))).alias("f")).select("f.*")
     assert {(r.rule_id, r.pointer) for r in df.collect()} == {("suffix_type_mismatch", "/properties/size_bytes/type"), ("suffix_type_mismatch", "/properties/x/properties/u_url/type")}
+
+
+def test_calls_of_cli_project_are_read_once(spark, monkeypatch):
+    from fieldlens.plans import command_queries
+
+    cuts, cut = [], command_queries.cut
+    monkeypatch.setattr(command_queries, "cut", lambda df: cuts.append(df.columns) or cut(df))
+    command_queries.cli_project(spark, "/root/testdata/sf0.001")
+    assert len(cuts) == 1 and {"call", "given", "error"} <= set(cuts[0])
