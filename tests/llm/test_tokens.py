@@ -1,7 +1,9 @@
+import json
 import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -45,6 +47,49 @@ def test_small_cache_changes_nothing():
     assert token_ids.encode_batch(texts, BYTE, cache_pieces=10) == [np.array(tokens(BYTE, t), dtype="<u4").tobytes() for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("  \n\tabZ'sßŸſƀªé×19.,<|>_%\x1f\x85\xa0\u3000"), st.sampled_from("ab ")), max_size=80), max_size=5))
+def test_units_change_nothing(texts):
+    assert token_ids.encode_batch(texts, BYTE, cache_pieces=30) == [np.array(tokens(BYTE, t), dtype="<u4").tobytes() for t in texts]
+
+
+def test_a_word_is_encoded_once_whatever_stands_beside_it(monkeypatch):
+    seen = []
+
+    class Heard:
+        def __init__(self, path):
+            self.tok = load(path)
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode_batch_fast(self, strings, **how):
+            seen.extend(strings)
+            return self.tok.encode_batch_fast(strings, **how)
+
+    monkeypatch.setattr(token_ids, "_tokenizer", Heard)
+    texts = ["The harbour, harbour. harbour!\nHarbour harbour;\nHarbour (harbour)", "A harbour.\n\nHarbour, harbour: harbour 12 harbour"]
+    for t in [*texts, texts[0]]:
+        assert token_ids.encode_batch([t], BYTE, cache_pieces=12345) == [np.array(tokens(BYTE, t), dtype="<u4").tobytes()]
+    assert "".join(seen).count(" harbour") == "".join(seen).count("Harbour") == 1
+
+
+def test_small_batches_are_looked_up_together():
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array([i]), "text": pa.array(["x" * n])}) for i, n in enumerate([30, 40, 0, 90, 600, 10])]
+    got = [(k.to_pylist(), sum(map(len, t.to_pylist()))) for k, t in token_ids._gathered(iter(batches), 100)]
+    assert [i for k, _ in got for i in k] == list(range(6)) and sum(n for _, n in got) == 770
+    assert [k for k, _ in got][0] == [0, 1, 2, 3]
+
+
+def test_a_tokenizer_of_another_pattern(tmp_path):
+    form = json.loads(load(BYTE).to_str())
+    form["pre_tokenizer"]["use_regex"] = False
+    path = str(tmp_path / "other.json")
+    Tokenizer.from_str(json.dumps(form)).save(path)
+    texts = ["it is. It was  ", "", "a b"]
+    assert token_ids.encode_batch(texts, path) == [np.array(tokens(path, t), dtype="<u4").tobytes() for t in texts]
+
+
 def test_files_round_trip(spark, docs):
     rows = [*enumerate(ODD), (None, "null id"), (40, "later"), (40, "later"), (40, "another")]
     table = docs(rows).withColumn("ids", F.lit("clash"))
