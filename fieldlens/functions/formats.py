@@ -81,7 +81,7 @@ def yen(x: Column) -> Column:
 
 def size_bytes(x: Column) -> Column:
     """Binary units with one decimal, halves to even; negative sizes don't fit."""
-    one = lambda k, unit: F.concat(F.format_string("%.1f", F.bround(x.cast("double") / float(1024**k), 1)), F.lit(unit))
+    one = lambda k, unit: F.concat(F.bround(x.cast("double") / float(1024**k), 1).cast("string"), F.lit(unit))
     return F.when(x < 0, None).when(x < 1024, F.concat(x.cast("string"), F.lit("B"))).when(x < 1024**2, one(1, "KiB")).when(x < 1024**3, one(2, "MiB")).when(x < 1024**4, one(3, "GiB")).otherwise(one(4, "TiB"))
 
 

@@ -308,3 +308,8 @@ def test_lines_and_events_are_parsed_once(spark, monkeypatch):
     assert found == [("s", "event_not_object", "/1"), ("s", "stream_missing_terminal", "")]
     assert cuts[0] == ["s", "i", "_kind", "_broken"]
     assert _spread(docs.coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_no_size_has_no_text(spark):
+    df = spark.createDataFrame([(1.5, None), (None, -1), (2.0**60, 1536)], "a_bytes double, b_bytes long").coalesce(1)
+    assert [r[0] for r in frames.render(df).collect()] == ["a_bytes=1.5 b_bytes=", "a_bytes= b_bytes=-1", "a=1048576.0TiB b=1.5KiB"]
