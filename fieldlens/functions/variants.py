@@ -1,4 +1,5 @@
-"""VARIANT values whose keys are known per row only: redaction, leaves, YAML, text.
+"""VARIANT values whose keys are known per row only: redaction, leaves, YAML, text
+(plain text: :mod:`plain`).
 
 Every function is one native expression. Objects and arrays are taken as one list of
 (key, value) entries, keys of arrays being null, so a level of nesting adds one copy
@@ -11,16 +12,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .urls import MARK, let, redact_url_field, secret_name
 
 #: Levels of nesting that plans are made for; the analyzer takes several passes for each.
 DEEPEST = 8
 ENTRY = "array<struct<key:string,value:variant>>"
-LEAF = "array<struct<_leaf_parent:string,_leaf_key:string,_leaf_value:variant,_leaf_inner:boolean>>"
-#: The same as a type: what :func:`leaves` gives.
-LEAVES = T.ArrayType(T.StructType([T.StructField("_leaf_parent", T.StringType()), T.StructField("_leaf_key", T.StringType()), T.StructField("_leaf_value", T.VariantType()), T.StructField("_leaf_inner", T.BooleanType())]))
 
 
 def kind(v: Column) -> Column:
@@ -111,38 +108,11 @@ def url_leaves(v: Column, deepest: int = DEEPEST) -> Column:
     return level(v, deepest)
 
 
-def leaves(v: Column, name: str, deepest: int = DEEPEST) -> Column:
-    """(_leaf_parent, _leaf_key, _leaf_value, _leaf_inner) of ``name`` and all that is in objects below it;
-    ``_leaf_inner``: an object that isn't empty, whose own entries follow. ``_leaf_parent``
-    ends with a dot or is empty; what is below ``deepest`` levels stays one value."""
-
-    def level(parent: Column, rows: Column, left: int) -> Column:
-        def one(e: Column) -> Column:
-            own = lambda inner: F.array(F.struct(parent.alias("_leaf_parent"), e["key"].alias("_leaf_key"), e["value"].alias("_leaf_value"), F.lit(inner).alias("_leaf_inner"))).cast(LEAF)
-            if not left:
-                return own(False)
-            below = level(F.concat(parent, e["key"], F.lit(".")), F.map_entries(as_object(e["value"])), left - 1)
-            return let(below, lambda b: F.when(F.size(b) > 0, F.concat(own(True), b)).otherwise(own(False)))
-
-        return F.flatten(F.transform(rows, one))
-
-    start = F.array(F.struct(F.lit(name).alias("key"), v.alias("value"))).cast(ENTRY)
-    return level(F.lit(""), start, deepest)
-
-
 def scalar_text(v: Column) -> Column:
     """A text as it is, all else as JSON."""
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(json_numbers(F.to_json(v)))
 
 
-def plain_text(v: Column) -> Column:
-    """A leaf as plain text: arrays are joined by commas, an empty one is ``[]``, null is
-    empty."""
-    array = as_array(v)
-    joined = F.array_join(F.transform(array, lambda x: F.coalesce(scalar_text(x), F.lit("null"))), ",")
-    return F.when(F.is_variant_null(v), "").when(array.isNull(), scalar_text(v)).when(F.size(array) == 0, "[]").otherwise(joined)
-
-
 _TOKENS = r'"(?:[^"\\]|\\.)*"|-?[0-9]+(?:\.[0-9]+)?E-?[0-9]+'
 
 

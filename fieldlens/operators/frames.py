@@ -12,16 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import formats, names, urls, variants
+from ..functions import formats, names, plain, urls, variants
 from . import lint
 
 FINDING = "rule_id string, severity string, pointer string, message string"
 
 
-def _redacted(value: Column, kind: T.DataType, in_url: bool, secret_names: frozenset, url_names: frozenset) -> Column:
+def _redacted(value: Column, kind: T.DataType, in_url: bool, secret_names: frozenset, url_names: frozenset, path: str = "", variant=None) -> Column:
+    """``variant`` makes another safe form of VARIANT columns and fields of structs, of
+    their value, their ``path`` and whether they stand below a URL's name."""
     again = lambda x, k, deep=in_url: _redacted(x, k, deep, secret_names, url_names)
     if isinstance(kind, T.StructType):
-        return F.when(value.isNotNull(), F.struct(*[_field(value[f.name], f, in_url, secret_names, url_names).alias(f.name) for f in kind]))
+        return F.when(value.isNotNull(), F.struct(*[_field(value[f.name], f, in_url, secret_names, url_names, f"{path}.", variant).alias(f.name) for f in kind]))
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda x: again(x, kind.elementType))
     if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
@@ -29,7 +31,7 @@ def _redacted(value: Column, kind: T.DataType, in_url: bool, secret_names: froze
     if isinstance(kind, T.StringType) and in_url:
         return urls.redact_url_field(value, sorted(secret_names))
     if isinstance(kind, T.VariantType):
-        return variants.redact(value, in_url, sorted(secret_names), sorted(url_names))
+        return variant(value, path, in_url) if variant else variants.redact(value, in_url, sorted(secret_names), sorted(url_names))
     return value
 
 
@@ -61,10 +63,10 @@ def _holds_text(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StringType, T.VariantType)) if inner is None else _holds_text(inner)
 
 
-def _field(value: Column, field: T.StructField, in_url: bool, secret_names: frozenset, url_names: frozenset) -> Column:
+def _field(value: Column, field: T.StructField, in_url: bool, secret_names: frozenset, url_names: frozenset, above: str = "", variant=None) -> Column:
     if names.is_secret(field.name, secret_names):
         return F.when(value.isNotNull(), F.lit(urls.MARK))
-    return _redacted(value, field.dataType, in_url or names.is_url(field.name, url_names), secret_names, url_names)
+    return _redacted(value, field.dataType, in_url or names.is_url(field.name, url_names), secret_names, url_names, above + field.name, variant)
 
 
 def redact(df: DataFrame, policy: str = "all", secret_names: list[str] | None = None, url_names: list[str] | None = None) -> DataFrame:
@@ -151,11 +153,12 @@ def _numeric(kind: T.DataType) -> bool:
 
 class _Leaf:
     """Pairs that a row may show: the names under which they may stand, and either a
-    text ``key=value`` (null: not shown) or an array of (sort key, text)."""
+    text ``key=value`` (null: not shown) or an array of (sort key, text); ``alone``: the
+    texts of the latter joined, if they are in order already."""
 
-    def __init__(self, paths: list[str], text: Column, key: Column | None = None, many: bool = False, plain_end: str = ""):
+    def __init__(self, paths: list[str], text: Column, key: Column | None = None, many: bool = False, plain_end: str = "", alone: Column | None = None):
         self.low, self.high = min(map(_utf16, paths)), max(_utf16(p + plain_end) for p in paths)
-        self.text, self.key, self.many = text, key, many
+        self.text, self.key, self.many, self.alone = text, key, many, alone
 
     def array(self) -> Column:
         if self.many:
@@ -188,9 +191,9 @@ def _leaves(fields: list[T.StructField], get, prefix: str, present: Column | Non
             there = value.isNotNull()
             out.append(_Leaf([full], here(F.when(~there, F.lit(quoted_name(full) + "="))), F.lit(full)))
             out += _leaves(list(f.dataType), lambda x, v=value: v[x.name], full + ".", there if present is None else present & there, raw)
-        elif isinstance(f.dataType, T.MapType) or f.dataType == variants.LEAVES:
-            pairs = _map_pairs(value, f.dataType, full, raw) if isinstance(f.dataType, T.MapType) else _variant_pairs(value, raw)
-            out.append(_Leaf([full], pairs if present is None else F.when(present, pairs).otherwise(F.array().cast("array<struct<o:binary,t:string>>")), many=True, plain_end=".\U0010ffff"))
+        elif isinstance(f.dataType, T.MapType) or f.dataType == plain.PAIRS:
+            pairs = _map_pairs(value, f.dataType, full, raw) if isinstance(f.dataType, T.MapType) else value.cast("array<struct<o:binary,t:string>>")
+            out.append(_Leaf([full], pairs if present is None else F.when(present, pairs).otherwise(F.array().cast("array<struct<o:binary,t:string>>")), many=True, plain_end=".\U0010ffff", alone=here(F.array_join(value["_pair_text"], " ")) if f.dataType == plain.PAIRS else None))
         else:
             text = F.lit("{}") if isinstance(f.dataType, T.StructType) else _text(value, f.dataType)
             text = F.coalesce(text if _numeric(f.dataType) else _quoted(text), F.lit(""))
@@ -232,54 +235,34 @@ def _map_pairs(value: Column, kind: T.MapType, path: str, raw: bool) -> Column:
     return F.when(value.isNull(), alone("")).when(F.size(value) == 0, alone("{}")).otherwise(F.coalesce(urls.let(F.transform(entries, meant), written), none))
 
 
-def _with_leaves(df: DataFrame) -> DataFrame:
-    """The table with VARIANT values, also in structs, as their leaves: a projection of its
-    own, for the analyzer goes over a projection as often as its functions are nested."""
+def _with_pairs(df: DataFrame, raw: bool, policy: str, secret_names: list[str] | None, url_names: list[str] | None) -> DataFrame:
+    """The redacted table with VARIANT values, also in structs, as their pairs of a name
+    and a text, redacted where they are made."""
+    s, u = frozenset(secret_names or ()), frozenset(url_names or ())
+
+    def pairs(value: Column, path: str, in_url: bool, hide: bool) -> Column:
+        return plain.pairs(F.to_json(value), path, raw, hide, in_url, s, u, variants.DEEPEST)
 
-    def flat(value: Column, kind: T.DataType, path: str) -> Column:
+    def as_is(value: Column, kind: T.DataType, path: str) -> Column:
         if isinstance(kind, T.VariantType):
-            return variants.leaves(value, path)
+            return pairs(value, path, False, False)
         if isinstance(kind, T.StructType) and len(kind) and _holds_variant(kind):
-            return F.when(value.isNotNull(), F.struct(*[flat(value[f.name], f.dataType, f"{path}.{f.name}").alias(f.name) for f in kind]))
+            return F.when(value.isNotNull(), F.struct(*[as_is(value[f.name], f.dataType, f"{path}.{f.name}").alias(f.name) for f in kind]))
         return value
 
-    return df.select(*[flat(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema]) if _holds_variant(df.schema) else df
+    def one(f: T.StructField) -> Column:
+        value = F.col(f"`{f.name}`")
+        if policy == "all" or (policy != "off" and f.name == "trace"):
+            return _field(value, f, False, s, u, variant=lambda x, path, in_url: pairs(x, path, in_url, True))
+        return as_is(value, f.dataType, f.name)
+
+    return df.select(*[one(f).alias(f.name) for f in df.schema])
 
 
 def _holds_variant(kind: T.DataType) -> bool:
     return isinstance(kind, T.VariantType) or (isinstance(kind, T.StructType) and any(_holds_variant(f.dataType) for f in kind))
 
 
-def _variant_pairs(leaves: Column, raw: bool) -> Column:
-    """(sort key, text) for each leaf of a VARIANT value: names of objects are joined by
-    dots, arrays by commas. Names are read row by row, among those of their object."""
-
-    def meant(e: Column) -> Column:
-        key, x = e["_leaf_key"], e["_leaf_value"]
-        display, nice = key, F.lit(None).cast("string")
-        if not raw:
-            t = F.schema_of_variant(x)
-            is_number = (t == "BIGINT") | (t == "DOUBLE") | t.startswith("DECIMAL")
-            each = [(t == "STRING", "string", T.StringType()), (t == "BIGINT", "bigint", T.LongType()), (is_number, "double", T.DoubleType())]
-            shown = [(test, *formats.readable_by_name(key, F.try_variant_get(x, "$", kind), data)) for test, kind, data in each]
-            display = shown[0][1]
-            nice = F.when(shown[0][0], shown[0][2]).when(shown[1][0], shown[1][2]).when(shown[2][0], shown[2][2])
-        text = F.coalesce(variants.plain_text(x), F.lit(""))
-        return F.struct(e["_leaf_parent"].alias("p"), key.alias("k"), e["_leaf_inner"].alias("inner"), display.alias("d"), nice.alias("n"), text.alias("t"))
-
-    def written(all_: Column) -> Column:
-        taken = F.transform(all_, lambda e: F.struct(e["p"].alias("p"), F.when(e["n"].isNull(), e["k"]).otherwise(e["d"]).alias("d")))
-
-        def one(e: Column, taken: Column) -> Column:
-            strip = e["n"].isNotNull() & (F.size(F.filter(taken, lambda t: (t["d"] == e["d"]) & (t["p"] == e["p"]))) == 1)
-            shown = F.concat(e["p"], F.when(strip, e["d"]).otherwise(e["k"]))
-            return F.struct(F.encode(shown, "UTF-16BE").alias("o"), F.concat(_quoted(shown), F.lit("="), _quoted(F.when(strip, e["n"]).otherwise(e["t"]))).alias("t"))
-
-        return urls.let(taken, lambda t: F.transform(F.filter(all_, lambda e: ~e["inner"]), lambda e: one(e, t)))
-
-    return urls.let(F.transform(leaves, meant), written)
-
-
 def render_plain(df: DataFrame, raw: bool = False) -> Column:
     """Of a table that was redacted: one ``key=value`` line a row, formatted for
     people and sorted by path in UTF-16 order. The order is settled in the plan; only
@@ -293,12 +276,11 @@ def render_plain(df: DataFrame, raw: bool = False) -> Column:
             groups.append([leaf])
     parts = []
     for group in groups:
-        if len(group) == 1 and not group[0].many:
-            parts.append(group[0].text)
+        if len(group) == 1 and (not group[0].many or group[0].alone is not None):
+            parts.append(group[0].alone if group[0].many else group[0].text)
             continue
-        pairs = F.array_sort(F.concat(*[x.array() for x in group]))
-        text = F.array_join(F.transform(pairs, lambda p: p["t"]), " ")
-        parts.append(F.when(F.size(pairs) > 0, text))
+        pairs = F.sort_array(F.concat(*[x.array() for x in group]))
+        parts.append(urls.let(pairs, lambda ps: F.when(F.size(ps) > 0, F.array_join(F.transform(ps, lambda p: p["t"]), " "))))
     return F.concat_ws(" ", *parts)
 
 
@@ -358,11 +340,12 @@ def render_yaml(df: DataFrame) -> Column:
 def render(df: DataFrame, form: str = "plain", raw: bool = False, policy: str = "all", secret_names: list[str] | None = None, url_names: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """One string column ``rendered`` (after the columns ``keep``); ``form``: plain, yaml
     or json."""
-    safe = redact(df, policy, secret_names, url_names)
+    pairs = form not in ("json", "yaml") and _holds_variant(df.schema)
+    safe = _with_pairs(df, raw, policy, secret_names, url_names) if pairs else redact(df, policy, secret_names, url_names)
     if form == "json":
         line = variants.json_numbers(F.to_json(F.struct(*[F.col(f"`{c}`") for c in safe.columns]), {"ignoreNullFields": "false"}))
     else:
-        line = render_yaml(safe) if form == "yaml" else render_plain(safe := _with_leaves(safe), raw)
+        line = render_yaml(safe) if form == "yaml" else render_plain(safe, raw)
     return safe.select(*(keep or []), line.alias("rendered"))
 
 
